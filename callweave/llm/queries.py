@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import canonical_map, near_duplicates, overlap, stratified
+from callweave.llm import canonical_map, mixing, near_duplicates, overlap, packing, stratified
 from callweave.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,29 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(table(spark, folder, "raw_rows"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_unmatched, p4_found, p4_sample, p4_report, p5_found, p5_groups)}
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_capacities"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(table(spark, folder, "documents"), table(spark, folder, "pack_capacities"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.found(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(mixing.by_tokens(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(*mixing.mix(mixing.by_tokens(table(spark, folder, "documents")), table(spark, folder, "mix_targets")))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (p2_found, p2_report, p3_found, p3_unmatched, p4_found, p4_sample, p4_report, p5_found, p5_groups, p7_pack, p7_report, p8_found, p8_mix, p8_report)
+}
 
 SQL: dict[str, str] = {}
