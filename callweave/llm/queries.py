@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import canonical_map, mixing, near_duplicates, overlap, packing, stratified
+from callweave.llm import abuse, canonical_map, mixing, near_duplicates, overlap, packing, stratified
 from callweave.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,9 +68,21 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(*mixing.mix(mixing.by_tokens(table(spark, folder, "documents")), table(spark, folder, "mix_targets")))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.found(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.scores(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_report, p3_found, p3_unmatched, p4_found, p4_sample, p4_report, p5_found, p5_groups, p7_pack, p7_report, p8_found, p8_mix, p8_report)
+    for f in (p2_found, p2_report, p3_found, p3_unmatched, p4_found, p4_sample, p4_report, p5_found, p5_groups, p7_pack, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_scores, p9_rates)
 }
 
 SQL: dict[str, str] = {}
