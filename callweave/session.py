@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -61,3 +62,13 @@ def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
         return df  # already behind a shuffle
     want = tasks or max(df.sparkSession.sparkContext.defaultParallelism, 1)
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
+#: Ids that may be broadcast: 16 MB at most. Beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join of df with a materialised table of ids (one column, same name); broadcast only if small enough."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(broadcast(ids) if small else ids, column, how)
