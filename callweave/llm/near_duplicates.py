@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window as W
 from callweave.jsonx import BAD, try_loads
 from callweave.llm.components import components
 from callweave.llm.words import distinct_words, word_hash
-from callweave.session import cut, spread
+from callweave.session import cut, keep_ids, spread
 
 BANDS, ROWS, B = 48, 6, 8
 N = BANDS * ROWS
@@ -70,25 +71,38 @@ def tool_names(tools: str | None) -> list[str] | None:
     return list(dict.fromkeys(names))
 
 
-_SCHEMA = pa.schema([("row_index", pa.int64()), ("words", pa.list_(pa.int64())), ("names", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
+_TYPES = {
+    "row_index": pa.int64(), "cls": pa.binary(), "sig": pa.list_(pa.int64()), "words": pa.list_(pa.int64()), "names": pa.list_(pa.int64()),
+}
+_DDL = {"row_index": "long", "cls": "binary", "sig": "array<long>", "words": "array<long>", "names": "array<long>"}
+BRIEF, FULL = ("row_index", "cls", "sig", "names"), ("row_index", "sig", "words")
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for row_index, query, tools in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            words, names = distinct_words(query), tool_names(tools) if query and tools else None
-            if words and names:
-                hashes = np.unique(np.array([word_hash(w) for w in words], np.int64))
-                out.append((row_index, hashes, sorted(word_hash(n) for n in names), signature(hashes)))
-        columns = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+def _features(columns: tuple[str, ...]):  # noqa: ANN202
+    schema = pa.schema([(c, _TYPES[c]) for c in columns])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row_index, query, tools in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words, names = distinct_words(query), tool_names(tools) if query and tools else None
+                if words and names:
+                    hashes = np.unique(np.array([word_hash(w) for w in words], np.int64))
+                    own = np.unique(np.array([word_hash(n) for n in names], np.int64))
+                    row = {"row_index": row_index, "sig": signature(hashes), "words": hashes, "names": own}
+                    if "cls" in columns:
+                        row["cls"] = xxhash.xxh3_128_digest(hashes.tobytes() + b"|" + own.tobytes())
+                    out.append(tuple(row[c] for c in columns))
+            values = list(zip(*out)) if out else [[]] * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(values, schema)], schema=schema)
 
-def features(rows: DataFrame) -> DataFrame:
-    """row_index, hashed words, hashed tool names and packed signature of each row that takes part."""
+    return run
+
+
+def features(rows: DataFrame, columns: tuple[str, ...] = FULL) -> DataFrame:
+    """The named features of each row that takes part: hashed words and tool names, packed signature, class digest."""
     slim = spread(rows.select(F.col("row_index").cast("long"), F.col("query").cast("string"), F.col("tools").cast("string")))
-    return slim.mapInArrow(_features, "row_index long, words array<long>, names array<long>, sig array<long>")
+    return slim.mapInArrow(_features(columns), ", ".join(f"{c} {_DDL[c]}" for c in columns))
 
 
 def equal_minima(a: Column, b: Column) -> Column:
@@ -115,52 +129,79 @@ def shares_at_least(a: Column, b: Column, share: tuple[int, int]) -> Column:
 
 
 def classes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row_index, rep) membership, and the representatives with their features."""
-    key = [F.xxhash64("words", "names"), F.hash("words"), F.hash("names", "words")]
-    keyed = feats.select("row_index", *(k.alias(f"k{i}") for i, k in enumerate(key)))
-    reps = keyed.groupBy("k0", "k1", "k2").agg(F.min("row_index").alias("rep"))
-    members = cut(keyed.join(reps, ["k0", "k1", "k2"]).select("row_index", "rep"))
-    own = members.where("row_index = rep").select("rep")
-    return members, cut(feats.join(own, feats.row_index == own.rep, "left_semi").withColumnRenamed("row_index", "rep"))
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of representatives that share a band key."""
-    per = ROWS * B  # bits of a band; six bytes, read out of the packed words
+    """(row_index, rep) membership, and (rep, sig, names) of the representatives."""
+    keyed = feats.select("row_index", "cls")
+    reps = keyed.groupBy("cls").agg(F.min("row_index").alias("rep"))
+    members = cut(keyed.join(reps, "cls").select("row_index", "rep"))
+    copies = members.where("row_index <> rep").select("row_index")
+    return members, keep_ids(feats.select("row_index", "sig", "names"), copies, "row_index", "left_anti").withColumnRenamed("row_index", "rep")
+
+
+def band_keys(reps: DataFrame) -> DataFrame:
+    """(key, rep): a hash of each band of six low-bit minima, read out of the packed words."""
     byte = lambda i: F.shiftrightunsigned(F.col("sig")[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255))
     band = lambda j: F.xxhash64(F.lit(j), *(byte(ROWS * j + i) for i in range(ROWS)))
-    assert per <= 64
-    keys = reps.select("rep", F.explode(F.array(*(band(j) for j in range(BANDS)))).alias("key"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(keys.join(counts, "key"))
+    return reps.select("rep", F.explode(F.array(*(band(j) for j in range(BANDS)))).alias("key"))
+
+
+def candidates(reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of representatives that share a band key.
+
+    Most keys have one owner, most others two: one aggregation finds both and yields the pairs of the
+    latter. Only rows of keys with more owners are joined, and those of keys with more than HOT owners
+    on the rarest words that a pair must share.
+    """
+    keys = band_keys(reps)
+    owners = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"))
+    two = owners.where("n = 2").select("a", "b")
+    many = owners.where("n > 2").select("key")
+    shared = cut(keep_ids(keys, many, "key").join(owners.select("key", "n"), "key"))
     cold = shared.where(F.col("n") <= HOT).select("key", "rep")
     x, y = cold.select("key", F.col("rep").alias("a")), cold.select("key", F.col("rep").alias("b"))
-    pairs = x.join(y, "key").where("a < b").select("a", "b")
+    pairs = two.union(x.join(y, "key").where("a < b").select("a", "b"))
     hot = shared.where(F.col("n") > HOT).select("key", "rep")
-    words = hot.join(reps.select("rep", "words"), "rep").select("key", "rep", F.size("words").alias("size"), F.explode("words").alias("word"))
+    if hot.limit(1).count():
+        pairs = pairs.union(hot_pairs(hot, rows))
+    return pairs.distinct()
+
+
+def hot_pairs(hot: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs within hot keys that share one of the rarest words: exact at the threshold, by the prefix filter."""
+    ids = cut(hot.select(F.col("rep").alias("row_index")).distinct())
+    feats = cut(features(keep_ids(rows.select("row_index", "query", "tools"), ids, "row_index"), ("row_index", "words")))
+    words = hot.join(feats, hot.rep == feats.row_index).select("key", "rep", F.size("words").alias("size"), F.explode("words").alias("word"))
     spread_of = words.groupBy("word").agg(F.count("*").alias("df"))
     rank = F.row_number().over(W.partitionBy("key", "rep").orderBy("df", "word"))
     p, q = QUERY_SHARE
     prefix = words.join(spread_of, "word").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * p / q) + 1)
     x, y = prefix.select("key", "word", F.col("rep").alias("a")), prefix.select("key", "word", F.col("rep").alias("b"))
-    return pairs.union(x.join(y, ["key", "word"]).where("a < b").select("a", "b")).distinct()
+    return x.join(y, ["key", "word"]).where("a < b").select("a", "b")
+
 
+def similar_classes(reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """Verified pairs (a, b) of representatives, with the estimated similarity.
 
-def similar_classes(reps: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of representatives, with the estimated similarity."""
+    Tool names are few and compared first; the texts of what is left are read again, so that words
+    and signatures travel for these only.
+    """
     p, q = QUERY_SHARE
     least = p / q - 4.5 * (p / q * (1 - p / q) / N) ** 0.5
-    x = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("words").alias("wa"), F.col("names").alias("na"))
-    y = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("words").alias("wb"), F.col("names").alias("nb"))
-    both = candidates(reps).join(x, "a").join(y, "b").withColumn("estimate", estimate(F.col("sa"), F.col("sb")))
-    same = shares_at_least(F.col("wa"), F.col("wb"), QUERY_SHARE) & shares_at_least(F.col("na"), F.col("nb"), NAME_SHARE)
+    na, nb = (reps.select(F.col("rep").alias(c), F.col("names").alias(f"n{c}")) for c in "ab")
+    named = candidates(reps, rows).join(na, "a").join(nb, "b")
+    pairs = cut(named.where(shares_at_least(F.col("na"), F.col("nb"), NAME_SHARE)).select("a", "b"))
+    ids = cut(pairs.select(F.col("a").alias("row_index")).union(pairs.select("b")).distinct())
+    feats = cut(features(keep_ids(rows.select("row_index", "query", "tools"), ids, "row_index")))
+    x = feats.select(F.col("row_index").alias("a"), F.col("sig").alias("sa"), F.col("words").alias("wa"))
+    y = feats.select(F.col("row_index").alias("b"), F.col("sig").alias("sb"), F.col("words").alias("wb"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("estimate", estimate(F.col("sa"), F.col("sb")))
+    same = shares_at_least(F.col("wa"), F.col("wb"), QUERY_SHARE)
     return both.where((F.col("estimate") >= least) & same).select("a", "b", "estimate")
 
 
 def found(rows: DataFrame) -> DataFrame:
     """p5_found: all similar pairs of rows, copies included."""
-    members, reps = classes(cut(features(rows)))
-    links = similar_classes(reps).select("a", "b")
+    members, reps = classes(cut(features(rows, BRIEF)))
+    links = similar_classes(reps, rows).select("a", "b")
     x, y = members.select(F.col("rep").alias("a"), F.col("row_index").alias("row_x")), members.select(F.col("rep").alias("b"), F.col("row_index").alias("row_y"))
     across = links.join(x, "a").join(y, "b")
     within = x.join(y, F.col("a") == F.col("b")).where("row_x < row_y")
@@ -170,8 +211,8 @@ def found(rows: DataFrame) -> DataFrame:
 
 def groups(rows: DataFrame) -> DataFrame:
     """Each row that takes part with its class, its group and its links to other texts; copies are not paired."""
-    members, reps = classes(cut(features(rows)))
-    links = cut(similar_classes(reps).select("a", "b"))
+    members, reps = classes(cut(features(rows, BRIEF)))
+    links = cut(similar_classes(reps, rows).select("a", "b"))
     comp = components(links)
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     out = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
