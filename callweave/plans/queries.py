@@ -1,53 +1,449 @@
-"""Queries of the core operators, and the SQL that says the same."""
+"""Queries of the core operators over the tables of a data folder; their SQL is in `oracles`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callweave.operators import badrows, nested
+from callweave.functions.checks import CONTEXT_LIMIT
+from callweave.operators import badrows, nested, prepare, quality, rendering, scoring, selection
+from callweave.plans.oracles import SQL  # noqa: F401  (part of this module's interface)
 from callweave.session import cut, table
+from callweave.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
 
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _clean(column: str) -> Column:
+    return F.lower(F.trim(F.col(column)))
+
+
+def _candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidates table with evenly spelled split and generator."""
+    return table(spark, folder, "candidates").withColumns({"split": _clean("split"), "generator": _clean("generator"), "call_bucket": F.regexp_replace(_clean("call_bucket"), "[ -]", "_")})
+
+
+def _prepared(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw rows through the preparation stage, with the row's own generator column where selection needs it."""
+    return prepare.prepare(table(spark, folder, "raw_rows"))
+
+
+# --- nested records and bad rows -----------------------------------------------------------------
+
+
+@query
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.nested_found(nested.shred(table(spark, folder, "raw_rows")))
 
 
+@query
 def p1_variants(spark: SparkSession, folder: str) -> DataFrame:
     return nested.variant_counts(nested.shred(table(spark, folder, "raw_rows")))
 
 
+@query
 def p1_subtypes(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of each subtype table and how many of them have their parent in the tables."""
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
+    """Rows of each subtype table, and how many of them have their parent in the tables."""
     nodes = cut(nested.shred(table(spark, folder, "raw_rows")))
     parts = [t.select(F.lit(name).alias("subtype"), "row_index", "parent_id") for name, t in nested.variant_tables(nodes).items()]
     rows = reduce(DataFrame.unionByName, parts)
-    ids = nodes.select("row_index", F.col("node_id").alias("parent_id"), F.lit(1).alias("there"))
-    linked = rows.join(ids.distinct(), ["row_index", "parent_id"], "left")
-    return linked.groupBy("subtype").agg(F.count("*").alias("n_rows"), F.count("there").alias("with_parent"))
+    ids = nodes.where("kind <> 'arg'").select("row_index", F.col("node_id").alias("parent_id"), F.lit(1).alias("there")).distinct()
+    return rows.join(ids, ["row_index", "parent_id"], "left").groupBy("subtype").agg(F.count("*").alias("n_rows"), F.count("there").alias("with_parent"))
 
 
+@query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return badrows.bad_rows(badrows.parse_lines(table(spark, folder, "raw_lines")))
 
 
+@query
 def p6_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return badrows.good_rows(badrows.parse_lines(table(spark, folder, "raw_lines")))
 
 
-QUERIES: dict[str, Query] = {
-    "p1_found": p1_found,
-    "p1_variants": p1_variants,
-    "p1_subtypes": p1_subtypes,
-    "p6_found": p6_found,
-    "p6_loaded": p6_loaded,
-}
+# --- distributions and profile -------------------------------------------------------------------
+
+
+@query
+def call_bucket_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("expected_call_count")
+    bucket = F.when(n == 1, "single_call").when(n == 2, "two_calls").when(n >= 3, "three_or_more_calls").otherwise("zero_calls")
+    return _candidates(spark, folder).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query
+def generator_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return _candidates(spark, folder).where("generator is not null").groupBy("generator").agg(F.count("*").alias("n"))
+
+
+@query
+def generator_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.when(F.col("id") < 33_659, "deepseek").otherwise("mixtral")
+    return table(spark, folder, "raw_rows").where("id is not null").groupBy(name.alias("generator")).agg(F.count("*").alias("n"))
+
+
+@query
+def tool_count_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(c).cast("long").alias("value")) for m, c in (("tools", "available_tool_count"), ("calls", "expected_call_count"))))
+    return _candidates(spark, folder).select(F.explode(pairs).alias("x")).where("x.value is not null").groupBy("x.measure", "x.value").agg(F.count("*").alias("n"))
+
+
+@query
+def parameter_type_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _candidates(spark, folder).select(F.explode(F.array_distinct("parameter_types")).alias("type")).where("type is not null").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query
+def parameter_type_occurrences(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "param_types").groupBy(F.coalesce("type", F.lit("<missing>")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query
+def complex_parameter_flag(spark: SparkSession, folder: str) -> DataFrame:
+    flag = F.exists("parameter_types", lambda t: F.lower(t).rlike("array|dict|list|object"))
+    return _candidates(spark, folder).select("row_index", F.coalesce(flag, F.lit(False)).alias("is_complex"))
+
+
+@query
+def distinct_tool_flags(spark: SparkSession, folder: str) -> DataFrame:
+    n, d = F.col("expected_call_count"), F.col("distinct_expected_tool_count")
+    return _candidates(spark, folder).where(n.isNotNull() & d.isNotNull()).select("row_index", ((n > 1) & (d == 1)).alias("repeated_same"), (d > 1).alias("multiple_distinct"))
+
+
+@query
+def namespace_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.namespace_counts(table(spark, folder, "param_types"))
+
+
+@query
+def raw_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, readable and eligible ones per source file."""
+    p = _prepared(spark, folder).select("row_index", "gate", "fingerprint")
+    files_ = table(spark, folder, "raw_rows").select("row_index", "source_dataset")
+    rows = files_.join(p, "row_index")
+    return rows.groupBy("source_dataset").agg(F.count("*").alias("n"), F.count("fingerprint").alias("readable"), F.count_if(F.col("gate").isNull()).alias("eligible"))
+
+
+@query
+def raw_parameter_types(spark: SparkSession, folder: str) -> DataFrame:
+    return _prepared(spark, folder).select(F.explode("type_occurrences").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query
+def derived_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    p = _prepared(spark, folder).where("fingerprint is not null")
+    keys = F.to_json("argument_keys")
+    return p.select("row_index", "available_tool_count", "expected_call_count", "available_tool_names", "expected_tool_names", "unknown_answer_tools", "parameter_types", keys.alias("argument_keys"), (F.col("expected_call_count") > 1).alias("needs_review"))
+
+
+# --- fingerprints, lengths, duplicates -----------------------------------------------------------
+
+
+@query
+def fingerprint_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", quality.text_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query
+def duplicate_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _candidates(spark, folder).select("row_index", "fingerprint")
+    return quality.duplicate_groups(rows, "fingerprint").select("fingerprint", "n", "first_row")
+
+
+@query
+def record_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return _prepared(spark, folder).where("fingerprint is not null").select("row_index", "id", "fingerprint")
+
+
+@query
+def token_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", quality.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query
+def context_limit_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return token_estimate(spark, folder).where(F.col("tokens") > CONTEXT_LIMIT)
+
+
+@query
+def cross_split_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.cross_split_duplicates(_candidates(spark, folder)).select("id", "split", "owner", "fingerprint")
+
+
+@query
+def split_verification(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.split_report(_candidates(spark, folder))
+
+
+@query
+def split_id_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of the candidates against those of the canonical records, split by split."""
+    left = _candidates(spark, folder).where("id is not null and split is not null").select("split", "id")
+    meta = table(spark, folder, "canonical_records").select(F.lower(F.trim("metadata.split")).alias("split"), F.col("metadata.source_id").alias("id"))
+    return quality.id_mismatches(left, meta.where("id is not null and split is not null"))
+
+
+@query
+def arrival_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows per day of arrival, and how many came more than a day after they were made."""
+    late = F.col("ingested_at") > F.col("created_at") + F.expr("INTERVAL 1 DAY")
+    return table(spark, folder, "raw_rows").where("ingested_at is not null").groupBy(F.date_format("ingested_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_if(late).alias("late"))
+
+
+# --- canonical records ---------------------------------------------------------------------------
+
+
+@query
+def expected_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.expected_calls(table(spark, folder, "canonical_records"))
+
+
+@query
+def call_membership(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls per record and how many of them name a listed tool."""
+    r = table(spark, folder, "canonical_records")
+    known, names = F.transform("tools", lambda t: t["function"]["name"]), quality.call_names()
+    return r.select("record_no", F.size(names).alias("calls"), F.size(F.filter(names, lambda n: F.array_contains(known, n))).alias("known_calls"))
+
+
+@query
+def unknown_tools(spark: SparkSession, folder: str) -> DataFrame:
+    r = table(spark, folder, "canonical_records")
+    known = F.transform("tools", lambda t: t["function"]["name"])
+    return r.select("record_no", F.explode(F.array_except(quality.call_names(), known)).alias("tool"))
+
+
+@query
+def repeated_calls(spark: SparkSession, folder: str) -> DataFrame:
+    f = quality.feature_flags(table(spark, folder, "canonical_records"))
+    return f.select("record_no", "repeated_tool_calls", "multiple_called_tools")
+
+
+@query
+def feature_tags(spark: SparkSession, folder: str) -> DataFrame:
+    tags = quality.feature_tags(quality.feature_flags(table(spark, folder, "canonical_records")))
+    return tags.select("record_no", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def representative_pick(spark: SparkSession, folder: str) -> DataFrame:
+    f = quality.feature_flags(table(spark, folder, "canonical_records")).withColumn("split", _clean("split"))
+    return selection.representatives(f.where("split is not null and source_id is not null"))
+
+
+@query
+def render_chatml(spark: SparkSession, folder: str) -> DataFrame:
+    return rendering.template_checks(table(spark, folder, "canonical_records"))
+
+
+@query
+def tagged_section(spark: SparkSession, folder: str) -> DataFrame:
+    """Tool section, delimiters and thinking of the rendered records, by native expressions."""
+    t = rendering.template_checks(table(spark, folder, "canonical_records")).select("record_no", "rendered_text")
+    return rendering.sections(t).drop("rendered_text")
+
+
+@query
+def document_markers(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold rendered call tags or thinking blocks."""
+    s = rendering.sections(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"), "text")
+    return s.where(F.size("delimiters") > 0).select("doc_id", F.array_join("delimiters", " ").alias("marks"), "has_thinking")
+
+
+@query
+def chat_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return rendering.chat_blocks(table(spark, folder, "canonical_records"))
+
+
+@query
+def loss_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return rendering.loss_spans(table(spark, folder, "canonical_records"))
+
+
+@query
+def token_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return rendering.token_labels(table(spark, folder, "canonical_records")).drop("token_id").withColumn("label", (F.col("label") != -100).cast("int"))
+
+
+@query
+def mask_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return rendering.mask_counts(rendering.token_labels(table(spark, folder, "canonical_records")))
+
+
+# --- annotations, normalization, validation ------------------------------------------------------
+
+
+@query
+def type_schema_map(spark: SparkSession, folder: str) -> DataFrame:
+    return prepare.type_schemas(table(spark, folder, "param_types"))
+
+
+@query
+def annotated_default(spark: SparkSession, folder: str) -> DataFrame:
+    return prepare.type_schemas(table(spark, folder, "param_types")).where("default_value is not null").select("type", "default_value")
+
+
+@query
+def json_type_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Parameters per JSON type of their annotation, each distinct annotation compiled once."""
+    t = prepare.typed_parameters(table(spark, folder, "param_types").select("param_id", "type"))
+    kind = F.when(F.col("type").isNull(), "missing").when(F.col("error").isNotNull(), "unsupported").otherwise(F.coalesce("json_type", F.lit("other")))
+    return t.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def normalize_records(spark: SparkSession, folder: str) -> DataFrame:
+    return _prepared(spark, folder).select("row_index", "id", "record", "error")
+
+
+@query
+def candidate_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return prepare.gated(_prepared(spark, folder)).select("row_index", F.coalesce("gate", F.lit("eligible")).alias("gate"))
+
+
+@query
+def rejection_taxonomy(spark: SparkSession, folder: str) -> DataFrame:
+    return prepare.rejections(_prepared(spark, folder))
+
+
+@query
+def validate_issues(spark: SparkSession, folder: str) -> DataFrame:
+    return _prepared(spark, folder).select("row_index", "estimated_tokens", F.explode("issues").alias("i")).select("row_index", "estimated_tokens", "i.category", "i.message")
+
+
+@query
+def issue_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return prepare.issue_counts(_prepared(spark, folder))
+
+
+@query
+def first_of_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The lowest row of each id and how often the id stands: who owns an id."""
+    return table(spark, folder, "raw_rows").where("id is not null").groupBy("id").agg(F.min("row_index").alias("first_row"), F.count("*").alias("n"))
+
+
+# --- selection -----------------------------------------------------------------------------------
+
+
+def _eligible(spark: SparkSession, folder: str) -> DataFrame:
+    c = _candidates(spark, folder).where("id is not null and generator is not null and call_bucket is not null and fingerprint is not null")
+    return c.withColumn("unknown_answer_tools", F.array().cast("array<string>"))
+
+
+@query
+def pool_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.pool_sizes(_eligible(spark, folder))
+
+
+@query
+def pool_heads(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.pool_heads(_eligible(spark, folder), 200).select("generator", "call_bucket", "pool_pos", "row_index", "id", "fingerprint")
+
+
+def _quotas(spark: SparkSession, folder: str) -> dict[str, tuple[int, ...]]:
+    """The default quotas, halved until the smallest pool can fill its part."""
+    least = min([r.n for r in pool_sizes(spark, folder).where(F.col("generator").isin(*selection.GENERATORS) & F.col("call_bucket").isin(*prepare.BUCKETS)).collect()], default=0)
+    quotas = selection.QUOTAS
+    while least < 30 * max(1, sum(q[-1] for q in quotas.values()) // 15) and max(map(max, quotas.values())) > 2:
+        quotas = {s: tuple(max(2, q // 4 * 2) for q in qs) for s, qs in quotas.items()}
+    return quotas
+
+
+@query
+def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.select(_eligible(spark, folder), _quotas(spark, folder))
+
+
+@query
+def selection_summary(spark: SparkSession, folder: str) -> DataFrame:
+    e = _eligible(spark, folder)
+    return selection.summary(selection.select(e, _quotas(spark, folder)), e)
+
+
+@query
+def replacement(spark: SparkSession, folder: str) -> DataFrame:
+    """A selection in which every member with an odd id counts as invalid and gives way."""
+    e = _eligible(spark, folder)
+    return selection.replace(selection.select(e, _quotas(spark, folder)), e, e.where("id % 2 = 0"))
+
+
+@query
+def inspection_sample(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "raw_rows")
+    middle = (rows.agg(F.max("row_index")).first()[0] or 0) // 2
+    return selection.inspection_sample(rows, middle).select("row_index", "id", "query")
+
+
+@query
+def category_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.category_examples(cut(_prepared(spark, folder)))
+
+
+# --- model output --------------------------------------------------------------------------------
+
+
+def _outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record's calls as expected, and its neighbour's or its own in reverse as predicted."""
+    r = table(spark, folder, "canonical_records")
+    calls = F.flatten(F.transform(F.filter("messages", lambda m: m["tool_calls"].isNotNull()), lambda m: m["tool_calls"]))
+    body = F.transform(calls, lambda c: c["function"])
+    prose = F.concat(F.lit("Sure. "), F.to_json(F.reverse(body)), F.lit(" Done."))
+    one = F.to_json(F.slice(body, 1, 1))
+    predicted = F.when(F.col("record_no") % 3 == 0, prose).when(F.col("record_no") % 3 == 1, one).otherwise(F.to_json(body))
+    return r.select("record_no", F.lower(F.trim("metadata.split")).alias("split"), F.to_json(body).alias("expected"), predicted.alias("predicted"))
+
+
+@query
+def parse_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls found in the text of documents."""
+    p = table(spark, folder, "documents").where(F.contains(F.col("text"), F.lit('"arguments"'))).select("doc_id", scoring.parse_calls("text").alias("p"))
+    return p.select("doc_id", F.size("p.calls").alias("calls"), "p.valid_structure", F.size("p.errors").alias("errors"), "p.had_extra_prose")
+
+
+@query
+def score_single(spark: SparkSession, folder: str) -> DataFrame:
+    return _outputs(spark, folder).select("record_no", scoring.score_call("predicted", "expected").alias("s")).select("record_no", "s.*").drop("parse_errors")
+
+
+@query
+def score_unordered(spark: SparkSession, folder: str) -> DataFrame:
+    return _outputs(spark, folder).select("record_no", scoring.score_calls("predicted", "expected").alias("s")).select("record_no", "s.*").drop("parse_errors")
+
+
+@query
+def score_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    return _outputs(spark, folder).select("record_no", scoring.score_calls_ordered("predicted", "expected").alias("s")).select("record_no", "s.*").drop("parse_errors")
+
+
+@query
+def score_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    scored = _outputs(spark, folder).withColumn("s", scoring.score_calls("predicted", "expected")).where("split is not null")
+    return scoring.accuracy(scored, "s", "split")
+
+
+@query
+def same_call_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Complete matches without Python: calls of a record against those of the same record in reverse."""
+    names = quality.expected_calls(table(spark, folder, "canonical_records"))
+    text = F.concat_ws("\u0001", "name", "arguments")
+    per = names.groupBy("record_no").agg(F.collect_list(text).alias("calls"))
+    return per.select("record_no", scoring.same_calls(F.reverse("calls"), F.col("calls")).alias("same"))
+
+
+# --- files ---------------------------------------------------------------------------------------
+
 
-SQL: dict[str, str] = {}
+@query
+def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """Checksums of the small fixed tables' files."""
+    c = files.file_checksums(spark, [f"{folder}/{t}.parquet" for t in ("mix_targets", "pack_capacities")])
+    return c.select(F.regexp_extract("path", "([^/]+)(?:/part[^/]*)?$", 1).alias("name"), "bytes", "line_count", "sha256")
