@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from callweave.llm import abuse, canonical_map, mixing, near_duplicates, overlap, packing, stratified
+from callweave.llm.oracles import SQL  # noqa: F401  (part of this module's interface)
 from callweave.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,5 +85,3 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (p2_found, p2_report, p3_found, p3_unmatched, p4_found, p4_sample, p4_report, p5_found, p5_groups, p7_pack, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_scores, p9_rates)
 }
-
-SQL: dict[str, str] = {}
