@@ -127,7 +127,8 @@ def replace(selected: DataFrame, candidates: DataFrame, valid: DataFrame, seed:
 
 def summary(selected: DataFrame, candidates: DataFrame) -> DataFrame:
     """Counts of a selection as (measure, value, n): sizes, distributions and conditional counts."""
-    rows = selected.select("id", "split").join(candidates.where("id is not null").drop("split").dropDuplicates(["id"]), "id")
+    first = candidates.groupBy("id").agg(F.min("row_index").alias("row_index"))
+    rows = selected.select("id", "split").join(candidates.drop("split").join(first, ["id", "row_index"]), "id")
     measures = {
         "split": F.col("split"), "generator": F.col("generator"), "call_bucket": F.col("call_bucket"),
         "expected_calls": F.col("expected_call_count").cast("string"), "available_tools": F.col("available_tool_count").cast("string"),
