@@ -3,10 +3,10 @@
 Partition-based pigeonhole join. The reference list is the catalog written out: each entry in all
 its known writings. An input value is normalised (optional marks, defaults, quoting and spaces are
 not part of the type) and grouped, so each distinct value is looked up once. Two strings within k
-edits share at least one of k+1 consecutive segments of the reference string, shifted by at most k;
-so the join is an equality join on (reference length, segment number, segment), verified by the
-built-in levenshtein. One edit counts as a match, and the swap of two neighbours (two edits on the
-same letters), which is why k is 2. Values without a match come out with type 0 by an anti-join.
+edits share at least one of k+1 consecutive segments of the reference string, at a shift that its
+number and the difference of lengths bound; so the join is an equality join on (reference length,
+segment number, segment), verified by the built-in levenshtein. One edit counts as a match (k = 1),
+and so does a swap of neighbours. Values without a match come out with type 0 by an anti-join.
 
 Edge cases: null types are no input and give no row; a value that is exactly a canonical entry is
 not reported; an empty or blank value means no entry (0); values of one character only match
@@ -21,6 +21,8 @@ from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callweave.session import cut
+
 # --- fixed values: names of the simple types, singular and plural -------------------------------
 SIMPLE = {
     "str": ["str", "string", "text", "varchar", "varchar(255)", "nvarchar", "char", "characters", "chaîne", "chaîne de caractères", "texte", "zeichenkette", "cadena", "cadena de texto", "texto", "char sequence", "character sequence", "plain text", "string value", "text value", "a string", "a text", "builtins.str", "unicode", "unicode string", "free text"],
@@ -183,23 +185,27 @@ def _segments_sql(k: int, table: str) -> str:
       FROM (SELECT ref, length(ref) AS ref_len, explode(sequence(0, {k})) AS seg FROM {table})"""
 
 
-def map_values(values: DataFrame, refs: DataFrame, k: int = 2) -> DataFrame:
+def map_values(values: DataFrame, refs: DataFrame, k: int = 1) -> DataFrame:
     """Distinct strings (column `value`) joined to `refs` (ref, target): value, target, ref, edits; 0 where none matches.
 
-    `k` bounds the edits of the candidate search; a pair is accepted at up to one edit, or where it is a
-    swap of neighbours. The longest reference bounds what each value can probe, so very long values cost
-    no more than short ones.
+    Segment i of a reference string can stand, shifted by at most i edits before it and k - i after it,
+    so with the difference of lengths d its shift lies within both -i..i and d-(k-i)..d+(k-i). A swap of
+    neighbours keeps the letters: it is found by equality of the sorted letters. The longest reference
+    bounds what each value can probe, so very long values cost no more than short ones.
     """
     spark = values.sparkSession
     values.createOrReplaceTempView("cm_values")
     refs.createOrReplaceTempView("cm_refs")
+    low = f"greatest(s.pos + 1 - s.seg, s.pos + 1 + length(v.value) - s.ref_len - ({k} - s.seg))"
+    high = f"least(s.pos + 1 + s.seg, s.pos + 1 + length(v.value) - s.ref_len + ({k} - s.seg))"
+    letters = "array_join(array_sort(split({}, '')), '')"
     return spark.sql(f"""
       WITH v AS (SELECT DISTINCT value FROM cm_values),
       seg AS ({_segments_sql(k, "cm_refs")}),
       shape AS (SELECT ref_len, seg, pos, length(piece) AS piece_len FROM seg GROUP BY ALL),
       probe AS (
         SELECT value, ref_len, seg, substring(value, at, piece_len) AS piece FROM (
-          SELECT v.value, s.ref_len, s.seg, s.piece_len, explode(sequence(greatest(1, s.pos + 1 - {k}), s.pos + 1 + {k})) AS at
+          SELECT v.value, s.ref_len, s.seg, s.piece_len, explode(CASE WHEN {low} <= {high} THEN sequence(greatest(1, {low}), greatest(1, {high})) END) AS at
           FROM (SELECT value, explode(sequence(length(value) - {k}, length(value) + {k})) AS want FROM v
                 WHERE length(value) BETWEEN 2 AND (SELECT max(length(ref)) + {k} FROM cm_refs)) v
           JOIN shape s ON s.ref_len = v.want)
@@ -207,14 +213,13 @@ def map_values(values: DataFrame, refs: DataFrame, k: int = 2) -> DataFrame:
       cand AS (
         SELECT DISTINCT p.value, g.ref FROM probe p JOIN seg g
         ON p.ref_len = g.ref_len AND p.seg = g.seg AND p.piece = g.piece),
-      checked AS (
-        SELECT value, ref, levenshtein(value, ref) AS edits FROM cand WHERE levenshtein(value, ref) <= {k}),
       hit AS (
-        SELECT c.value, c.ref, least(c.edits, 1) AS edits, r.target FROM checked c JOIN cm_refs r ON r.ref = c.ref
-        WHERE edits <= 1 OR (edits = 2 AND length(value) = length(c.ref)
-              AND array_sort(split(value, '')) = array_sort(split(c.ref, '')))
-        UNION ALL SELECT v.value, r.ref, 0, r.target FROM v JOIN cm_refs r ON v.value = r.ref WHERE length(v.value) < 2),
-      best AS (SELECT value, min(struct(edits, target, ref)) AS b FROM hit GROUP BY value)
+        SELECT c.value, c.ref, levenshtein(c.value, c.ref) AS edits FROM cand c WHERE levenshtein(c.value, c.ref) <= {k}
+        UNION ALL
+        SELECT v.value, r.ref, 1 FROM (SELECT value, {letters.format("value")} AS letters FROM v WHERE length(value) >= 2) v
+        JOIN (SELECT ref, {letters.format("ref")} AS letters FROM cm_refs) r ON v.letters = r.letters WHERE levenshtein(v.value, r.ref) = 2
+        UNION ALL SELECT v.value, r.ref, 0 FROM v JOIN cm_refs r ON v.value = r.ref WHERE length(v.value) < 2),
+      best AS (SELECT h.value, min(struct(h.edits, r.target, h.ref)) AS b FROM hit h JOIN cm_refs r ON r.ref = h.ref GROUP BY h.value)
       SELECT value, b.target AS target, b.ref AS ref, b.edits AS edits FROM best
       UNION ALL
       SELECT v.value, CAST(0 AS INT), CAST(NULL AS STRING), CAST(NULL AS INT) FROM v LEFT ANTI JOIN best ON v.value = best.value""")
@@ -226,9 +231,9 @@ def mapped_types(spark: SparkSession, param_types: DataFrame, catalog: DataFrame
     rows = [(w, ids[c]) for w, c in reference_rows([c for c, _ in sorted(ids.items(), key=lambda x: x[1])])]
     refs = spark.createDataFrame(rows, "ref string, target int")
     param_types.select("type").createOrReplaceTempView("cm_input")
-    raw = spark.sql(f"SELECT type, {normal_sql('type')} AS value FROM (SELECT type FROM cm_input WHERE type IS NOT NULL GROUP BY type)")
+    raw = cut(spark.sql(f"SELECT type, {normal_sql('type')} AS value FROM (SELECT type FROM cm_input WHERE type IS NOT NULL GROUP BY type)"))
     raw.createOrReplaceTempView("cm_raw")
-    map_values(raw.select("value"), refs).createOrReplaceTempView("cm_mapped")
+    cut(map_values(raw.select("value"), refs)).createOrReplaceTempView("cm_mapped")
     return spark.sql("SELECT r.type, r.value, m.target AS type_id, m.ref AS matched, m.edits FROM cm_raw r JOIN cm_mapped m ON r.value = m.value")
 
 
