@@ -80,11 +80,9 @@ def verify_splits(records: DataFrame, expected: dict[str, int]) -> None:
 
 def id_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(split, id) pairs that only one side has, or more often: n_left and n_right."""
-    a = left.groupBy("split", "id").agg(F.count("*").alias("n_left"))
-    b = right.groupBy("split", "id").agg(F.count("*").alias("n_right"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    both = a.join(b, (a.split.eqNullSafe(b.split)) & (a.id.eqNullSafe(b.id)), "full_outer")
-    return both.select(F.coalesce(a.split, b.split).alias("split"), F.coalesce(a.id, b.id).alias("id"), zero("n_left"), zero("n_right")).where("n_left <> n_right")
+    n = lambda c, side: c.select("split", "id", F.lit(side).alias("side"))
+    both = n(left, 0).unionByName(n(right, 1)).groupBy("split", "id")
+    return both.agg(F.count_if(F.col("side") == 0).alias("n_left"), F.count_if(F.col("side") == 1).alias("n_right")).where("n_left <> n_right")
 
 
 def call_names(messages: str = "messages") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 _CLEAN = "lower(trim({}, ' '))"
 _CAND = f"(SELECT * REPLACE ({_CLEAN.format('split')} AS split, {_CLEAN.format('generator')} AS generator, regexp_replace({_CLEAN.format('call_bucket')}, '[ -]', '_', 'g') AS call_bucket) FROM candidates)"
+_ELIGIBLE = f"SELECT DISTINCT ON (id) * FROM {_CAND} WHERE id IS NOT NULL AND generator IS NOT NULL AND call_bucket IS NOT NULL AND fingerprint IS NOT NULL ORDER BY id, row_index"
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _CALLS = """(SELECT record_no, tools, list_filter(flatten(list_transform(coalesce(messages, []), lambda m: coalesce(m.tool_calls, []))), lambda c: c IS NOT NULL) AS calls FROM canonical_records)"""
 _NAMES = f"(SELECT record_no, list_transform(calls, lambda c: c['function'].name) AS names, list_transform(tools, lambda t: t['function'].name) AS known FROM {_CALLS})"
@@ -132,11 +133,10 @@ SELECT doc_id, array_to_string(marks, ' ') AS marks,
        ELSE contains(text, '<|thinking|>') OR contains(text, '<|think_start|>') OR contains(text, '<|think_end|>') END AS has_thinking
 FROM f WHERE len(marks) > 0""",
     "first_of_id": "SELECT id, min(row_index) AS first_row, count(*) AS n FROM raw_rows WHERE id IS NOT NULL GROUP BY 1",
-    "pool_sizes": f"SELECT generator, call_bucket, count(*) AS n FROM {_CAND} WHERE id IS NOT NULL AND generator IS NOT NULL AND call_bucket IS NOT NULL AND fingerprint IS NOT NULL GROUP BY ALL",
+    "pool_sizes": f"WITH c AS ({_ELIGIBLE}) SELECT generator, call_bucket, count(*) AS n FROM c GROUP BY ALL",
     "pool_heads": f"""
 WITH c AS (
-  SELECT row_index, id, generator, call_bucket, fingerprint, md5('42-' || id) AS key FROM {_CAND}
-  WHERE id IS NOT NULL AND generator IS NOT NULL AND call_bucket IS NOT NULL AND fingerprint IS NOT NULL),
+  SELECT row_index, id, generator, call_bucket, fingerprint, md5('42-' || id) AS key FROM ({_ELIGIBLE})),
 d AS (SELECT *, row_number() OVER (PARTITION BY generator, call_bucket, fingerprint ORDER BY key, row_index) AS k FROM c),
 h AS (SELECT *, row_number() OVER (PARTITION BY generator, call_bucket ORDER BY key, row_index) AS pool_pos FROM d WHERE k = 1)
 SELECT generator, call_bucket, pool_pos::INT AS pool_pos, row_index, id, fingerprint FROM h WHERE pool_pos <= 200""",
