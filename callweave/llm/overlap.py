@@ -119,7 +119,8 @@ def stream(index: Index, ids: np.ndarray, classes: np.ndarray, patterns: list[np
     symbol = index.symbols(np.concatenate(patterns)) if len(patterns) else np.empty(0, np.int64)
     lo, hi = index.interval(symbol)
     width = hi - lo
-    order = np.lexsort((width, owner))  # the rarest words of each record first; words unknown to the index cost nothing
+    # the rarest words of each record first, of equally rare ones the last; words unknown to the index cost nothing
+    order = np.lexsort((-np.arange(len(owner)), width, owner))
     place = np.arange(len(order)) - base[owner]
     anchors = order[(place < (sizes - -(-sizes * p // q) + 1)[owner])]
     anchors = anchors[width[anchors] > 0]

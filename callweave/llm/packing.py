@@ -192,6 +192,8 @@ def pieces(documents: DataFrame, capacities: DataFrame, path: str = TOKENIZER) -
     """capacity_id, capacity_tokens, doc_id, part, size: each text for each capacity, cut only where it is longer."""
     sized = token_counts(documents, ["doc_id"], path).where("n_tokens > 0")
     caps = [tuple(r) for r in capacities.select("capacity_id", "capacity_tokens").dropna().where("capacity_tokens > 0").distinct().collect()]  # a fixed list
+    if not caps:
+        sized, caps = sized.where(F.lit(False)), [(0, 1)]
     kinds = F.array(*(F.struct(F.lit(i).alias("capacity_id"), F.lit(c).alias("capacity_tokens")) for i, c in caps))
     each = sized.select("doc_id", "n_tokens", F.explode(kinds).alias("c")).select("c.*", "doc_id", "n_tokens")
     parts = each.select("*", F.explode(F.sequence(F.lit(0), F.expr("(n_tokens - 1) div capacity_tokens").cast("int"))).alias("part"))
