@@ -1,8 +1,8 @@
 """Deeply nested semi-structured records as related flat tables (problem 1).
 
 Every JSON node gets a state from a bottom-up tree automaton: the state depends on the node's label
-and the states of the children that the rules name. The states of tools, parameters, calls and
-arguments are the structural variants; each variant goes to a subtype table with the columns that
+and the states of the children that the rules name (DECLARATION, PARAMETERS, BODY, TOOL, CALL). The
+states of tools, parameters, calls and arguments are the structural variants; each variant goes to a subtype table with the columns that
 this shape has, and every row keeps the supertype keys (row_index, node_id, parent_id, pos, path).
 
 Edge cases: records whose tools or answers are null or not standard JSON give one `record` row with
@@ -41,17 +41,57 @@ SUBTYPES = {
 }
 
 
+# The automaton: a node's state from the states of the children that a rule names; the first rule that
+# holds decides. A child's state may be one of several; "*" is any child, "" an absent one.
+Rules = tuple[tuple[dict[str, tuple[str, ...]], str], ...]
+_MAP = ("map", "empty_object")
+DECLARATION: Rules = (
+    ({"properties": _MAP}, "object"),
+    ({"items": ("object", "array_of_objects")}, "array_of_objects"),
+    ({"items": ("*",)}, "array"),
+    ({"type": ("string",)}, "scalar"),
+    ({}, "untyped"),
+)
+PARAMETERS: Rules = (({"type": ("string",)}, "schema"), ({}, "flat"))
+BODY: Rules = (({"parameters": ("schema",)}, "schema"), ({"parameters": ("flat",)}, "flat"), ({}, "bare"))
+TOOL: Rules = (
+    ({"function": ("schema",)}, "wrapped_schema"),
+    ({"function": ("flat",)}, "wrapped_flat"),
+    ({"function": ("bare",)}, "wrapped_bare"),
+    ({"self": ("schema",)}, "schema"),
+    ({"self": ("flat",)}, "flat"),
+    ({}, "bare"),
+)
+CALL: Rules = (
+    ({"arguments": ("json_text",)}, "text"),
+    ({"arguments": ("", "null", "empty_object")}, "empty"),
+    ({"arguments": ("map",)}, "object"),
+    ({}, "other"),
+)
+
+
 def leaf_state(value: Any) -> str:
-    """Automaton states of nodes without children."""
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, (int, float)):
-        return "number"
-    if isinstance(value, str):
-        return "string"
-    return "empty_object" if isinstance(value, dict) else "empty_array"
+    """States of nodes by their label alone."""
+    match value:
+        case None:
+            return "null"
+        case bool():
+            return "boolean"
+        case int() | float():
+            return "number"
+        case str():
+            return "string"
+        case dict():
+            return "map" if value else "empty_object"
+    return "list" if value else "empty_array"
+
+
+def transition(rules: Rules, children: dict[str, str]) -> str:
+    """The state that the rules give to a node with these child states."""
+    for wanted, state in rules:
+        if all(("*" in states and k in children) or children.get(k, "") in states for k, states in wanted.items()):
+            return state
+    raise AssertionError("every rule list ends with a rule that always holds")
 
 
 def schema_state(decl: Any) -> tuple[str, list[tuple[str, dict]]]:
@@ -59,43 +99,37 @@ def schema_state(decl: Any) -> tuple[str, list[tuple[str, dict]]]:
 
     Runs up the chain of `items` from its end, so each declaration is looked at once.
     """
-    below, step, states = [], "", []
+    below, chain, step = [], [], ""
     while isinstance(decl, dict):
-        props, items = decl.get("properties"), decl.get("items")
-        if isinstance(props, dict) and props:
-            below.append((step, props))
-        states.append(("properties" if isinstance(props, dict) else "", "items" in decl, isinstance(decl.get("type"), str)))
-        decl, step = items, step + "[]"
-    state = "untyped"
-    for props, items, typed in reversed(states):
-        if props:
-            state = "object"
-        elif items:
-            state = "array_of_objects" if state in ("object", "array_of_objects") else "array"
-        else:
-            state = "scalar" if typed else "untyped"
-    return state, below
+        chain.append({k: leaf_state(decl[k]) for k in ("properties", "items", "type") if k in decl})
+        if isinstance(decl.get("properties"), dict) and decl["properties"]:
+            below.append((step, decl["properties"]))
+        decl, step = decl.get("items"), step + "[]"
+    state = ""
+    for children in reversed(chain):
+        if state:
+            children["items"] = state
+        state = transition(DECLARATION, children)
+    return state or "untyped", below
 
 
 def params_state(parameters: Any) -> tuple[str, dict]:
     """State of a tool's `parameters` and its map of top-level parameters."""
     if not isinstance(parameters, dict) or not parameters:
-        return "bare", {}
-    if isinstance(parameters.get("type"), str):
-        props = parameters.get("properties")
-        return "schema", props if isinstance(props, dict) else {}
-    return "flat", parameters
+        return leaf_state(parameters), {}
+    state = transition(PARAMETERS, {"type": leaf_state(parameters["type"])} if "type" in parameters else {})
+    params = parameters if state == "flat" else parameters.get("properties")
+    return state, params if isinstance(params, dict) else {}
 
 
 def tool_state(tool: Any) -> tuple[str, dict, dict]:
-    """State of a tool from the states of its children: variant, the object that names it, its parameters."""
+    """State of a tool: variant, the object that names it, its parameters."""
     if not isinstance(tool, dict):
         return "other", {}, {}
-    inner = tool.get("function")
-    wrapped = isinstance(inner, dict)
-    body = inner if wrapped else tool
+    place = "function" if isinstance(tool.get("function"), dict) else "self"
+    body = tool["function"] if place == "function" else tool
     state, params = params_state(body.get("parameters"))
-    return ("wrapped_" if wrapped else "") + state, body, params
+    return transition(TOOL, {place: transition(BODY, {"parameters": state})}), body, params
 
 
 def call_state(call: Any) -> tuple[str, Any]:
@@ -104,12 +138,13 @@ def call_state(call: Any) -> tuple[str, Any]:
         return "other", None
     body = call["function"] if isinstance(call.get("function"), dict) else call
     args = body.get("arguments")
+    children = {"arguments": leaf_state(args)} if "arguments" in body else {}
     if isinstance(args, str):
         value = try_loads(args)
-        return ("other", None) if value is BAD else ("text", value)
-    if args is None or args == {}:
-        return "empty", None
-    return ("object" if isinstance(args, dict) else "other"), args
+        args = None if value is BAD else value
+        if value is not BAD:
+            children["arguments"] = "json_text"
+    return transition(CALL, children), args
 
 
 def _name(body: dict) -> str | None:
