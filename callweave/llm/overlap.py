@@ -67,7 +67,9 @@ def first_user(messages: list[dict] | None) -> str | None:
     return next((m.get("content") for m in messages or [] if m and (m.get("role") or "").strip().lower() == "user"), None)
 
 
-_SCHEMA = pa.schema([("record_no", pa.int64()), ("calls", pa.int64()), ("cls", pa.int64()), ("symbols", pa.list_(pa.int64()))])
+_SCHEMA = pa.schema(
+    [(c, pa.int64()) for c in ("record_no", "calls", "cls")] + [("symbols", pa.list_(pa.int64()))] + [(c, pa.string()) for c in ("side", "split", "source_dataset")]
+)
 
 
 def _signed(h: int) -> int:
@@ -77,7 +79,7 @@ def _signed(h: int) -> int:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for record_no, messages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for record_no, messages, *rest in zip(*(c.to_pylist() for c in batch.columns)):
             words, key = distinct_words(first_user(messages)), calls_key(messages)
             if words and key is not None:
                 calls = xxhash.xxh64_intdigest(key)
@@ -86,8 +88,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s = (w.view(np.uint64) ^ np.uint64(calls)) * np.uint64(0x9E3779B97F4A7C15)
                     s ^= s >> np.uint64(32)
                 cls = xxhash.xxh64_intdigest(np.sort(s).tobytes())
-                out.append((record_no, _signed(calls), _signed(cls), s.view(np.int64)))
-        columns = list(zip(*out)) if out else [[]] * 4
+                out.append((record_no, _signed(calls), _signed(cls), s.view(np.int64), *rest))
+        columns = list(zip(*out)) if out else [[]] * len(_SCHEMA)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
@@ -96,8 +98,7 @@ def sides(records: DataFrame) -> DataFrame:
     split = F.lower(F.trim("metadata.split"))
     side = F.when(split == "train", "train").when(split.isin("validation", "test"), "eval")
     known = records.select("record_no", "messages", side.alias("side"), split.alias("split"), F.col("metadata.source_dataset").alias("source_dataset")).where("side is not null")
-    parts = spread(known.select("record_no", "messages")).mapInArrow(_extract, "record_no long, calls long, cls long, symbols array<long>")
-    return parts.join(known.drop("messages"), "record_no")
+    return spread(known).mapInArrow(_extract, "record_no long, calls long, cls long, symbols array<long>, side string, split string, source_dataset string")
 
 
 def _build(shard_rows: pd.DataFrame) -> pd.DataFrame:
