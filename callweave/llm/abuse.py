@@ -37,7 +37,9 @@ from callweave.session import spread
 
 MAX_TRAIN_DOCS, MAX_TRAIN_SEGMENTS = 10_000, 30_000
 ORDERS, BITS = (3, 4, 5), 19
-THRESHOLD = 0.4
+#: Segments with fewer n-grams weigh as little as if they had so many: a name or a code is no sentence.
+SHORT = 40
+THRESHOLD = 0.35
 
 # --- fixed values: letters that look like Latin ones, and digits or signs used for letters ---------
 ALIKE = dict(zip("авекмнорстухіјѕԁɡһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοιν", "abekmhopctyxijsdghqwABEZHIKMNOPTYXaoiv"))
@@ -76,11 +78,20 @@ def comparable(text: str) -> str:
 
 
 def segments(text: str | None) -> list[str]:
-    """Comparable segments of a text: sentences, turns and JSON strings, numbers as 0."""
+    """Comparable segments of a text: sentences, turns and JSON strings, numbers as 0.
+
+    A single word (a name, a code) says little alone and joins the segment before it.
+    """
     if not text or not text.strip():
         return []
     parts = (_BLANK.sub(" ", _DIGITS.sub("0", _ROLE.sub("", p))).strip(' "\'{}[]()') for p in _SPLIT.split(comparable(text)))
-    return [p for p in parts if len(p) >= 3]
+    out: list[str] = []
+    for p in parts:
+        if out and " " not in p:
+            out[-1] += f" {p}" if p else ""
+        elif p:
+            out.append(p)
+    return out
 
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +130,7 @@ class Model:
         ids, owner = ngrams(parts)
         total = np.bincount(owner, self.weight[ids], len(parts))
         n = np.bincount(owner, minlength=len(parts))
-        return 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(n, 1)) + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(n, SHORT)) + self.bias, -30, 30)))
 
 
 class _Rows:
@@ -130,7 +141,7 @@ class _Rows:
         key, counts = np.unique(owner.astype(np.int64) << BITS | ids, return_counts=True)
         self.ids, self.row, self.n = (key & ((1 << BITS) - 1)).astype(np.int32), (key >> BITS).astype(np.int32), len(parts)
         size = np.bincount(owner, minlength=self.n)
-        self.value = (counts / np.sqrt(np.maximum(size, 1))[self.row]).astype(np.float32)
+        self.value = (counts / np.sqrt(np.maximum(size, SHORT))[self.row]).astype(np.float32)
 
     def pick(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         at = np.full(self.n, -1, np.int32)

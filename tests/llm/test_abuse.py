@@ -25,7 +25,7 @@ def test_disguises_are_undone():
     for text in ("I am so h o r n y", "so ho​rny", "so hоrny", "so h0rny", "so HORNY", "so hooooorny".replace("ooooo", "o"), "so h.o.r.n.y"):
         assert "horny" in m.comparable(text), text
     assert m.comparable("Ungezieeeefer") == "ungeziefer" and m.comparable("vergüenza") == m.comparable("vergÃ¼enza") == "verguenza"
-    assert m.segments(None) == m.segments(" \n") == [] and m.segments("user: a bc. De 12!\nx") == ["a bc.", "de 0!"]
+    assert m.segments(None) == m.segments(" \n") == [] and m.segments("user: a bc. De 12!\nx\ny z") == ["a bc.", "de 0! x", "y z"]
 
 
 def test_held_out_accuracy_with_wrong_labels():
