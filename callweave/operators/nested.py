@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.jsonx import BAD, canonical, try_loads
-from callweave.session import spread
+from callweave.session import shared_table, spread
 
 NODE_SCHEMA = (
     "row_index long, kind string, variant string, node_id string, parent_id string, pos int, tool_pos int, "
@@ -244,11 +244,16 @@ _OWN = {
 }
 
 
+def routed(nodes: DataFrame) -> DataFrame:
+    """The supertype table written once, each variant to its own part, for `variant_tables`."""
+    return shared_table(nodes, "kind", "variant")
+
+
 def variant_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     """The supertype table routed into one typed table per structural variant, e.g. `tool_wrapped_schema`.
 
     Values of numeric and boolean arguments are typed; all tables keep the common keys and parent link.
-    `nodes` should be a written table or checkpoint, as each subtype filters it again.
+    `nodes` should come from `routed`, so that each subtype reads its own part only.
     """
     out = {}
     for kind, variants in SUBTYPES.items():

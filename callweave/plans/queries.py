@@ -53,11 +53,13 @@ def p1_variants(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p1_subtypes(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each subtype table, and how many of them have their parent in the tables."""
-    nodes = cut(nested.shred(table(spark, folder, "raw_rows")))
-    parts = [t.select(F.lit(name).alias("subtype"), "row_index", "parent_id") for name, t in nested.variant_tables(nodes).items()]
-    rows = reduce(DataFrame.unionByName, parts)
-    ids = nodes.where("kind <> 'arg'").select("row_index", F.col("node_id").alias("parent_id"), F.lit(1).alias("there")).distinct()
-    return rows.join(ids, ["row_index", "parent_id"], "left").groupBy("subtype").agg(F.count("*").alias("n_rows"), F.count("there").alias("with_parent"))
+    nodes = nested.routed(nested.shred(table(spark, folder, "raw_rows")))
+    link = lambda c: F.xxhash64("row_index", c)
+    parts = [t.select(F.lit(name).alias("subtype"), F.when(F.col("parent_id").isNotNull(), link("parent_id")).alias("parent")) for name, t in nested.variant_tables(nodes).items()]
+    rows = reduce(DataFrame.unionByName, parts).groupBy("subtype", "parent").agg(F.count("*").alias("n"))
+    ids = nodes.where("kind <> 'arg'").select(link("node_id").alias("parent"), F.lit(1).alias("there"))
+    out = rows.join(ids, "parent", "left").groupBy("subtype")
+    return out.agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("there") == 1, F.col("n")).otherwise(0)).alias("with_parent"))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
@@ -47,6 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_table(df: DataFrame, *partition_by: str) -> DataFrame:
+    """df as a compressed table in the shared folder, read again; filters on the partition columns read only their part."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -70,5 +78,4 @@ BROADCAST_IDS = 1_000_000
 
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join of df with a materialised table of ids (one column, same name); broadcast only if small enough."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(broadcast(ids) if small else ids, column, how)
+    return df.join(broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
