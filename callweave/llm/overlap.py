@@ -36,6 +36,8 @@ from callweave.session import cut, spread
 SHARE = (7, 10)
 #: Evaluation classes in an index, and training classes in one search task, about.
 SHARD_ROWS, CHUNK_ROWS = 8_000, 16_000
+#: Places located and pairs merged at a time, which bounds the memory of a search task.
+PLACES, PAIRS = 1_000_000, 20_000
 
 
 def _fold(value: object) -> object:
@@ -125,11 +127,7 @@ def stream(index: Index, ids: np.ndarray, classes: np.ndarray, patterns: list[np
     place = np.arange(len(order)) - base[owner]
     anchors = order[(place < (sizes - -(-sizes * p // q) + 1)[owner])]
     anchors = anchors[width[anchors] > 0]
-    # backward search: all places of each anchor, then the maximal extension to the left
-    rows = np.repeat(lo[anchors], width[anchors]) + _ramp(width[anchors])
-    doc, _ = index.documents(index.locate(rows))
-    pairs = np.unique(np.repeat(owner[anchors], width[anchors]) * len(ids) + doc)
-    a, b = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+    # backward search: the maximal extension of each anchor to the left
     reach = np.ones(len(anchors), np.int64)
     at, l, h, live = anchors.copy(), lo[anchors], hi[anchors], np.arange(len(anchors))
     while len(live):
@@ -151,24 +149,45 @@ def stream(index: Index, ids: np.ndarray, classes: np.ndarray, patterns: list[np
     keys = sym * docs + d
     by = np.argsort(keys, kind="stable")
     keys, offset = keys[by], offset[by]
-    n = sizes[a]
-    word = np.repeat(base[a], n) + _ramp(n)
-    pair = np.repeat(np.arange(len(a)), n)
-    want = np.maximum(symbol[word], 0) * docs + b[pair]
+    length = np.diff(index.starts) - 1
+    out = [pd.DataFrame({c.split()[0]: np.empty(0, np.int64) for c in MATCH.split(", ")})]
+    for part in _slices(owner[anchors], width[anchors]):  # all places of the anchors, a bounded number at a time
+        own, w = anchors[part], width[anchors[part]]
+        doc, _ = index.documents(index.locate(np.repeat(lo[own], w) + _ramp(w)))
+        pairs = np.unique(np.repeat(owner[own], w) * docs + doc)
+        for at in range(0, len(pairs), PAIRS):
+            x, y = pairs[at : at + PAIRS] // docs, pairs[at : at + PAIRS] % docs
+            common, spans, longest = _merge(keys, offset, docs, symbol, base[x], sizes[x], y)
+            ok = common * q >= (sizes[x] + length[y] - common) * p
+            found = {"train_cls": classes[x], "eval_cls": ids[y], "common": common, "train_words": sizes[x], "eval_words": length[y], "spans": spans, "longest": longest, "reach": longest_any[x]}
+            out.append(pd.DataFrame(found)[ok])
+    return pd.concat(out)
+
+
+def _slices(owner: np.ndarray, width: np.ndarray) -> Iterator[slice]:
+    """Runs of anchors of whole records with at most about PLACES places together."""
+    group = (np.cumsum(width) - width) // PLACES
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, np.int64)
+    starts = first[np.concatenate(([True], group[first][1:] != group[first][:-1]))] if len(first) else first
+    for a, b in zip(starts, [*starts[1:], len(owner)]):
+        yield slice(a, b)
+
+
+def _merge(keys: np.ndarray, offset: np.ndarray, docs: int, symbol: np.ndarray, base: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matched words, spans and longest span of (record, document) pairs; `keys` are sorted symbol * docs + document, at `offset`."""
+    word = np.repeat(base, n) + _ramp(n)
+    pair = np.repeat(np.arange(len(n)), n)
+    want = np.maximum(symbol[word], 0) * docs + doc[pair]
     found = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
-    where = np.where((keys[found] == want) & (symbol[word] > 0), offset[found], -2) if len(keys) else np.full(len(want), -2)
-    hit = where >= 0
-    common = np.bincount(pair[hit], minlength=len(a))
+    hit = (keys[found] == want) & (symbol[word] > 0) if len(keys) else np.zeros(len(want), bool)
+    where = np.where(hit, offset[found], -2) if len(keys) else np.full(len(want), -2)
     starts = hit.copy()
     if len(hit) > 1:
         starts[1:] &= ~((where[1:] == where[:-1] + 1) & (pair[1:] == pair[:-1]) & hit[:-1])
-    run = np.cumsum(starts) - 1
-    lengths = np.bincount(run[hit], minlength=int(starts.sum()))
-    longest = np.zeros(len(a), np.int64)
+    lengths = np.bincount((np.cumsum(starts) - 1)[hit], minlength=int(starts.sum()))
+    longest = np.zeros(len(n), np.int64)
     np.maximum.at(longest, pair[starts], lengths)
-    length = np.diff(index.starts) - 1
-    ok = common * q >= (n + length[b] - common) * p
-    return pd.DataFrame({"train_cls": classes[a], "eval_cls": ids[b], "common": common, "train_words": n, "eval_words": length[b], "spans": np.bincount(pair[starts], minlength=len(a)), "longest": longest, "reach": longest_any[a]})[ok]
+    return np.bincount(pair[hit], minlength=len(n)), np.bincount(pair[starts], minlength=len(n)), longest
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:

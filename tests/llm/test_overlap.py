@@ -52,6 +52,8 @@ def some_records(n=220, seed=2, keys=4):
 def test_pairs_equal_brute_force(spark, monkeypatch, shard, chunk, keys):
     monkeypatch.setattr(m, "SHARD_ROWS", shard)
     monkeypatch.setattr(m, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(m, "PAIRS", shard // 2)
+    monkeypatch.setattr(m, "PLACES", 10 * shard)
     rows = some_records(keys=keys)
     got = [(r.record_a, r.record_b) for r in m.found(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
