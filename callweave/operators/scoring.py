@@ -6,12 +6,15 @@ Python where calls are canonical: `same_calls` compares sorted arrays.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callweave.functions import calls as c
+from callweave.functions import chat
 from callweave.jsonx import canonical
 
 _TEXTS = T.ArrayType(T.StringType())
@@ -88,7 +91,28 @@ def accuracy(scored: DataFrame, score: str, *by: str) -> DataFrame:
     return scored.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(s[f].cast("double")).alias(f) for f in flags))
 
 
+class ParsedCalls:
+    """Table function: one row for each call in a text."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        for i, x in enumerate(c.parse_calls(_text(text)).calls):
+            yield i, x.name, None if x.arguments is None else canonical(x.arguments)
+
+
+class LossSpans:
+    """Table function: one row for each span of a rendered text; malformed text gives one row with its error."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        try:
+            for a, b, region in chat.loss_spans(_text(text)):
+                yield a, b, region, region == chat.TRAINED, None
+        except ValueError as e:
+            yield None, None, None, None, str(e)
+
+
 def register(spark: SparkSession) -> None:
-    """The functions under their names in SQL."""
+    """The functions under their names in SQL; parsed_calls and loss_spans for LATERAL."""
     for f in (parse_calls, score_call, score_calls, score_calls_ordered):
         spark.udf.register(f.__name__, f)
+    spark.udtf.register("parsed_calls", F.udtf(ParsedCalls, returnType="call_pos int, name string, arguments string"))
+    spark.udtf.register("loss_spans", F.udtf(LossSpans, returnType="start int, end int, region string, in_loss boolean, error string"))

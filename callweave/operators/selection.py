@@ -202,3 +202,17 @@ def representatives(records: DataFrame, count: int = 5) -> DataFrame:
                 used.add(r.id)
                 out.append((len(out), "fill", r.id))
     return records.sparkSession.createDataFrame(out, "pos int, feature string, id string")
+
+
+#: The public fields of a manifest; fingerprints and raw rows stay out.
+MANIFEST = (
+    "row_index", "generator", "call_bucket", "available_tool_count", "expected_call_count", "distinct_expected_tool_count", "repeated_same_tool",
+    "multiple_distinct_tools", "parameter_types", "has_complex_parameters",
+)
+
+
+def manifest(selected: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row per selected record with its split, position and public fields, in that order."""
+    first = candidates.groupBy("id").agg(F.min("row_index").alias("row_index"))
+    rows = selected.select("split", "pos", "id").join(candidates.drop("split").join(first, ["id", "row_index"]), "id")
+    return rows.select("split", "pos", "id", *MANIFEST).orderBy("split", "pos")

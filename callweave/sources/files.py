@@ -91,3 +91,34 @@ def group_checksums(spark: SparkSession, groups: dict[str, list[str]]) -> DataFr
         raise FileNotFoundError(f"missing artifacts: {absent}")
     of = spark.createDataFrame([(g, Path(p).resolve().as_uri().replace("file:///", "file:/")) for g, p in names], "group string, path string")
     return of.join(file_checksums(spark, sorted({p for _, p in names})), "path")
+
+
+def write_preview(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Rows as readable text, one block each under a rule of 100 characters; for samples."""
+    lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns]
+    rows.select(F.concat_ws("\n", F.lit("=" * 100), *lines).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def provenance(paths: list[str], revision: str | None = None, **about: str) -> dict[str, Any]:
+    """Where files came from: size, SHA-256, revision and time of recording."""
+    import hashlib
+    from datetime import UTC, datetime
+
+    def one(path: str) -> dict[str, Any]:
+        digest = hashlib.sha256()
+        with open(path, "rb") as f:
+            while block := f.read(1 << 20):
+                digest.update(block)
+        return {"path": path, "bytes": Path(path).stat().st_size, "sha256": digest.hexdigest()}
+
+    return {"files": [one(p) for p in paths], "revision": revision, "recorded_at": datetime.now(UTC).isoformat(), **about}
+
+
+def find_revision(cache: str) -> str | None:
+    """The revision of a download cache: its metadata file's first line, refs/main, or the only snapshot."""
+    root = Path(cache)
+    for path in (*sorted(root.glob("**/*.metadata")), root / "refs" / "main"):
+        if path.is_file() and (lines := path.read_text(encoding="utf-8").split("\n")) and lines[0].strip():
+            return lines[0].strip()
+    snapshots = sorted(p.name for p in root.glob("snapshots/*") if p.is_dir())
+    return snapshots[0] if len(snapshots) == 1 else None

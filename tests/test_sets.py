@@ -28,6 +28,8 @@ def test_selection_fills_quotas_once_and_again_alike(spark):
     assert (count(split="train"), count(split="validation"), count(split="test")) == (120, 40, 40)
     assert count(split="train", call_bucket="two_calls", generator="mixtral") == 15 and count(generator="deepseek") == 100
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, selection.select(c).collect()))
+    public = selection.manifest(first, c.withColumn("distinct_expected_tool_count", F.lit(1)))
+    assert public.count() == 200 and "fingerprint" not in public.columns
     total = {(r.measure, r.value): r.n for r in selection.summary(first, c).collect()}
     assert total["split", "test"] == 40 and total["parameter_type", "int"] == 200
     with pytest.raises(LookupError):
@@ -100,6 +102,10 @@ def test_scores_on_columns(spark):
     rows = df.select(scoring.score_calls("p", "e").alias("s"), scoring.parse_calls("p").alias("c")).collect()
     assert rows[0].s.complete_call_match and not rows[1].s.valid_structure and rows[1]["c"]["errors"] == ["Model output is empty."]
     df.createOrReplaceTempView("outputs")
+    texts = spark.createDataFrame([("<|im_start|>user\nhi<|im_end|>\n",), ("<|im_start|>x",), (None,)], "t string")
+    texts.createOrReplaceTempView("texts")
+    assert {(r.region, r.error) for r in spark.sql("SELECT s.* FROM texts, LATERAL loss_spans(t) s").collect()} == {("user_request", None), (None, "Malformed rendered chat block header.")}
+    assert [tuple(r) for r in spark.sql("SELECT c.* FROM outputs, LATERAL parsed_calls(e) c").collect()] == [(0, "f", '{"a":1.0}')]
     assert spark.sql("SELECT score_calls(p, e).matched AS m FROM outputs WHERE p IS NOT NULL").first().m == 1
 
 
@@ -138,6 +144,14 @@ def test_files(spark, tmp_path):
     assert (report.group, report.bytes, report.line_count, report.sha256) == ("raw", len(text), 1, hashlib.sha256(text).hexdigest())
     with pytest.raises(FileNotFoundError):
         files.group_checksums(spark, {"raw": ["/nowhere"]})
+    files.write_preview(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "p"), ["a", "b"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "p")).collect()] == ["=" * 100, "a: 1", "b: null"]
+    assert files.provenance([str(tmp_path / "train.jsonl")], "r1", licence="x")["files"][0]["sha256"] == report.sha256
+    (tmp_path / "cache" / "snapshots" / "abc").mkdir(parents=True)
+    assert files.find_revision(str(tmp_path / "cache")) == "abc"
+    (tmp_path / "cache" / "refs").mkdir()
+    (tmp_path / "cache" / "refs" / "main").write_text("def\n")
+    assert files.find_revision(str(tmp_path / "cache")) == "def"
     files.write_report({"b": 1, "a": "é"}, str(tmp_path / "r.json"))
     assert (tmp_path / "r.json").read_text() == '{\n  "a": "é",\n  "b": 1\n}\n'
     df = spark.createDataFrame([(2, "b"), (1, "a")], "row_index long, record string")
