@@ -32,7 +32,7 @@ from callweave.session import spread
 
 ROW_SCHEMA = "line_id long, reason string, id long, query string, tools string, answers string"
 _ARROW_SCHEMA = pa.schema([("line_id", pa.int64()), ("reason", pa.string()), ("id", pa.int64()), ("query", pa.string()), ("tools", pa.string()), ("answers", pa.string())])
-BLOCK = 256
+BLOCK = 64
 MAX_ID = 9223372036854775807
 
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",][^,"]*|)'
@@ -58,10 +58,7 @@ def _arrays_of_objects(texts: list[str]) -> bool:
 
 
 def _bulk(lines: list[str]) -> list[tuple] | None:
-    """The records of a block by the columnar path, or None if anything in it is not clean."""
-    column = pa.array(lines, pa.string())
-    if not pc.all(pc.match_substring_regex(column, _RECORD)).as_py() or any("\r" in x for x in lines):
-        return None
+    """The records of a block of well-formed records by the columnar path, or None if a value is not valid."""
     try:
         parsed = pacsv.read_csv(io.BytesIO("\n".join(lines).encode()), **_CSV)
         ids = pc.utf8_trim(parsed["id"], " ")
@@ -133,14 +130,22 @@ def diagnose(line: str | None) -> tuple:
     return None, int(m[1]), *fields[1:]
 
 
-def parse_block(lines: list[str | None]) -> list[tuple]:
+def well_formed(lines: list[str | None]) -> list[bool]:
+    """Which lines are records of four fields by the grammar, in one columnar pass."""
+    column = pa.array(lines, pa.string())
+    good = pc.and_(pc.match_substring_regex(column, _RECORD), pc.invert(pc.match_substring(column, "\r")))
+    return pc.fill_null(good, False).to_pylist()
+
+
+def parse_block(lines: list[str | None], formed: list[bool] | None = None) -> list[tuple]:
     """Results of a block in order: bulk where it is clean, bisected down to single records where it is not."""
-    if None not in lines and (rows := _bulk(lines)) is not None:
+    formed = well_formed(lines) if formed is None else formed
+    if all(formed) and (rows := _bulk(lines)) is not None:
         return [(None, *r) for r in rows]
     if len(lines) == 1:
         return [diagnose(lines[0])]
     half = len(lines) // 2
-    return parse_block(lines[:half]) + parse_block(lines[half:])
+    return parse_block(lines[:half], formed[:half]) + parse_block(lines[half:], formed[half:])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
