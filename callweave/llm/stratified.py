@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from callweave.session import cut
+
 CELL = ["split", "call_bucket", "generator"]
 #: Rows of one key range, about: the edge range is ranked in one task.
 RANGE_ROWS = 20_000
@@ -42,7 +44,7 @@ def usable_ids(candidates: DataFrame) -> DataFrame:
 
 def cell_counts(usable: DataFrame, targets: DataFrame, fraction: float = 0.25) -> DataFrame:
     """Each target cell with available ids, N, sample size and needed rows (all counts over all rows)."""
-    counts = usable.groupBy(*CELL).agg(F.count("*").alias("available"))
+    counts = cut(usable.groupBy(*CELL).agg(F.count("*").alias("available")))  # a few rows, used twice
     total = counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("n_usable")).withColumn("size", F.floor(F.col("n_usable") * fraction))
     keyed = targets.select(*(F.col(c).alias(f"t_{c}") for c in CELL), *(clean(c).alias(c) for c in CELL), "target_share", "min_rows")
     return (
