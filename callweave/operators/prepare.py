@@ -20,7 +20,7 @@ from callweave.functions.annotations import AnnotationError, annotated_default,
 from callweave.functions.checks import CONTEXT_LIMIT, failure_issue, record_issues
 from callweave.functions.records import GENERATOR_BOUNDARY, canonical_record, lists_of
 from callweave.jsonx import canonical
-from callweave.session import spread
+from callweave.session import shared_table, spread
 
 # --- fixed values: call buckets and terms of complex types ---------------------------------------
 BUCKETS = ("single_call", "two_calls", "three_or_more_calls")
@@ -154,7 +154,10 @@ def gated(prepared: DataFrame) -> DataFrame:
     """The final gate of each row: an id is taken by its first eligible row, later readable rows are duplicates.
 
     The first eligible row of an id comes from an aggregation, so an id with very many rows is no hot task.
+    The rows are written once in the shared folder, as both sides of the join need them; callers
+    select the columns they want before.
     """
+    prepared = shared_table(prepared)
     first = prepared.where("gate is null").groupBy("id").agg(F.min("row_index").alias("first"))
     late = F.col("id").isNotNull() & (F.col("row_index") > F.col("first")) & ~F.coalesce(F.col("gate").isin("invalid_source_id", "invalid_record"), F.lit(False))
     return prepared.join(first, "id", "left").withColumn("gate", F.when(late, "duplicate_id").otherwise(F.col("gate"))).drop("first")
@@ -168,12 +171,12 @@ CANDIDATE = [
 
 def candidates(prepared: DataFrame) -> DataFrame:
     """The eligible rows."""
-    return gated(prepared).where("gate is null").select(*CANDIDATE)
+    return gated(prepared.select("gate", *CANDIDATE)).where("gate is null").select(*CANDIDATE)
 
 
 def rejections(prepared: DataFrame) -> DataFrame:
     """Rows per reason of rejection."""
-    return gated(prepared).where("gate is not null").groupBy("gate").agg(F.count("*").alias("n"))
+    return gated(prepared.select("row_index", "id", "gate")).where("gate is not null").groupBy("gate").agg(F.count("*").alias("n"))
 
 
 def issue_counts(prepared: DataFrame) -> DataFrame:

@@ -309,7 +309,7 @@ def normalize_records(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def candidate_gate(spark: SparkSession, folder: str) -> DataFrame:
-    return prepare.gated(_prepared(spark, folder)).select("row_index", F.coalesce("gate", F.lit("eligible")).alias("gate"))
+    return prepare.gated(_prepared(spark, folder).select("row_index", "id", "gate")).select("row_index", F.coalesce("gate", F.lit("eligible")).alias("gate"))
 
 
 @query
