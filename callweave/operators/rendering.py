@@ -24,6 +24,7 @@ CHECKS = [*chat.FAILURES, "decoded_matches_rendered"]
 RENDERED = "record_no long, token_count int, rendered_text string, tool_call_delimiters array<string>, expected_calls string, rendered_calls string, " + ", ".join(f"{c} boolean" for c in CHECKS) + ", failures array<string>, error string"
 SPANS = "record_no long, span_pos int, start int, end int, region string, in_loss boolean, error string"
 LABELS = "record_no long, token_pos int, token_id int, token string, label int, region string, start int, end int, error string"
+DIAGNOSTIC = "record_no long, lines string, error string"
 BLOCKS = "record_no long, block_pos int, role string, start int, content_start int, content_end int, end int, error string"
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
@@ -77,6 +78,10 @@ def _labels(record_no: int, record: dict, tokenizer: Any) -> Iterator[dict]:
         yield {"record_no": record_no, "token_pos": i, "token_id": token, "token": text, "label": label, "region": region, "start": a, "end": b}
 
 
+def _diagnostic(record_no: int, record: dict, tokenizer: Any) -> Iterator[dict]:
+    yield {"record_no": record_no, "lines": chat.diagnostic(chat.token_labels(record, tokenizer), 120, True)}
+
+
 def _per_record(records: DataFrame, ddl: str, work: Callable[[int, dict, Any], Iterator[dict]], factory: Factory) -> DataFrame:
     schema = _schema(ddl)
 
@@ -115,6 +120,11 @@ def token_labels(records: DataFrame, tokenizer: Factory = chat.ChatMarkup) -> Da
     return _per_record(records, LABELS, _labels, tokenizer)
 
 
+def mask_diagnostics(records: DataFrame, tokenizer: Factory = chat.ChatMarkup) -> DataFrame:
+    """Up to 120 tokens and labels of each record as text, from shortly before the first trained token."""
+    return _per_record(records, DIAGNOSTIC, _diagnostic, tokenizer)
+
+
 def mask_counts(labels: DataFrame) -> DataFrame:
     """Tokens in and out of the loss per record."""
     return labels.where("error is null").groupBy("record_no").agg(F.count_if(F.col("label") != chat.IGNORE).alias("included"), F.count_if(F.col("label") == chat.IGNORE).alias("ignored"))

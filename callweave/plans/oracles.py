@@ -24,6 +24,29 @@ _BODIES = """
   SELECT row_index, t.pos - 1 AS pos, CASE WHEN json_type(t.tool, '$.function') = 'OBJECT' THEN t.tool->'function' ELSE t.tool END AS body
   FROM r, LATERAL (SELECT unnest(json_extract(r.tools, '$[*]')) AS tool, generate_subscripts(json_extract(r.tools, '$[*]'), 1) AS pos) t"""
 
+_LINES = rf"""
+WITH f AS (SELECT line_id, line, '("([^"]|"")*"|[^",][^,"]*|)' AS fld FROM raw_lines),
+q AS (SELECT line_id, line, regexp_full_match(line, '(?s)' || fld || '(,' || fld || ')*') AS quoted FROM f),
+s AS (
+  SELECT line_id, line, quoted, CASE WHEN quoted THEN regexp_extract_all(',' || line, '(?s),("(?:[^"]|"")*"|[^,]*)', 1) END AS parts FROM q),
+u AS (
+  SELECT line_id, line, quoted, list_transform(parts, lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS v FROM s),
+w AS (
+  SELECT line_id, line, quoted, len(v) AS n, trim(v[1], ' ') AS id, v[2] AS query, v[3] AS tools, v[4] AS answers FROM u),
+g AS (
+  SELECT *, {strict_json('tools')} AS tools_valid, {strict_json('answers')} AS answers_valid FROM w),
+j AS (
+  SELECT *, CASE WHEN tools_valid THEN tools::JSON END AS tj, CASE WHEN answers_valid THEN answers::JSON END AS aj FROM g),
+judged AS (
+  SELECT line_id, id, query, tools, answers, CASE
+    WHEN line IS NULL THEN 'column_count'
+    WHEN NOT quoted THEN 'quoting'
+    WHEN n <> 4 THEN 'column_count'
+    WHEN NOT regexp_full_match(id, '[0-9]+') OR try_cast(id AS HUGEINT) IS NULL OR try_cast(id AS HUGEINT) > 9223372036854775807 THEN 'id'
+    WHEN NOT coalesce(tools_valid AND json_type(tj) = 'ARRAY' AND json_array_length(tj) > 0 AND len(list_filter(json_extract(tj, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0, false) THEN 'tools'
+    WHEN NOT coalesce(answers_valid AND json_type(aj) = 'ARRAY' AND json_array_length(aj) > 0 AND len(list_filter(json_extract(aj, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0, false) THEN 'answers'
+  END AS reason FROM j)"""
+
 SQL: dict[str, str] = {
     "p1_found": rf"""
 WITH r AS ({_READABLE}), b AS ({_BODIES}),
@@ -46,28 +69,8 @@ leaf AS (
 SELECT row_index, 'param' AS child, pos::INT AS pos, pos::INT AS tool_pos, replace(replace(key, '.items', '[]'), '.properties.', '.') AS path FROM declared
 UNION ALL
 SELECT l.row_index, 'arg', l.pos::INT, coalesce(f.pos, -1)::INT, l.path FROM leaf l LEFT JOIN first f ON f.row_index = l.row_index AND f.name = l.name""",
-    "p6_found": rf"""
-WITH f AS (SELECT line_id, line, '("([^"]|"")*"|[^",][^,"]*|)' AS fld FROM raw_lines),
-q AS (SELECT line_id, line, regexp_full_match(line, '(?s)' || fld || '(,' || fld || ')*') AS quoted FROM f),
-s AS (
-  SELECT line_id, line, quoted, CASE WHEN quoted THEN regexp_extract_all(',' || line, '(?s),("(?:[^"]|"")*"|[^,]*)', 1) END AS parts FROM q),
-u AS (
-  SELECT line_id, line, quoted, list_transform(parts, lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS v FROM s),
-w AS (
-  SELECT line_id, line, quoted, len(v) AS n, trim(v[1], ' ') AS id, v[3] AS tools, v[4] AS answers FROM u),
-g AS (
-  SELECT *, {strict_json('tools')} AS tools_valid, {strict_json('answers')} AS answers_valid FROM w),
-j AS (
-  SELECT *, CASE WHEN tools_valid THEN tools::JSON END AS tj, CASE WHEN answers_valid THEN answers::JSON END AS aj FROM g)
-SELECT line_id, reason FROM (
-  SELECT line_id, CASE
-    WHEN line IS NULL THEN 'column_count'
-    WHEN NOT quoted THEN 'quoting'
-    WHEN n <> 4 THEN 'column_count'
-    WHEN NOT regexp_full_match(id, '[0-9]+') OR try_cast(id AS HUGEINT) IS NULL OR try_cast(id AS HUGEINT) > 9223372036854775807 THEN 'id'
-    WHEN NOT coalesce(tools_valid AND json_type(tj) = 'ARRAY' AND json_array_length(tj) > 0 AND len(list_filter(json_extract(tj, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0, false) THEN 'tools'
-    WHEN NOT coalesce(answers_valid AND json_type(aj) = 'ARRAY' AND json_array_length(aj) > 0 AND len(list_filter(json_extract(aj, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0, false) THEN 'answers'
-  END AS reason FROM j) WHERE reason IS NOT NULL""",
+    "p6_found": f"{_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p6_loaded": f"{_LINES} SELECT line_id, id::BIGINT AS id, query, tools, answers FROM judged WHERE reason IS NULL",
     "call_bucket_distribution": """
 SELECT CASE WHEN expected_call_count = 1 THEN 'single_call' WHEN expected_call_count = 2 THEN 'two_calls' WHEN expected_call_count >= 3 THEN 'three_or_more_calls' ELSE 'zero_calls' END AS bucket,
        count(*) AS n FROM candidates GROUP BY 1""",
@@ -132,6 +135,14 @@ SELECT doc_id, array_to_string(marks, ' ') AS marks,
   CASE WHEN len(thoughts) > 0 THEN len(list_filter(thoughts, lambda x: regexp_matches(x, '\S'))) > 0
        ELSE contains(text, '<|thinking|>') OR contains(text, '<|think_start|>') OR contains(text, '<|think_end|>') END AS has_thinking
 FROM f WHERE len(marks) > 0""",
+    "delimiters": """
+WITH m AS (SELECT coalesce(source, 'unknown') AS source, text, unnest(['<tools>', '</tools>', '<|tools_start|>', '<|tools_end|>', '<tool_call>', '</tool_call>', '<|tool_call_start|>', '<|tool_call_end|>']) AS mark FROM documents WHERE text IS NOT NULL)
+SELECT source, mark, count(*) AS n FROM m WHERE contains(text, mark) GROUP BY ALL""",
+    "thinking_check": r"""
+WITH f AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)<think>(.*?)</think>', 1) AS thoughts FROM documents WHERE text IS NOT NULL)
+SELECT doc_id FROM f WHERE CASE WHEN len(thoughts) > 0 THEN len(list_filter(thoughts, lambda x: regexp_matches(x, '\S'))) > 0
+  ELSE contains(text, '<|thinking|>') OR contains(text, '<|think_start|>') OR contains(text, '<|think_end|>') END""",
+    "json_props_decode": "SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL",
     "first_of_id": "SELECT id, min(row_index) AS first_row, count(*) AS n FROM raw_rows WHERE id IS NOT NULL GROUP BY 1",
     "pool_sizes": f"WITH c AS ({_ELIGIBLE}) SELECT generator, call_bucket, count(*) AS n FROM c GROUP BY ALL",
     "pool_heads": f"""

@@ -281,6 +281,31 @@ def mask_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rendering.mask_counts(rendering.token_labels(table(spark, folder, "canonical_records")))
 
 
+@query
+def mask_diagnostic(spark: SparkSession, folder: str) -> DataFrame:
+    return rendering.mask_diagnostics(table(spark, folder, "canonical_records"))
+
+
+@query
+def delimiters(spark: SparkSession, folder: str) -> DataFrame:
+    """Chat logs by the call tags that they hold."""
+    s = rendering.sections(table(spark, folder, "documents").where("text is not null").select("source", "text"), "text")
+    return s.select(F.coalesce("source", F.lit("unknown")).alias("source"), F.explode("delimiters").alias("mark")).groupBy("source", "mark").agg(F.count("*").alias("n"))
+
+
+@query
+def thinking_check(spark: SparkSession, folder: str) -> DataFrame:
+    s = rendering.sections(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"), "text")
+    return s.where("has_thinking").select("doc_id")
+
+
+@query
+def json_props_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by the decoded number in their properties."""
+    k = F.from_json("props", "k bigint", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})["k"]
+    return table(spark, folder, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
+
+
 # --- annotations, normalization, validation ------------------------------------------------------
 
 
