@@ -5,8 +5,10 @@ max_repeats times. The whole part of that is given to every document; the fracti
 probability. Probabilities are rounded in pairs: mass (probability times size) moves from one document
 of the pair to the other, in a random direction chosen so that every expectation stays, until one of
 the two is integral; the other one meets the next document. So the size drawn from a source stays
-what it should be up to one document; as large documents come first, that one tends to be small. Each chunk of documents leaves one open document per source;
-the open ones meet in a reduction tree, FAN chunks to a node, until one per source is left, which is
+what it should be up to one document. Documents that hold more than 1/LARGE of their source (at most
+LARGE of them) are rounded first, and what they draw too much or too little is spread over the
+probabilities of the others, so that the document left over is a small one. Each chunk of documents
+leaves one open document per source; the open ones meet in a reduction tree, FAN chunks to a node, until one per source is left, which is
 drawn by its own probability. Random numbers come from document ids: a task that runs again gives
 the same result, and every level is cut in the shared folder.
 
@@ -31,6 +33,8 @@ from callweave.session import cut
 
 FAN = 16
 CHUNK_ROWS = 20_000
+#: A document is large if it holds more than this part of its source: so there are at most LARGE of them a source.
+LARGE = 200
 EPS = 1e-12
 _OUT = pa.schema([("source", pa.string()), ("node", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("base", pa.int64()), ("p", pa.float64())])
 OUT = "source string, node long, doc_id long, size long, base long, p double"
@@ -97,6 +101,23 @@ def _fold_node(seed: int):  # noqa: ANN202
     return run
 
 
+def _settle(seed: int):  # noqa: ANN202
+    """Round the few large documents of a source, the last open one by its own probability."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = fold(pdf.sort_values(["size", "doc_id"], ascending=[False, True]).itertuples(index=False, name=None), seed)
+        return pd.DataFrame([(*r[:5], float(_random(seed, r[2]) < r[5]) if 0 < r[5] < 1 else r[5]) for r in rows], columns=_OUT.names)
+
+    return run
+
+
+def _parts(copies: str) -> tuple[Column, Column]:
+    """Whole part and fraction of a number of copies; fractions beside 0 and 1 are snapped."""
+    base = F.floor(F.col(copies) + EPS)
+    p = F.col(copies) - base
+    return base.alias("base"), F.when(p < EPS, 0.0).otherwise(p).alias("p")
+
+
 def needs(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: size, total, copies wanted and given per document, and whether it falls short."""
     known = sized.where(F.col("source").isNotNull())
@@ -116,11 +137,21 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFrame
     """
     sized = cut(sized.select(F.col("doc_id").cast("long"), "source", F.col("size").cast("long")))
     need = cut(needs(sized, targets))
-    rows = sized.where("size > 0").join(F.broadcast(need.select("source", F.floor("copies").alias("base"), (F.col("copies") - F.floor("copies")).alias("p"))), "source")
+    plan = need.select("source", "copies", "max_repeats", F.col("size").alias("whole"))
+    rows = sized.where("size > 0").join(F.broadcast(plan), "source")  # one row a target source
+    large = F.col("size") * LARGE > F.col("whole")
+    few = rows.where(large).select("source", F.lit(0).cast("long").alias("node"), "doc_id", "size", *_parts("copies"))
+    first = cut(few.groupBy("source").applyInPandas(_settle(seed), OUT))
+    drawn = first.groupBy("source").agg(F.sum("size").alias("held"), F.sum(F.col("size") * (F.col("base") + F.col("p"))).alias("got"))
+    rest = F.col("whole") - F.coalesce("held", F.lit(0))
+    over = F.coalesce(F.col("got") - F.col("held") * F.col("copies"), F.lit(0.0))
+    copies = F.greatest(F.lit(0.0), F.least(F.col("max_repeats").cast("double"), F.col("copies") - F.when(rest > 0, over / rest).otherwise(0.0)))
+    plan = cut(plan.join(drawn, "source", "left").select("source", "whole", copies.alias("copies")))
+    rows = sized.where("size > 0").join(F.broadcast(plan), "source").where(~large).select("source", "doc_id", "size", *_parts("copies"))
     chunks = max(4, sized.count() // CHUNK_ROWS)
-    keyed = rows.select("source", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("node"), "doc_id", "size", "base", F.when(F.col("p") > 1 - EPS, 1.0).when(F.col("p") < EPS, 0.0).otherwise(F.col("p")).alias("p"))
+    keyed = rows.select("source", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("node"), "doc_id", "size", "base", "p")
     level = cut(keyed.repartition(chunks, "node").sortWithinPartitions("node", "source", F.desc("size"), "doc_id").mapInArrow(_fold_partition(seed), OUT))
-    done = [level.where("p = 0 or p = 1")]
+    done = [first, level.where("p = 0 or p = 1")]
     while chunks > 1:
         chunks = -(-chunks // FAN)
         left = level.where("p > 0 and p < 1").withColumn("node", F.expr(f"node div {FAN}"))

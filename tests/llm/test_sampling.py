@@ -177,3 +177,12 @@ def test_mix_reaches_targets(spark, monkeypatch, chunk):
     assert {r.source for r in mixing.found(docs, t).collect()} == {"c", "e"}
     assert mixing.found(docs.limit(0), t).count() == 0 and mixing.report(*mixing.mix(mixing.by_characters(docs), t.limit(0))).count() == 0
     assert drawn.agg(F.sum("copies")).first()[0] > 0
+
+
+def test_large_documents_do_not_spoil_a_share(spark):
+    rows = [(i, "a", "x" * (5 + i % 9)) for i in range(800)] + [(1000 + i, "a", "x" * 4000) for i in range(3)] + [(2000, "b", "x" * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    t = spark.createDataFrame([("a", 0.25, 2), ("b", 0.2, 1)], "source string, target_share double, max_repeats int")
+    for seed in (1, 2, 3):
+        rep = {r.source: r for r in mixing.report(*mixing.mix(mixing.by_characters(docs), t, seed)).collect()}
+        assert abs(rep["a"].got - rep["a"].wanted) <= 13 and rep["b"].got in (0, 30_000)
