@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -35,9 +38,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "callweave-checkpoints")
+        named = tempfile.mkdtemp(prefix="callweave-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
@@ -48,9 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder when the driver ends, if its JVM is still there."""
+    try:
+        jvm = spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  (a stopped session has nothing left to call)
+        pass
+
+
 def shared_table(df: DataFrame, *partition_by: str) -> DataFrame:
     """df as a compressed table in the shared folder, read again; filters on the partition columns read only their part."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    atexit.register(_drop, df.sparkSession, path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
