@@ -47,6 +47,11 @@ judged AS (
     WHEN NOT coalesce(answers_valid AND json_type(aj) = 'ARRAY' AND json_array_length(aj) > 0 AND len(list_filter(json_extract(aj, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0, false) THEN 'answers'
   END AS reason FROM j)"""
 
+# predicted calls: all of them in reverse, the first only, or as expected (by record_no modulo 3)
+_SCORED = f"""
+SELECT record_no, lower(trim(metadata.split, ' ')) AS split, n, record_no % 3 <> 1 OR n = 1 AS whole, CASE WHEN record_no % 3 = 1 THEN least(n, 1) ELSE n END AS predicted
+FROM (SELECT record_no, len(calls) AS n FROM {_CALLS}) JOIN (SELECT record_no, metadata FROM canonical_records) USING (record_no)"""
+
 SQL: dict[str, str] = {
     "p1_found": rf"""
 WITH r AS ({_READABLE}), b AS ({_BODIES}),
@@ -151,5 +156,11 @@ WITH c AS (
 d AS (SELECT *, row_number() OVER (PARTITION BY generator, call_bucket, fingerprint ORDER BY key, row_index) AS k FROM c),
 h AS (SELECT *, row_number() OVER (PARTITION BY generator, call_bucket ORDER BY key, row_index) AS pool_pos FROM d WHERE k = 1)
 SELECT generator, call_bucket, pool_pos::INT AS pool_pos, row_index, id, fingerprint FROM h WHERE pool_pos <= 200""",
+    "score_unordered": f"""
+SELECT record_no, n > 0 AS valid_structure, n > 0 AND whole AS correct_function_name, n > 0 AND whole AS correct_argument_names, n > 0 AND whole AS correct_argument_values,
+       n > 0 AND whole AS complete_call_match, predicted::INT AS predicted_count, n::INT AS expected_count, predicted::INT AS matched FROM ({_SCORED})""",
+    "score_accuracy": f"""
+SELECT split, count(*) AS n, avg((n > 0)::INT) AS valid_structure, avg((n > 0 AND whole)::INT) AS correct_function_name, avg((n > 0 AND whole)::INT) AS correct_argument_names,
+       avg((n > 0 AND whole)::INT) AS correct_argument_values, avg((n > 0 AND whole)::INT) AS complete_call_match FROM ({_SCORED}) WHERE split IS NOT NULL GROUP BY split""",
     "same_call_sets": f"SELECT record_no, true AS same FROM {_CALLS} WHERE len(calls) > 0",
 }
