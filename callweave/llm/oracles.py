@@ -56,6 +56,16 @@ cells AS (
 
 _SHARE = "10 * len(list_intersect(a.words, b.words)) >= 7 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)))"
 
+_SETS = rf"""
+v AS (SELECT row_index, query, tools::JSON AS tools FROM raw_rows WHERE query IS NOT NULL AND {_strict('tools')}),
+n AS (
+  SELECT row_index, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS words,
+         list_distinct(list_filter(list_transform(json_extract(tools, '$[*]'), lambda t: trim(CASE WHEN json_type(t, '$.function') = 'OBJECT' THEN t->'function'->>'name' ELSE t->>'name' END)), lambda x: x IS NOT NULL)) AS names
+  FROM v WHERE json_type(tools) = 'ARRAY'),
+w AS (SELECT * FROM n WHERE len(words) > 0 AND len(names) > 0)"""
+_SIMILAR = f"""10 * len(a.words) >= 7 * len(b.words) AND 10 * len(b.words) >= 7 * len(a.words) AND list_has_any(a.names, b.names)
+  AND 2 * len(list_intersect(a.names, b.names)) >= len(a.names) + len(b.names) - len(list_intersect(a.names, b.names)) AND {_SHARE}"""
+
 SQL: dict[str, str] = {
     "p2_found": rf"""
 WITH m AS (
@@ -80,16 +90,16 @@ SELECT p.param_id, m.type_id FROM param_types p JOIN mapped m ON p.type = m.type
 WITH {_mapped()}
 SELECT p.type, count(*) AS n_rows FROM param_types p JOIN mapped m ON p.type = m.type WHERE m.type_id = 0 GROUP BY 1""",
     "p4_found": f"WITH {_CELLS} SELECT split, call_bucket, generator FROM cells WHERE available < needed",
-    "p5_found": rf"""
-WITH v AS (SELECT row_index, query, tools::JSON AS tools FROM raw_rows WHERE query IS NOT NULL AND {_strict('tools')}),
-n AS (
-  SELECT row_index, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS words,
-         list_distinct(list_filter(list_transform(json_extract(tools, '$[*]'), lambda t: trim(CASE WHEN json_type(t, '$.function') = 'OBJECT' THEN t->'function'->>'name' ELSE t->>'name' END)), lambda x: x IS NOT NULL)) AS names
-  FROM v WHERE json_type(tools) = 'ARRAY'),
-w AS (SELECT * FROM n WHERE len(words) > 0 AND len(names) > 0)
-SELECT a.row_index AS row_a, b.row_index AS row_b FROM w a JOIN w b
-ON a.row_index < b.row_index AND 10 * len(a.words) >= 7 * len(b.words) AND 10 * len(b.words) >= 7 * len(a.words) AND list_has_any(a.names, b.names)
-WHERE 2 * len(list_intersect(a.names, b.names)) >= len(a.names) + len(b.names) - len(list_intersect(a.names, b.names)) AND {_SHARE}""",
+    "p5_found": f"WITH {_SETS} SELECT a.row_index AS row_a, b.row_index AS row_b FROM w a JOIN w b ON a.row_index < b.row_index AND {_SIMILAR}",
+    "p5_groups": f"""
+WITH RECURSIVE {_SETS},
+c AS (SELECT row_index, words, names, min(row_index) OVER (PARTITION BY list_sort(words), list_sort(names)) AS class_id FROM w),
+r AS (SELECT * FROM c WHERE row_index = class_id),
+l AS (SELECT a.row_index AS x, b.row_index AS y FROM r a JOIN r b ON a.row_index <> b.row_index AND {_SIMILAR}),
+reach(node, root) AS (SELECT row_index, row_index FROM r UNION SELECT l.y, reach.root FROM reach JOIN l ON l.x = reach.node),
+g AS (SELECT node, min(root) AS group_id FROM reach GROUP BY node),
+d AS (SELECT x, count(*) AS links FROM l GROUP BY x)
+SELECT c.row_index, c.class_id, g.group_id, coalesce(d.links, 0) AS links FROM c JOIN g ON g.node = c.class_id LEFT JOIN d ON d.x = c.class_id""",
     "p8_found": """
 WITH d AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1),
 t AS (SELECT sum(size) AS total FROM d)
