@@ -124,7 +124,7 @@ def needs(sized: DataFrame, targets: DataFrame) -> DataFrame:
     sizes = known.groupBy("source").agg(F.sum("size").alias("size"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     t = targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
-    rows = t.join(F.broadcast(sizes.join(t.select("source"), "source", "left_semi")), "source", "left").join(F.broadcast(total), F.lit(True))  # both at most as long as the targets
+    rows = t.join(F.broadcast(sizes.join(t.select("source"), "source", "left_semi")), "source", "left").withColumn("total", total.scalar())  # as long as the targets
     size, want = F.coalesce("size", F.lit(0)), F.col("target_share") * F.col("total")
     copies: Column = F.when(size > 0, F.least(F.col("max_repeats").cast("double"), want / size)).otherwise(0.0)
     return rows.select("source", "target_share", "max_repeats", size.alias("size"), "total", want.alias("wanted"), copies.alias("copies"), (F.col("max_repeats") * size < want).alias("falls_short"))
@@ -172,7 +172,7 @@ def report(drawn: DataFrame, need: DataFrame) -> DataFrame:
     rows = need.join(F.broadcast(got), "source", "left")  # one row a target source
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     total = got.agg(F.coalesce(F.sum("got"), F.lit(0)).alias("mixed"))
-    rows = rows.select("source", "target_share", "max_repeats", "size", "wanted", zero("got"), zero("records"), zero("most_copies"), "falls_short").join(F.broadcast(total), F.lit(True))
+    rows = rows.select("source", "target_share", "max_repeats", "size", "wanted", zero("got"), zero("records"), zero("most_copies"), "falls_short").withColumn("mixed", total.scalar())
     return rows.withColumn("actual_share", F.when(F.col("mixed") > 0, F.col("got") / F.col("mixed")).otherwise(0.0)).drop("mixed")
 
 

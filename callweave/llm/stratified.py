@@ -45,10 +45,11 @@ def usable_ids(candidates: DataFrame) -> DataFrame:
 def cell_counts(usable: DataFrame, targets: DataFrame, fraction: float = 0.25) -> DataFrame:
     """Each target cell with available ids, N, sample size and needed rows (all counts over all rows)."""
     counts = cut(usable.groupBy(*CELL).agg(F.count("*").alias("available")))  # a few rows, used twice
-    total = counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("n_usable")).withColumn("size", F.floor(F.col("n_usable") * fraction))
+    total = counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("n"))
     keyed = targets.select(*(F.col(c).alias(f"t_{c}") for c in CELL), *(clean(c).alias(c) for c in CELL), "target_share", "min_rows")
     return (
-        keyed.join(F.broadcast(total), F.lit(True))  # one row of totals
+        keyed.withColumn("n_usable", total.scalar())
+        .withColumn("size", F.floor(F.col("n_usable") * fraction))
         .join(counts, CELL, "left")
         .select(*(F.col(f"t_{c}").alias(c) for c in CELL), "target_share", "min_rows", F.coalesce("available", F.lit(0)).cast("long").alias("available"), "n_usable", "size")
         .withColumn("needed", F.greatest(F.col("min_rows").cast("long"), F.ceil(F.col("target_share") * F.col("size"))))
