@@ -98,16 +98,25 @@ def _one_call(payload: Any, path: str, errors: list[str]) -> list[Call]:
 
 
 def _collect(payload: Any, path: str, errors: list[str]) -> list[Call]:
-    match payload:
-        case Call():
-            return [payload]
-        case list():
-            return [c for i, x in enumerate(payload) for c in _collect(x, f"{path}[{i}]", errors)]
-        case dict():
-            wrapper = next((k for k in WRAPPERS if k in payload), None)
-            return _collect(payload[wrapper], f"{path}.{wrapper}", errors) if wrapper else _one_call(payload, path, errors)
-    errors.append(f"{path} must be a JSON object or list.")
-    return []
+    """The calls of a payload in order; with a list of what is still to visit, so that nesting of any depth is read."""
+    calls: list[Call] = []
+    todo = [(payload, path)]
+    while todo:
+        payload, path = todo.pop()
+        match payload:
+            case Call():
+                calls.append(payload)
+            case list():
+                todo += [(x, f"{path}[{i}]") for i, x in enumerate(payload)][::-1]
+            case dict():
+                wrapper = next((k for k in WRAPPERS if k in payload), None)
+                if wrapper:
+                    todo.append((payload[wrapper], f"{path}.{wrapper}"))
+                else:
+                    calls += _one_call(payload, path, errors)
+            case _:
+                errors.append(f"{path} must be a JSON object or list.")
+    return calls
 
 
 def parse_calls(value: Any) -> Parsed:

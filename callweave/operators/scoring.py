@@ -33,13 +33,18 @@ def _text(value: object) -> str:
     return value if isinstance(value, str) else ""
 
 
+def _plain(text: str | None) -> str | None:
+    """Text that Arrow can hold: lone surrogates become question marks."""
+    return text if text is None or text.isascii() else text.encode("utf-8", "replace").decode()
+
+
 @F.pandas_udf(PARSED)
 def parse_calls(text: pd.Series) -> pd.DataFrame:
     """Calls found in model output, arguments as canonical JSON."""
     rows = [c.parse_calls(_text(t)) for t in text]
     return pd.DataFrame(
         {
-            "calls": [[{"name": x.name, "arguments": None if x.arguments is None else canonical(x.arguments)} for x in r.calls] for r in rows],
+            "calls": [[{"name": _plain(x.name), "arguments": None if x.arguments is None else _plain(canonical(x.arguments))} for x in r.calls] for r in rows],
             "valid_structure": [r.valid_structure for r in rows],
             "errors": [list(r.errors) for r in rows],
             "had_extra_prose": [r.had_extra_prose for r in rows],
@@ -96,7 +101,7 @@ class ParsedCalls:
 
     def eval(self, text: str) -> Iterator[tuple]:
         for i, x in enumerate(c.parse_calls(_text(text)).calls):
-            yield i, x.name, None if x.arguments is None else canonical(x.arguments)
+            yield i, _plain(x.name), None if x.arguments is None else _plain(canonical(x.arguments))
 
 
 class LossSpans:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from callweave.functions.checks import CONTEXT_LIMIT
 from callweave.operators import badrows, nested, prepare, quality, rendering, scoring, selection
 from callweave.plans.oracles import SQL  # noqa: F401  (part of this module's interface)
-from callweave.session import cut, table
+from callweave.session import cut, spread, table
 from callweave.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,8 +433,8 @@ def _outputs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def parse_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls found in the text of documents."""
-    p = table(spark, folder, "documents").where(F.contains(F.col("text"), F.lit('"arguments"'))).select("doc_id", scoring.parse_calls("text").alias("p"))
+    """Calls found in the text of every document; a null text is an empty output."""
+    p = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", scoring.parse_calls("text").alias("p"))
     return p.select("doc_id", F.size("p.calls").alias("calls"), "p.valid_structure", F.size("p.errors").alias("errors"), "p.had_extra_prose")
 
 

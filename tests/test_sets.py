@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callweave.operators import prepare, quality, rendering, scoring, selection
+from callweave.plans import queries
 from callweave.sources import files
 from callweave.streaming import rowlocal
 
@@ -109,6 +110,13 @@ def test_scores_on_columns(spark):
     assert spark.sql("SELECT score_calls(p, e).matched AS m FROM outputs WHERE p IS NOT NULL").first().m == 1
 
 
+def test_every_document_is_parsed(spark, tmp_path):
+    texts = ['{"status": "ok", "rows": 356}', "no calls here", None, '[{"name": "f", "arguments": {}}] ok', '{"name": "\\ud800", "arguments": {"a": "\\udfff"}}', '{"name": "f"}', "[" * 3000 + "]" * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.calls, r.valid_structure, r.errors, r.had_extra_prose) for r in queries.parse_calls(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, False, 2, False), 1: (0, False, 1, False), 2: (0, False, 1, False), 3: (1, True, 0, True), 4: (1, True, 0, False), 5: (1, False, 1, False), 6: (0, False, 0, False)}
+
+
 def test_rendering_reports_faulty_records(spark, data):
     r = spark.read.parquet(f"{data}/canonical_records.parquet").limit(20)
     empty = r.limit(1).withColumns({"messages": F.lit(None).cast(r.schema["messages"].dataType), "record_no": F.lit(-1).cast("long")})
