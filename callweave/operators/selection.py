@@ -178,6 +178,8 @@ def representatives(records: DataFrame, count: int = 5) -> DataFrame:
 
     Input: id, split, source_id, expected_call_count, available_tool_count, multiple_called_tools,
     repeated_tool_calls, complex_parameters. Order: split (train, validation, test), source_id, id.
+    Picks are by id and ids repeat: each offer holds the first row of each id, so that as many distinct
+    ids as are picked in all are enough.
     """
     rules = (
         ("single_call", F.col("expected_call_count") == 1),
@@ -187,20 +189,23 @@ def representatives(records: DataFrame, count: int = 5) -> DataFrame:
         ("five_plus_available_tools", (F.col("available_tool_count") >= 5) & F.col("complex_parameters")),
     )
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).when(F.col("split") == "test", 2).otherwise(3)
-    order = [rank, F.col("source_id"), F.col("id")]
+
+    def offered(rows: DataFrame) -> list[str]:
+        first = rows.groupBy("id").agg(F.min(F.struct(rank.alias("rank"), "source_id")).alias("first"))
+        return [r.id for r in first.orderBy("first", "id").limit(count).collect()]
+
     used: set[str] = set()
     out: list[tuple[int, str, str]] = []
     for name, rule in rules[:count]:
-        offered = [r.id for r in records.where(rule).orderBy(*order).select("id").limit(count).collect()]
-        new = next((i for i in offered if i not in used), None)
+        new = next((i for i in offered(records.where(rule)) if i not in used), None)
         if new is not None:
             used.add(new)
             out.append((len(out), name, new))
     if len(out) < count:
-        for r in records.orderBy(*order).select("id").limit(2 * count).collect():
-            if r.id not in used and len(out) < count:
-                used.add(r.id)
-                out.append((len(out), "fill", r.id))
+        for i in offered(records):
+            if i not in used and len(out) < count:
+                used.add(i)
+                out.append((len(out), "fill", i))
     return records.sparkSession.createDataFrame(out, "pos int, feature string, id string")
 
 

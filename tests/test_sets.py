@@ -65,6 +65,16 @@ def test_replacement_stays_in_place_and_pool(spark):
         selection.replace(chosen, c, chosen.where(F.col("id") != bad))
 
 
+def test_representatives_pass_over_copies_of_a_picked_id(spark):
+    three = ("a", "train", 1, 3, 5, False, True, True)
+    rows = [three] * 12 + [("b", "train", 2, 4, 1, False, True, False), ("c", "test", 3, 1, 6, False, False, True), ("d", "test", 4, 2, 1, False, False, False), ("e", "test", 5, 2, 1, False, False, False)]
+    r = spark.createDataFrame(rows, "id string, split string, source_id long, expected_call_count int, available_tool_count int, multiple_called_tools boolean, repeated_tool_calls boolean, complex_parameters boolean")
+    got = [tuple(x) for x in selection.representatives(r).orderBy("pos").collect()]
+    assert got == [(0, "single_call", "c"), (1, "three_plus_calls", "a"), (2, "repeated_tool_calls", "b"), (3, "fill", "d"), (4, "fill", "e")]
+    tools = selection.representatives(r.where("id <> 'c'").unionByName(r.where("id = 'c'").withColumn("expected_call_count", F.lit(2)))).orderBy("pos").collect()
+    assert [(x.feature, x.id) for x in tools] == [("three_plus_calls", "a"), ("repeated_tool_calls", "b"), ("five_plus_available_tools", "c"), ("fill", "d"), ("fill", "e")]
+
+
 def test_gates_count_an_id_once(spark):
     tool = json.dumps([{"name": "t", "parameters": {"a": {"type": "str"}}}])
     call = json.dumps([{"name": "t", "arguments": {}}])
