@@ -3,7 +3,8 @@
 Selections are of a fixed size, so each pool only offers as many rows as could be asked for: the
 first row of each fingerprint, then as many rows as the sum of the quotas. Those few rows go to the
 driver, where the picks that depend on each other are made. Edge cases: an id or fingerprint is used
-once; pools that cannot fill a quota raise LookupError, odd quotas ValueError; null ids are not expected
+once; pools that cannot fill a quota raise LookupError (or, where a report is asked for, keep the places
+that they leave open, with a null id and the pool's name), odd quotas ValueError; null ids are not expected
 (eligible rows have one); ties in the order key go to the lower row_index.
 """
 
@@ -60,8 +61,11 @@ def shuffled_heads(candidates: DataFrame, seed: int = SEED) -> DataFrame:
     return candidates.withColumn("pos", pos).join(spots, ["generator", "call_bucket", "pos"]).drop("pos")
 
 
-def pick(heads: Iterable[tuple[str, str, int, str, int]], quotas: dict[str, tuple[int, ...]] | None = None, seed: int = SEED) -> list[tuple[str, int, int]]:
-    """(split, position, id) of a selection, from (generator, bucket, pool_pos, fingerprint, id) rows."""
+def pick(heads: Iterable[tuple[str, str, int, str, int]], quotas: dict[str, tuple[int, ...]] | None = None, seed: int = SEED, short: list[tuple[str, str, str, int]] | None = None) -> list[tuple[str, int, int]]:
+    """(split, position, id) of a selection, from (generator, bucket, pool_pos, fingerprint, id) rows.
+
+    A list for `short` gets (split, generator, bucket, missing) of the pools that are too small; without it they raise.
+    """
     pools: dict[tuple[str, str], list[tuple[int, str, int]]] = {}
     for g, b, *rest in heads:
         pools.setdefault((g, b), []).append(tuple(rest))
@@ -83,7 +87,9 @@ def pick(heads: Iterable[tuple[str, str, int, str, int]], quotas: dict[str, tupl
                         prints.add(fingerprint)
                         chosen[split].append(id_)
                         want -= 1
-                if want:
+                if want and short is not None:
+                    short.append((split, g, b, want))
+                elif want:
                     raise LookupError(f"Not enough unique examples for split={split}, generator={g}, bucket={b}; {want} are missing.")
     rng = random.Random(seed)
     for rows in chosen.values():
@@ -99,10 +105,29 @@ def select(candidates: DataFrame, quotas: dict[str, tuple[int, ...]] | None = No
     return candidates.sparkSession.createDataFrame(pick(rows, quotas, seed), "split string, pos int, id long")
 
 
-def replace(selected: DataFrame, candidates: DataFrame, valid: DataFrame, seed: int = SEED) -> DataFrame:
+def select_reported(candidates: DataFrame, quotas: dict[str, tuple[int, ...]] | None = None, seed: int = SEED) -> DataFrame:
+    """`select` that reports short pools as rows: (split, pos, id, short) with all places of the quotas.
+
+    A place that its pool cannot fill has a null id and 'generator/bucket' in `short`; these come last in their split.
+    """
+    quotas = quotas or QUOTAS
+    heads = pool_heads(candidates, sum(map(sum, quotas.values())), hash_order(seed))
+    short: list[tuple[str, str, str, int]] = []
+    rows = [(r.generator, r.call_bucket, r.pool_pos, r.fingerprint, r.id) for r in heads.collect()]  # as in `select`
+    out: list[tuple[str, int, int | None, str | None]] = [(*x, None) for x in pick(rows, quotas, seed, short)]
+    filled = {s: sum(x[0] == s for x in out) for s in quotas}
+    for split, g, b, missing in short:
+        out += [(split, filled[split] + i, None, f"{g}/{b}") for i in range(missing)]
+        filled[split] += missing
+    return candidates.sparkSession.createDataFrame(out, "split string, pos int, id long, short string")
+
+
+def replace(selected: DataFrame, candidates: DataFrame, valid: DataFrame, seed: int = SEED, report: bool = False) -> DataFrame:
     """A selection whose invalid members give way, in place, to the next unused valid candidate of their pool.
 
-    `valid` has the ids without issues. Output: split, pos, id, replaced (the id that left, or null).
+    `valid` has the ids without issues. Output: split, pos, id, replaced (the id that left, or null). With `report`,
+    `selected` is that of `select_reported`, `short` is kept, and a pool without a valid candidate leaves the place open
+    (null id, the pool in `short`) instead of raising.
     """
     ok = valid.select("id").distinct().withColumn("ok", F.lit(True))
     info = candidates.select("id", "generator", "call_bucket", "fingerprint")
@@ -112,17 +137,19 @@ def replace(selected: DataFrame, candidates: DataFrame, valid: DataFrame, seed:
     heads = pool_heads(candidates.join(ok, "id", "left_semi"), len(rows) + bad, hash_order(seed)).collect() if bad else []
     out = []
     for r in rows:
-        if r.ok:
-            out.append((r.split, r.pos, r.id, None))
+        if r.ok or r.id is None:
+            out.append((r.split, r.pos, r.id, None, r.short if report else None))
             continue
         spare = sorted((h.pool_pos, h.id, h.fingerprint) for h in heads if (h.generator, h.call_bucket) == (r.generator, r.call_bucket))
         new = next(((i, f) for _, i, f in spare if i not in ids and f not in prints), None)
-        if new is None:
+        if new is None and not report:
             raise LookupError(f"No valid replacement for {r.id} in {r.generator}/{r.call_bucket}.")
-        ids.add(new[0])
-        prints.add(new[1])
-        out.append((r.split, r.pos, new[0], r.id))
-    return selected.sparkSession.createDataFrame(out, "split string, pos int, id long, replaced long")
+        if new is not None:
+            ids.add(new[0])
+            prints.add(new[1])
+        out.append((r.split, r.pos, new and new[0], r.id, None if new else f"{r.generator}/{r.call_bucket}"))
+    done = selected.sparkSession.createDataFrame(out, "split string, pos int, id long, replaced long, short string")
+    return done if report else done.drop("short")
 
 
 def summary(selected: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -378,31 +378,26 @@ def pool_heads(spark: SparkSession, folder: str) -> DataFrame:
     return selection.pool_heads(_eligible(spark, folder), 200).select("generator", "call_bucket", "pool_pos", "row_index", "id", "fingerprint")
 
 
-def _quotas(spark: SparkSession, folder: str) -> dict[str, tuple[int, ...]]:
-    """The default quotas, halved until the smallest pool can fill its part."""
-    least = min([r.n for r in pool_sizes(spark, folder).where(F.col("generator").isin(*selection.GENERATORS) & F.col("call_bucket").isin(*prepare.BUCKETS)).collect()], default=0)
-    quotas = selection.QUOTAS
-    while least < 30 * max(1, sum(q[-1] for q in quotas.values()) // 15) and max(map(max, quotas.values())) > 2:
-        quotas = {s: tuple(max(2, q // 4 * 2) for q in qs) for s, qs in quotas.items()}
-    return quotas
-
-
 @query
 def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
-    return selection.select(_eligible(spark, folder), _quotas(spark, folder))
+    """The selection with the default quotas; places that a short pool leaves open have a null id and its name."""
+    return selection.select_reported(_eligible(spark, folder))
 
 
 @query
 def selection_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the selection; measure 'short' counts the open places by split and pool."""
     e = _eligible(spark, folder)
-    return selection.summary(selection.select(e, _quotas(spark, folder)), e)
+    chosen = selection.select_reported(e)
+    gaps = chosen.where("id is null").groupBy(F.lit("short").alias("measure"), F.concat_ws("/", "split", "short").alias("value")).agg(F.count("*").alias("n"))
+    return selection.summary(chosen.where("id is not null"), e).unionByName(gaps)
 
 
 @query
 def replacement(spark: SparkSession, folder: str) -> DataFrame:
     """A selection in which every member whose id ends in 7 counts as invalid and gives way."""
     e = _eligible(spark, folder)
-    return selection.replace(selection.select(e, _quotas(spark, folder)), e, e.where("id % 10 <> 7"))
+    return selection.replace(selection.select_reported(e), e, e.where("id % 10 <> 7"), report=True)
 
 
 @query

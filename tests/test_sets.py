@@ -65,6 +65,22 @@ def test_replacement_stays_in_place_and_pool(spark):
         selection.replace(chosen, c, chosen.where(F.col("id") != bad))
 
 
+def test_queries_keep_the_quotas_and_report_short_pools(spark, tmp_path):
+    def save(name, c):
+        c.withColumns({"split": F.lit("train"), "distinct_expected_tool_count": F.lit(1)}).drop("unknown_answer_tools").write.parquet(str(tmp_path / name / "candidates.parquet"))
+        return str(tmp_path / name)
+
+    c = pools(spark)
+    rows = queries.stratified_split(spark, save("full", c)).collect()  # the smallest pools have the 15 rows that they need
+    assert len(rows) == 200 and all(r.id is not None and r.short is None for r in rows)
+    last = c.where("generator = 'mixtral' and call_bucket = 'three_or_more_calls'").orderBy("id").first().id
+    folder = save("short", c.where(f"id < {last + 13}"))
+    rows = queries.stratified_split(spark, folder).collect()
+    assert len({(r.split, r.pos) for r in rows}) == 200 and len({r.id for r in rows if r.id is not None}) == 198
+    assert [(r.split, r.short) for r in rows if r.id is None] == [("test", "mixtral/three_or_more_calls")] * 2
+    assert [(r.value, r.n) for r in queries.selection_summary(spark, folder).where("measure = 'short'").collect()] == [("test/mixtral/three_or_more_calls", 2)]
+
+
 def test_representatives_pass_over_copies_of_a_picked_id(spark):
     three = ("a", "train", 1, 3, 5, False, True, True)
     rows = [three] * 12 + [("b", "train", 2, 4, 1, False, True, False), ("c", "test", 3, 1, 6, False, False, True), ("d", "test", 4, 2, 1, False, False, False), ("e", "test", 5, 2, 1, False, False, False)]
