@@ -81,6 +81,18 @@ def test_queries_keep_the_quotas_and_report_short_pools(spark, tmp_path):
     assert [(r.value, r.n) for r in queries.selection_summary(spark, folder).where("measure = 'short'").collect()] == [("test/mixtral/three_or_more_calls", 2)]
 
 
+def test_replacement_goes_by_the_validation_stage(spark, tmp_path):
+    c = pools(spark, extra=2)
+    faulty = [r.id for r in selection.select(c).orderBy("id").limit(2).collect()]
+    tool, call = json.dumps([{"name": "t", "description": "d", "parameters": {"a": {"type": "str", "description": "d"}}}]), json.dumps([{"name": "t", "arguments": {"a": "x"}}])
+    c.withColumns({"split": F.lit("train"), "distinct_expected_tool_count": F.lit(1)}).drop("unknown_answer_tools").write.parquet(str(tmp_path / "candidates.parquet"))
+    answers = F.when(F.col("id") == faulty[0], call.replace('"t"', '"u"')).when(F.col("id") == faulty[1], call.replace('"x"', "5")).otherwise(call)
+    c.select("row_index", "id", F.lit("q").alias("query"), F.lit(tool).alias("tools"), answers.alias("answers")).write.parquet(str(tmp_path / "raw_rows.parquet"))
+    out = queries.replacement(spark, str(tmp_path)).collect()
+    assert sorted(r.replaced for r in out if r.replaced is not None) == faulty
+    assert len({r.id for r in out}) == 200 and not {r.id for r in out} & set(faulty) and any(r.id % 10 == 7 for r in out)
+
+
 def test_representatives_pass_over_copies_of_a_picked_id(spark):
     three = ("a", "train", 1, 3, 5, False, True, True)
     rows = [three] * 12 + [("b", "train", 2, 4, 1, False, True, False), ("c", "test", 3, 1, 6, False, False, True), ("d", "test", 4, 2, 1, False, False, False), ("e", "test", 5, 2, 1, False, False, False)]
