@@ -162,7 +162,7 @@ def summary(selected: DataFrame, candidates: DataFrame) -> DataFrame:
     }
     flags = {
         "five_or_more_tools": F.col("available_tool_count") >= 5, "complex_parameters": F.col("has_complex_parameters"), "multiple_tools": F.col("multiple_distinct_tools"),
-        "repeated_tool": F.col("repeated_same_tool"), "unknown_tools": F.size("unknown_answer_tools") > 0,
+        "repeated_tool": F.col("repeated_same_tool"), "unknown_tools": F.when(F.col("unknown_answer_tools").isNotNull(), F.size("unknown_answer_tools") > 0),
     }
     pairs = [F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in measures.items()]
     pairs += [F.struct(F.lit(k).alias("measure"), v.cast("string").alias("value")) for k, v in flags.items()]

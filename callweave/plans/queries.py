@@ -364,8 +364,7 @@ def first_of_id(spark: SparkSession, folder: str) -> DataFrame:
 def _eligible(spark: SparkSession, folder: str) -> DataFrame:
     c = _candidates(spark, folder).where("id is not null and generator is not null and call_bucket is not null and fingerprint is not null")
     first = c.groupBy("id").agg(F.min("row_index").alias("row_index"))
-    c = c.join(first, ["id", "row_index"])
-    return c.withColumn("unknown_answer_tools", F.array().cast("array<string>"))
+    return c.join(first, ["id", "row_index"])
 
 
 @query
@@ -386,9 +385,15 @@ def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def selection_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of the selection; measure 'short' counts the open places by split and pool."""
+    """Counts of the selection; measure 'short' counts the open places by split and pool.
+
+    Unknown tools are those that the preparation stage finds in the rows of the selection; null for unreadable rows.
+    """
     e = _eligible(spark, folder)
     chosen = selection.select_reported(e)
+    members = e.join(F.broadcast(chosen.select("id")), "id", "left_semi")
+    raw = table(spark, folder, "raw_rows").join(F.broadcast(members.select("row_index")), "row_index", "left_semi")
+    e = members.join(prepare.prepare(raw).select("row_index", "unknown_answer_tools"), "row_index", "left")
     gaps = chosen.where("id is null").groupBy(F.lit("short").alias("measure"), F.concat_ws("/", "split", "short").alias("value")).agg(F.count("*").alias("n"))
     return selection.summary(chosen.where("id is not null"), e).unionByName(gaps)
 

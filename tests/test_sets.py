@@ -68,6 +68,8 @@ def test_replacement_stays_in_place_and_pool(spark):
 def test_queries_keep_the_quotas_and_report_short_pools(spark, tmp_path):
     def save(name, c):
         c.withColumns({"split": F.lit("train"), "distinct_expected_tool_count": F.lit(1)}).drop("unknown_answer_tools").write.parquet(str(tmp_path / name / "candidates.parquet"))
+        rows = c.select("row_index", "id", F.lit("q").alias("query"), F.lit('[{"name": "t"}]').alias("tools"), F.when(F.col("id") == 0, '[{"name": "u"}]').when(F.col("id") == 1, "x").otherwise('[{"name": "t"}]').alias("answers"))
+        rows.write.parquet(str(tmp_path / name / "raw_rows.parquet"))
         return str(tmp_path / name)
 
     c = pools(spark)
@@ -79,6 +81,8 @@ def test_queries_keep_the_quotas_and_report_short_pools(spark, tmp_path):
     assert len({(r.split, r.pos) for r in rows}) == 200 and len({r.id for r in rows if r.id is not None}) == 198
     assert [(r.split, r.short) for r in rows if r.id is None] == [("test", "mixtral/three_or_more_calls")] * 2
     assert [(r.value, r.n) for r in queries.selection_summary(spark, folder).where("measure = 'short'").collect()] == [("test/mixtral/three_or_more_calls", 2)]
+    unknown = {r.value: r.n for r in queries.selection_summary(spark, folder).where("measure = 'unknown_tools'").collect()}
+    assert unknown == {"true": 1, None: 1, "false": 196}
 
 
 def test_replacement_goes_by_the_validation_stage(spark, tmp_path):
