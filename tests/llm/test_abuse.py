@@ -28,22 +28,43 @@ def test_disguises_are_undone():
     assert m.segments(None) == m.segments(" \n") == [] and m.segments("user: a bc. De 12!\nx\ny z") == ["a bc.", "de 0! x", "y z"]
 
 
+def test_nothing_of_a_text_is_thrown_away():
+    assert m.segments('<go kill yourself>') == ["go kill yourself"] and m.segments("a b <p title='you rat'>c d</p>") == ["a b", "p title='you rat", "c d"]
+    assert m.segments('{"k": "go away now"}]') == ["k", "go away now"] and m.segments("<b>a b</b><br/>c d") == ["a b", "c d"]
+    assert m.segments("[you are bad}") == ["you are bad"]
+
+
+def test_threshold_is_the_middle_of_the_good_ones():
+    label = np.array([1] * 50 + [0] * 200)
+    score = np.where(label == 1, 0.8, 0.4)
+    assert 0.55 < m.choose_threshold(score, label) < 0.65
+    assert m.choose_threshold(np.zeros(250), label) == m.EVEN
+
+
+def test_wrong_labels_leave_no_trace():
+    docs = documents(600, 5)
+    odd = [(f"{name} {name[::-1]}. " + t, 1) if i % 9 == 0 and not y else (t, y) for i, (t, y) in enumerate(docs) for name in [f"zq{chr(97 + i % 26)}xv{chr(97 + i // 26)}"]]
+    model = m.train(odd)
+    names = [m.segments(t)[0] for (t, y), (_, z) in zip(odd, docs) if y and not z]
+    assert np.mean(model.scores(names) > model.threshold) < 0.05
+
+
 def test_held_out_accuracy_with_wrong_labels():
     docs = documents(900, 1)
     rng = random.Random(2)
     noisy = [(t, 1 - y if rng.random() < 0.05 else y) for t, y in docs[:600]]
     model = m.train(noisy)
-    right = [(max(model.scores(m.segments(t))) > m.THRESHOLD) == bool(y) for t, y in docs[600:]]
+    right = [(max(model.scores(m.segments(t))) > model.threshold) == bool(y) for t, y in docs[600:]]
     assert np.mean(right) > 0.97
     long = "plain words about tools. " * 2000 + "shut up you dumb piece of trash. " + "more words. " * 500
-    assert max(model.scores(m.segments(long))) > m.THRESHOLD
+    assert max(model.scores(m.segments(long))) > model.threshold
 
 
 def test_one_kind_of_label_or_none_gives_zero():
     for docs in ([], [("a text here", 1)], [("a text here", 0)], [(None, 1), ("", 0)]):
         model = m.train(docs)
         assert max(model.scores(m.segments("a text here"))) < 1e-6
-    assert len(m.train([("a text here", 1)]).scores([])) == 0
+    assert len(m.train([("a text here", 1)]).scores([])) == 0 and m.train([]).worst([None, ""]).tolist() == [0, 0]
 
 
 def test_tables(spark):
