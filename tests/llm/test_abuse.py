@@ -41,14 +41,6 @@ def test_threshold_is_the_middle_of_the_good_ones():
     assert m.choose_threshold(np.zeros(250), label) == m.EVEN
 
 
-def test_wrong_labels_leave_no_trace():
-    docs = documents(600, 5)
-    odd = [(f"{name} {name[::-1]}. " + t, 1) if i % 9 == 0 and not y else (t, y) for i, (t, y) in enumerate(docs) for name in [f"zq{chr(97 + i % 26)}xv{chr(97 + i // 26)}"]]
-    model = m.train(odd)
-    names = [m.segments(t)[0] for (t, y), (_, z) in zip(odd, docs) if y and not z]
-    assert np.mean(model.scores(names) > model.threshold) < 0.05
-
-
 def test_held_out_accuracy_with_wrong_labels():
     docs = documents(900, 1)
     rng = random.Random(2)
