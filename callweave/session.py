@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
 
@@ -89,8 +90,26 @@ def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
 
 #: Ids that may be broadcast: 16 MB at most. Beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Rows of one key from which on a join takes the key out of the shuffle.
+HOT_ROWS = 20_000
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join of df with a materialised table of ids (one column, same name); broadcast only if small enough."""
     return df.join(broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
+
+
+def hot_join(df: DataFrame, keys: DataFrame, column: str, rows: str = "n", how: str = "inner") -> DataFrame:
+    """Join of df with a materialised table of one row per key, which says in `rows` how many rows of df the key has.
+
+    Keys with more than HOT_ROWS rows (so at most one for each HOT_ROWS rows of df) come by broadcast where
+    the rows lie, so that no task gets all rows of a key; the others are shuffled. Should there be more than
+    BROADCAST_IDS hot keys, each is small against the whole and the plain join serves. `how` is inner or left.
+    """
+    hot = keys.where(F.col(rows) > HOT_ROWS)
+    n = hot.count()
+    if not n or n > BROADCAST_IDS:
+        return df.join(keys, column, how)
+    warm = df.join(broadcast(hot), column)
+    cold = df.join(broadcast(hot.select(column)), column, "left_anti").join(keys.where(F.col(rows) <= HOT_ROWS), column, how)
+    return warm.unionByName(cold)
