@@ -16,13 +16,14 @@ import numpy as np
 SAMPLE = 8
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling."""
+def suffix_array(text: np.ndarray, cyclic: bool = False) -> np.ndarray:
+    """Suffixes (or rotations) in order, by prefix doubling."""
     n = len(text)
     rank, k = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
     while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - k] = rank[k:] if k < n else second[: n - k]
+        second = np.roll(rank, -k) if cyclic else np.full(n, -1, np.int64)
+        if not cyclic:
+            second[: n - k] = rank[k:] if k < n else second[: n - k]
         key = rank * (n + 1) + second + 1
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
@@ -53,7 +54,7 @@ class Index:
         text = np.zeros(starts[-1], np.int64)
         for d, s in zip(documents, starts):
             text[s : s + len(d)] = np.searchsorted(vocabulary, d) + 1
-        order = suffix_array(text)
+        order = suffix_array(text, cyclic=True)  # rotations: so a step back over a separator holds too; documents are distinct, so no two are equal
         bwt = text[order - 1]
         places = np.argsort(bwt, kind="stable")
         first = np.searchsorted(bwt[places], np.arange(len(vocabulary) + 2))
@@ -87,15 +88,26 @@ class Index:
         return np.where(self.vocabulary[at] == hashes, at + 1, -1)
 
     def interval(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix range [lo, hi) of one-symbol patterns."""
+        """Suffix range [lo, hi) of one-symbol patterns; empty for unknown symbols. 0 is the separator."""
         known = np.maximum(symbol, 0)
-        return np.where(symbol > 0, self.first[known], 0), np.where(symbol > 0, self.first[known + 1], 0)
+        return np.where(symbol >= 0, self.first[known], 0), np.where(symbol >= 0, self.first[known + 1], 0)
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One step of backward search: the ranges of symbol + pattern; empty for unknown symbols."""
+        """One step of backward search: the ranges of symbol + pattern; empty for unknown symbols. 0 is the separator."""
         known = np.maximum(symbol, 0)
         a, b = (np.searchsorted(self.keys, known * (self.n + 1) + x) for x in (lo, hi))
-        return np.where(symbol > 0, a, 0), np.where(symbol > 0, b, 0)
+        return np.where(symbol >= 0, a, 0), np.where(symbol >= 0, b, 0)
+
+    def ends(self) -> np.ndarray:
+        """The row of each document's separator: from there `back` reads the document from its end."""
+        rows = np.arange(self.first[1])
+        out = np.empty(len(rows), np.int64)
+        out[self.documents(self.locate(rows))[0]] = rows
+        return out
+
+    def back(self, rows: np.ndarray) -> np.ndarray:
+        """One step back in the text: the row of the suffix that begins one symbol earlier."""
+        return self.lf[rows]
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffix-array rows, by LF steps to the next sample."""

@@ -31,8 +31,9 @@ from pyspark.sql.window import Window as W
 
 from callweave.jsonx import BAD, try_loads
 from callweave.llm.components import components
+from callweave.llm.expand import row_pairs
 from callweave.llm.words import distinct_words, word_hash
-from callweave.session import cut, keep_ids, spread
+from callweave.session import cut, hot_join, keep_ids, spread
 
 BANDS, ROWS, B = 48, 6, 8
 N = BANDS * ROWS
@@ -131,8 +132,8 @@ def shares_at_least(a: Column, b: Column, share: tuple[int, int]) -> Column:
 def classes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row_index, rep) membership, and (rep, sig, names) of the representatives."""
     keyed = feats.select("row_index", "cls")
-    reps = keyed.groupBy("cls").agg(F.min("row_index").alias("rep"))
-    members = cut(keyed.join(reps, "cls").select("row_index", "rep"))
+    reps = cut(keyed.groupBy("cls").agg(F.min("row_index").alias("rep"), F.count("*").alias("n")))
+    members = cut(hot_join(keyed, reps, "cls").select("row_index", "rep"))
     copies = members.where("row_index <> rep").select("row_index")
     return members, keep_ids(feats.select("row_index", "sig", "names"), copies, "row_index", "left_anti").withColumnRenamed("row_index", "rep")
 
@@ -201,11 +202,10 @@ def similar_classes(reps: DataFrame, rows: DataFrame) -> DataFrame:
 def found(rows: DataFrame) -> DataFrame:
     """p5_found: all similar pairs of rows, copies included."""
     members, reps = classes(cut(features(rows, BRIEF)))
-    links = similar_classes(reps, rows).select("a", "b")
+    links = cut(similar_classes(reps, rows).select("a", "b"))
+    own = members.where("row_index <> rep").select(F.col("rep").alias("a")).distinct().select("a", F.col("a").alias("b"))
     x, y = members.select(F.col("rep").alias("a"), F.col("row_index").alias("row_x")), members.select(F.col("rep").alias("b"), F.col("row_index").alias("row_y"))
-    across = links.join(x, "a").join(y, "b")
-    within = x.join(y, F.col("a") == F.col("b")).where("row_x < row_y")
-    both = across.select("row_x", "row_y").union(within.select("row_x", "row_y"))
+    both = row_pairs(links, x, y).union(row_pairs(own, x, y).where("row_x < row_y"))
     return both.select(F.least("row_x", "row_y").alias("row_a"), F.greatest("row_x", "row_y").alias("row_b"))
 
 

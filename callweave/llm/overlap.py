@@ -1,15 +1,20 @@
 """Same or near-same records across splits (problem 2), by a compressed full-text index.
 
-A record's text is its first user message as distinct words in order, each word a symbol together
-with the canonical form of the assistant's calls: only records with the same calls can match at all.
-Records with equal words and calls form a class. The evaluation classes (validation, test) are cut
+A record's text is the distinct words of its first user message in a fixed order (that of their
+hashes), each word a symbol together with the canonical form of the assistant's calls: only records with
+the same calls can match at all, and equal words stand in equal order, so near-same records share long
+runs. Records with equal words and calls form a class. The evaluation classes (validation, test) are cut
 into shards of bounded size by their calls and each shard gets one index; shards of hot calls are cut
-into blocks. Training classes stream through the indexes of their shard: of each one its rarest words
-in the index are searched backward, as many as must include a shared word at the threshold (all but
-ceil(0.7 n) - 1 words), each match is extended backward as far as it goes, and all its places are
-located. For each (training, evaluation) pair met, the maximal matches are merged: spans, longest
-span and matched words, from which the share of common words follows exactly; `reach` is the
-longest match of a rare word in any document of the shard. No pair is missed.
+into blocks. Training classes stream through the indexes of their shard by backward search.
+
+Two texts of n and m words with c in common have n - c + m - c words that the other one lacks. Each
+word of the first that is missing breaks two of its n + 1 pairs of neighbours (its ends count as
+neighbours of the separator), each word too many in the second breaks one. So of any K + 1 pairs one
+must stand in the index if no more than K can be broken at the threshold: the rarest ones by the width
+of their backward-search interval are located, and a document that holds too few of them is no match.
+What is left is merged with the record by walking back through the index from the document's end: runs
+of common neighbours are the maximal matches; their number (`spans`), the longest, and their words
+together come out, and the share follows exactly. No pair is missed.
 
 Edge cases: records without a known split, without a user message or with no word in it, or with
 arguments that are no JSON, take no part (unreadable arguments have no values to compare); several
@@ -29,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.jsonx import BAD, canonical, fold_numbers, try_loads
+from callweave.llm.expand import row_pairs
 from callweave.llm.fulltext import Index
 from callweave.llm.words import distinct_words, word_hash
 from callweave.session import cut, spread
@@ -89,8 +95,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with np.errstate(over="ignore"):
                     s = (w.view(np.uint64) ^ np.uint64(calls)) * np.uint64(0x9E3779B97F4A7C15)
                     s ^= s >> np.uint64(32)
-                cls = xxhash.xxh64_intdigest(np.sort(s).tobytes())
-                out.append((record_no, _signed(calls), _signed(cls), s.view(np.int64), *rest))
+                s = np.sort(s.view(np.int64))
+                cls = xxhash.xxh64_intdigest(s.tobytes())
+                out.append((record_no, _signed(calls), _signed(cls), s, *rest))
         columns = list(zip(*out)) if out else [[]] * len(_SCHEMA)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
@@ -109,57 +116,59 @@ def _build(shard_rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "block": [rows["block"].iloc[0]], "ids": [rows["cls"].to_numpy()], "blob": [index.dump()]})
 
 
-MATCH = "train_cls long, eval_cls long, common int, train_words int, eval_words int, spans int, longest int, reach int"
+MATCH = "train_cls long, eval_cls long, common int, train_words int, eval_words int, spans int, longest int"
+
+
+def least_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The common words that texts of n and m words need to reach the share."""
+    p, q = SHARE
+    return -(-(n + m) * p // (p + q))
+
+
+def most_broken(n: int) -> int:
+    """How many of the n + 1 pairs of a text of n words can be missing in a text that reaches the share."""
+    p, q = SHARE
+    return max((2 * a + (n - a) * q // p - n for a in range(n) if (n - a) * q >= n * p), default=0)
 
 
 def stream(index: Index, ids: np.ndarray, classes: np.ndarray, patterns: list[np.ndarray]) -> pd.DataFrame:
     """Training classes against one index: pairs at or over the share, with their merged maximal matches."""
-    p, q = SHARE
-    sizes = np.array([len(x) for x in patterns], np.int64)
-    ends = np.cumsum(sizes)
-    base = ends - sizes
-    owner = np.repeat(np.arange(len(patterns)), sizes)
-    symbol = index.symbols(np.concatenate(patterns)) if len(patterns) else np.empty(0, np.int64)
-    lo, hi = index.interval(symbol)
-    width = hi - lo
-    # the rarest words of each record first, of equally rare ones the last; words unknown to the index cost nothing
-    order = np.lexsort((-np.arange(len(owner)), width, owner))
-    place = np.arange(len(order)) - base[owner]
-    anchors = order[(place < (sizes - -(-sizes * p // q) + 1)[owner])]
-    anchors = anchors[width[anchors] > 0]
-    # backward search: the maximal extension of each anchor to the left
-    reach = np.ones(len(anchors), np.int64)
-    at, l, h, live = anchors.copy(), lo[anchors], hi[anchors], np.arange(len(anchors))
-    while len(live):
-        inside = at > base[owner[at]]
-        at = at - 1
-        at, l, h, live = at[inside], l[inside], h[inside], live[inside]
-        l, h = index.step(symbol[at], l, h)
-        some = h > l
-        at, l, h, live = at[some], l[some], h[some], live[some]
-        reach[live] += 1
-    longest_any = np.zeros(len(patterns), np.int64)
-    np.maximum.at(longest_any, owner[anchors], reach)
-    # merge: where each word of the record stands in the document, runs of neighbours are spans
-    docs = len(ids)
-    all_rows = np.arange(index.first[1], index.n)
-    position = index.locate(all_rows)
-    sym = np.repeat(np.arange(len(index.first) - 1), np.diff(index.first))[all_rows]
-    d, offset = index.documents(position)
-    keys = sym * docs + d
-    by = np.argsort(keys, kind="stable")
-    keys, offset = keys[by], offset[by]
-    length = np.diff(index.starts) - 1
     out = [pd.DataFrame({c.split()[0]: np.empty(0, np.int64) for c in MATCH.split(", ")})]
+    if not len(patterns) or not len(ids):
+        return out[0]
+    sizes = np.array([len(x) for x in patterns], np.int64)
+    base = np.cumsum(sizes) - sizes
+    symbol = index.symbols(np.concatenate(patterns))
+    length, ends, docs = np.diff(index.starts) - 1, index.ends(), len(ids)
+    # each text between two separators: its pairs of neighbours, searched backward
+    owner = np.repeat(np.arange(len(patterns)), sizes + 1)
+    at = _ramp(sizes + 1)
+    inner = base[owner] + at
+    left = np.where(at > 0, symbol[np.maximum(inner - 1, 0)], 0)
+    right = np.where(at < sizes[owner], symbol[np.minimum(inner, len(symbol) - 1)], 0)
+    lo, hi = index.step(left, *index.interval(right))
+    width = np.maximum(hi - lo, 0)
+    # the rarest pairs of each record, one more than can be broken
+    broken = {int(n): most_broken(int(n)) for n in np.unique(sizes)}
+    asked = np.array([broken[int(n)] + 1 for n in sizes], np.int64)
+    order = np.lexsort((np.arange(len(owner)), width, owner))
+    anchors = order[(_ramp(sizes + 1) < asked[owner]) & (width[order] > 0)]
+    anchors = anchors[np.argsort(owner[anchors], kind="stable")]
     for part in _slices(owner[anchors], width[anchors]):  # all places of the anchors, a bounded number at a time
         own, w = anchors[part], width[anchors[part]]
-        doc, _ = index.documents(index.locate(np.repeat(lo[own], w) + _ramp(w)))
-        pairs = np.unique(np.repeat(owner[own], w) * docs + doc)
-        for at in range(0, len(pairs), PAIRS):
-            x, y = pairs[at : at + PAIRS] // docs, pairs[at : at + PAIRS] % docs
-            common, spans, longest = _merge(keys, offset, docs, symbol, base[x], sizes[x], y)
-            ok = common * q >= (sizes[x] + length[y] - common) * p
-            found = {"train_cls": classes[x], "eval_cls": ids[y], "common": common, "train_words": sizes[x], "eval_words": length[y], "spans": spans, "longest": longest, "reach": longest_any[x]}
+        doc, offset = index.documents(index.locate(np.repeat(lo[own], w) + _ramp(w)))
+        opens = np.repeat(left[own] == 0, w)  # a separator found stands before its document
+        doc = np.where(opens, (doc + 1) % docs, doc)
+        pairs, hits = np.unique(np.repeat(owner[own], w) * docs + doc, return_counts=True)
+        x, y = pairs // docs, pairs % docs
+        need = least_common(sizes[x], length[y])
+        enough = (need <= np.minimum(sizes[x], length[y])) & (hits >= asked[x] - (2 * sizes[x] + length[y] - 3 * need))
+        x, y, need = x[enough], y[enough], need[enough]
+        for first in range(0, len(x), PAIRS):
+            a, b = x[first : first + PAIRS], y[first : first + PAIRS]
+            common, spans, longest = merge(index, ends[b], length[b], symbol, base[a], sizes[a], need[first : first + PAIRS])
+            ok = common >= need[first : first + PAIRS]
+            found = {"train_cls": classes[a], "eval_cls": ids[b], "common": common, "train_words": sizes[a], "eval_words": length[b], "spans": spans, "longest": longest}
             out.append(pd.DataFrame(found)[ok])
     return pd.concat(out)
 
@@ -173,21 +182,30 @@ def _slices(owner: np.ndarray, width: np.ndarray) -> Iterator[slice]:
         yield slice(a, b)
 
 
-def _merge(keys: np.ndarray, offset: np.ndarray, docs: int, symbol: np.ndarray, base: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matched words, spans and longest span of (record, document) pairs; `keys` are sorted symbol * docs + document, at `offset`."""
-    word = np.repeat(base, n) + _ramp(n)
-    pair = np.repeat(np.arange(len(n)), n)
-    want = np.maximum(symbol[word], 0) * docs + doc[pair]
-    found = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
-    hit = (keys[found] == want) & (symbol[word] > 0) if len(keys) else np.zeros(len(want), bool)
-    where = np.where(hit, offset[found], -2) if len(keys) else np.full(len(want), -2)
-    starts = hit.copy()
-    if len(hit) > 1:
-        starts[1:] &= ~((where[1:] == where[:-1] + 1) & (pair[1:] == pair[:-1]) & hit[:-1])
-    lengths = np.bincount((np.cumsum(starts) - 1)[hit], minlength=int(starts.sum()))
-    longest = np.zeros(len(n), np.int64)
-    np.maximum.at(longest, pair[starts], lengths)
-    return np.bincount(pair[hit], minlength=len(n)), np.bincount(pair[starts], minlength=len(n)), longest
+def merge(index: Index, row: np.ndarray, rest: np.ndarray, symbol: np.ndarray, base: np.ndarray, n: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common words, runs and longest run of (record, document) pairs, both read from their ends.
+
+    A document is read out of the index by steps back from its separator's row; symbols are in order in
+    both texts. Pairs that cannot reach the words that they need any more are dropped on the way.
+    """
+    common, spans, longest, run = (np.zeros(len(row), np.int64) for _ in range(4))
+    live = np.arange(len(row))
+    row, rest, i = row.copy(), rest.copy(), base + n - 1
+    joined = np.zeros(len(row), bool)  # the last step was a match, so a match now goes on with its run
+    while len(live):
+        ours, theirs = symbol[i], index.symbol_of[row]
+        same, ours_on, theirs_on = ours == theirs, (ours >= theirs) | (ours < 0), (theirs >= ours) & (ours >= 0)
+        run = np.where(same, np.where(joined, run + 1, 1), run)
+        common[live] += same
+        spans[live] += same & ~joined
+        longest[live] = np.maximum(longest[live], np.where(same, run, 0))
+        joined = same
+        i, rest = i - ours_on, rest - theirs_on
+        row = np.where(theirs_on, index.back(row), row)
+        left = i - base + 1
+        on = (left > 0) & (rest > 0) & (common[live] + np.minimum(left, rest) >= need)
+        live, row, rest, i, base, need, joined, run = (z[on] for z in (live, row, rest, i, base, need, joined, run))
+    return common, spans, longest
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -230,17 +248,18 @@ def class_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def found(records: DataFrame) -> DataFrame:
     """p2_found: pairs of a training and an evaluation record with the same calls and near-same request."""
     members, pairs = class_pairs(records)
-    t = members.where("side = 'train'").select(F.col("cls").alias("train_cls"), F.col("record_no").alias("t"))
-    e = members.where("side = 'eval'").select(F.col("cls").alias("eval_cls"), F.col("record_no").alias("e"))
-    both = pairs.select("train_cls", "eval_cls").join(t, "train_cls").join(e, "eval_cls")
-    return both.select(F.least("t", "e").alias("record_a"), F.greatest("t", "e").alias("record_b"))
+    side = lambda name, cls, row: members.where(F.col("side") == name).select(F.col("cls").alias(cls), F.col("record_no").alias(row))
+    links = pairs.select(F.col("train_cls").alias("a"), F.col("eval_cls").alias("b"))
+    both = row_pairs(links, side("train", "a", "row_x"), side("eval", "b", "row_y"))
+    return both.select(F.least("row_x", "row_y").alias("record_a"), F.greatest("row_x", "row_y").alias("record_b"))
 
 
 def report(records: DataFrame) -> DataFrame:
     """Overlaps by evaluation split, its source and the training source, counted from classes without expanding pairs.
 
     `pairs` counts record pairs, `exact_pairs` those with the same words in the same order or another,
-    `eval_records` the evaluation records that stand in training data; `longest_span` in words.
+    `eval_records` the evaluation records that stand in training data; `longest_span`
+    is the longest maximal match, in words of the fixed order.
     """
     members, pairs = class_pairs(records)
     per = cut(members.withColumn("source_dataset", F.coalesce("source_dataset", F.lit("unknown"))).groupBy("cls", "side", "split", "source_dataset").agg(F.count("*").alias("n")))

@@ -52,6 +52,8 @@ ODD = [(None, tools("a")), ("q w", None), ("q w", "["), ("q w", "{}"), ("q w", "
 @pytest.mark.parametrize("hot", [500, 2])
 def test_pairs_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(m, "HOT", hot)
+    monkeypatch.setattr("callweave.session.HOT_ROWS", hot)
+    monkeypatch.setattr("callweave.llm.expand.BLOCK_ROWS", hot)
     rows = some_rows() + ODD + some_rows(20)[:5] * 3
     got = [(r.row_a, r.row_b) for r in m.found(table(spark, rows)).collect()]
     want = brute(rows)

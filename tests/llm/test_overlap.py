@@ -101,6 +101,37 @@ def test_index_counts_and_locates():
 
 
 def test_spans_are_maximal_matches():
-    index = Index.build([np.array([1, 2, 3, 9, 5, 6], np.int64)])
-    out = m.stream(index, np.array([77]), np.array([5]), [np.array([1, 2, 3, 4, 5, 6], np.int64)]).iloc[0]
-    assert (out.train_cls, out.eval_cls, out.common, out.spans, out.longest, out.reach) == (5, 77, 5, 2, 3, 2)
+    index = Index.build([np.array([1, 2, 3, 5, 6, 9], np.int64), np.array([4], np.int64), np.array([1, 2, 3, 4, 5, 6], np.int64)])
+    out = {r.eval_cls: r for r in m.stream(index, np.array([77, 78, 79]), np.array([5]), [np.array([1, 2, 3, 4, 5, 6], np.int64)]).itertuples()}
+    assert {k: (r.common, r.spans, r.longest) for k, r in out.items()} == {77: (5, 2, 3), 79: (6, 1, 6)}
+    assert list(m.stream(index, np.array([77, 78, 79]), np.array([5]), [np.array([4], np.int64)]).eval_cls) == [78]
+
+
+def test_matches_come_from_backward_search(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    docs = [np.sort(rng.choice(60, 12, replace=False)).astype(np.int64) for _ in range(50)]
+    ids, index = np.arange(50), Index.build(docs)
+    whole = m.stream(index, ids, ids, docs)
+    assert set(zip(ids, ids)) <= set(zip(whole.train_cls, whole.eval_cls))
+    monkeypatch.setattr(Index, "step", lambda self, symbol, lo, hi: (lo, lo))
+    assert not len(m.stream(index, ids, ids, docs))
+    monkeypatch.undo()
+    monkeypatch.setattr(Index, "back", lambda self, rows: rows)
+    assert len(m.stream(index, ids, ids, docs)) < len(whole)
+
+
+@pytest.mark.parametrize("n", range(1, 40))
+def test_no_more_pairs_break_than_said(n):
+    sizes = [(a, b) for a in range(n) for b in range(2 * n) if 10 * (n - a) >= 7 * (n + b)]
+    assert m.most_broken(n) == max(2 * a + b for a, b in sizes) < n + 1
+    assert all(m.least_common(np.array(n), np.array(n - a + b)) <= n - a for a, b in sizes)
+
+
+def test_rows_of_large_classes_meet_in_blocks(spark, monkeypatch):
+    from callweave.llm import expand
+
+    monkeypatch.setattr(expand, "BLOCK_ROWS", 4)
+    rows = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 100), (3, 101)], "a long, row_x long")
+    links = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "a long, b long")
+    got = sorted(map(tuple, expand.row_pairs(links, rows, rows.toDF("b", "row_y")).collect()))
+    assert got == sorted([(i, j) for i in range(30) for j in range(30)] + [(i, 100) for i in range(30)] + [(101, 101)])
