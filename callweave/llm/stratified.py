@@ -17,12 +17,14 @@ Input columns other than the six used are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from callweave.session import cut
+from callweave.session import BROADCAST_IDS, cut
 
 CELL = ["split", "call_bucket", "generator"]
 #: Rows of one key range, about: the edge range is ranked in one task.
@@ -86,14 +88,22 @@ def allocate(cells: list[dict], size: int) -> list[int]:
     return quota
 
 
-_QUOTA = T.StructType([T.StructField(c, T.StringType()) for c in CELL] + [T.StructField(c, T.LongType()) for c in ("quota",)])
+_QUOTA = T.StructType([T.StructField(c, T.StringType()) for c in CELL] + [T.StructField(c, T.LongType()) for c in ("quota", "shortfall")])
+
+
+def shortfalls(cells: list[dict], size: int) -> list[int]:
+    """What each cell lacks of max(min_rows, its share of `size` rounded up) because its availability caps it.
+
+    The cap is that of `allocate`: a cell is short if and only if it were so with every row that it has.
+    """
+    return [max(0, max(c["min_rows"], math.ceil(c["target_share"] * size)) - c["available"]) for c in cells]
 
 
 def quotas(counts: DataFrame) -> tuple[DataFrame, int]:
-    """cell_counts with the quota of each cell, and the sample size; the target list is fixed and small."""
+    """Quota and shortfall of each cell of `cell_counts`, and the sample size; the target list is fixed and small."""
     cells = [r.asDict() for r in counts.orderBy(*CELL).collect()]
     size = cells[0]["size"] if cells else 0
-    rows = [(*(c[k] for k in CELL), q) for c, q in zip(cells, allocate(cells, size))]
+    rows = [(*(c[k] for k in CELL), q, s) for c, q, s in zip(cells, allocate(cells, size), shortfalls(cells, size))]
     return counts.sparkSession.createDataFrame(rows, _QUOTA), size
 
 
@@ -110,29 +120,35 @@ def draw(usable: DataFrame, quota: DataFrame, n_usable: int, seed: int = 42) ->
     counted = rows.groupBy(*CELL, "quota", "range").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy(*CELL).orderBy("range").rowsBetween(W.unboundedPreceding, -1))
     plan = counted.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < F.col("quota")).select(*CELL, "range", "before", (F.col("before") + F.col("n") <= F.col("quota")).alias("whole"))
-    kept = rows.join(plan, [*CELL, "range"])
+    plan = cut(plan)  # one row a cell and key range: one for each RANGE_ROWS rows
+    kept = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_IDS else plan, [*CELL, "range"])
     edge = kept.where(~F.col("whole")).withColumn("rank", F.row_number().over(W.partitionBy(*CELL, "range").orderBy("key", "id")))
     edge = edge.where(F.col("before") + F.col("rank") <= F.col("quota")).drop("rank")
     out = kept.where("whole").unionByName(edge)
     return out.select("id", "row_index", *(F.col(f"t_{c}").alias(c) for c in CELL))
 
 
+def _drawn(candidates: DataFrame, targets: DataFrame, fraction: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Counts, quotas and rows of the sample, and its size; the usable ids are written once and used for all."""
+    usable = cut(usable_ids(candidates))
+    counts = cut(cell_counts(usable, targets, fraction))
+    quota, size = quotas(counts)
+    return counts, quota, draw(usable, quota, usable.count(), seed), size
+
+
 def sample(candidates: DataFrame, targets: DataFrame, fraction: float = 0.25, seed: int = 42) -> DataFrame:
     """The sample: id, row_index and category as spelled in the targets."""
-    usable = usable_ids(candidates)
-    counts = cell_counts(usable, targets, fraction)
-    quota, _ = quotas(counts)
-    return draw(usable, quota, counts.agg(F.max("n_usable")).first()[0] or 0, seed)
+    return _drawn(candidates, targets, fraction, seed)[2]
 
 
-def report(candidates: DataFrame, targets: DataFrame, fraction: float = 0.25) -> DataFrame:
-    """Per cell: needed, available, quota, shares wanted and reached, and how far it falls short."""
-    counts = cell_counts(usable_ids(candidates), targets, fraction)
-    quota, size = quotas(counts)
-    out = counts.join(F.broadcast(quota), CELL)
-    return out.select(*CELL, "target_share", "min_rows", "needed", "available", "quota", (F.col("quota") / F.lit(float(max(size, 1)))).alias("actual_share"), F.greatest(F.lit(0), F.col("needed") - F.col("available")).alias("shortfall"))
+def report(candidates: DataFrame, targets: DataFrame, fraction: float = 0.25, seed: int = 42) -> DataFrame:
+    """Per cell: needed, available, quota, rows drawn, shares wanted and reached, and how far it falls short."""
+    counts, quota, rows, size = _drawn(candidates, targets, fraction, seed)
+    drawn = rows.groupBy(*CELL).agg(F.count("*").alias("drawn"))  # a row a cell, as are all of these
+    out = counts.join(F.broadcast(quota), CELL).join(F.broadcast(drawn), CELL, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    return out.select(*CELL, "target_share", "min_rows", "needed", "available", "quota", "drawn", (F.col("drawn") / F.lit(float(max(size, 1)))).alias("actual_share"), "shortfall")
 
 
 def found(candidates: DataFrame, targets: DataFrame) -> DataFrame:
-    """p4_found: cells with fewer usable ids than needed."""
-    return cell_counts(usable_ids(candidates), targets).where(F.col("available") < F.col("needed")).select(*CELL)
+    """p4_found: the cells of the drawn sample's report that fall short."""
+    return report(candidates, targets).where("shortfall > 0").select(*CELL)
