@@ -29,6 +29,8 @@ from callweave.session import cut
 
 #: Rows that one numbering task takes, about.
 BUCKET_ROWS = 50_000
+#: Numbers of a size that one run of slots holds.
+RUN = 20_000
 
 
 class _Sizes:
@@ -214,14 +216,29 @@ def pack(documents: DataFrame, capacities: DataFrame, path: str = TOKENIZER) ->
     parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), F.lit(buckets)))
     key = ["capacity_id", "size"]
     sizes = parts.groupBy(*key, "bucket").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy(*key, "bucket").orderBy("doc_id", "part")) - 1
     before = F.coalesce(F.sum("n").over(W.partitionBy(*key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(*key, "bucket", before.alias("before"))
-    rank = F.row_number().over(W.partitionBy(*key, "bucket").orderBy("doc_id", "part")) - 1
     numbered = parts.withColumn("rank", rank).join(offsets, [*key, "bucket"]).withColumn("number", F.col("rank") + F.col("before"))
-    placed = numbered.join(plans.select(*key, "slots"), key)
-    slot = F.filter("slots", lambda s: (F.col("number") >= s["first"]) & (F.col("number") <= s["last"]))[0]
-    placed = placed.withColumn("slot", slot)
-    return placed.select("capacity_id", "doc_id", "part", "size", F.expr("slot.bin + (number - slot.first) div slot.per").alias("bin"))
+    return placed(numbered.select(*key, "doc_id", "part", "number"), plans)
+
+
+def placed(numbered: DataFrame, plans: DataFrame) -> DataFrame:
+    """The container of each numbered piece: the slot of its size that holds its number.
+
+    Slots are cut at multiples of RUN numbers and lie among the pieces in the order of their numbers, so each
+    piece takes the last slot before it; a task looks at one run of a size at a time, however many pieces
+    have that size.
+    """
+    key = ["capacity_id", "size"]
+    run = F.lit(RUN).cast("long")
+    slots = plans.select(*key, F.explode("slots").alias("slot"))
+    slots = slots.select(*key, "slot", F.explode(F.sequence(F.expr(f"slot.first div {RUN}"), F.expr(f"slot.last div {RUN}"))).alias("run"))
+    slots = slots.select(*key, "run", F.greatest(F.col("slot.first"), F.col("run") * run).alias("number"), F.lit(0).alias("is_piece"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("part"), "slot")
+    pieces_ = numbered.select(*key, F.expr(f"number div {RUN}").alias("run"), "number", F.lit(1).alias("is_piece"), "doc_id", "part", F.lit(None).cast(slots.schema["slot"].dataType).alias("slot"))
+    near = W.partitionBy(*key, "run").orderBy("number", "is_piece").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = slots.unionByName(pieces_).withColumn("slot", F.last("slot", ignorenulls=True).over(near)).where("is_piece = 1")
+    return both.select("capacity_id", "doc_id", "part", "size", F.expr("slot.bin + (number - slot.first) div slot.per").alias("bin"))
 
 
 def report(documents: DataFrame, capacities: DataFrame, path: str = TOKENIZER) -> DataFrame:

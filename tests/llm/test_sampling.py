@@ -34,6 +34,7 @@ def test_cells_counts_and_shortfalls(spark):
     rows = {(r.split, r.generator): r for r in stratified.report(c, t).collect()}
     size = math.floor(101 / 4)
     assert rows["train", "deepseek"].available == 70 and rows["test", "mixtral"].needed == max(3, math.ceil(0.375 * size))
+    assert all(r.drawn == r.quota and r.shortfall == max(0, r.needed - r.available) for r in rows.values())
     assert rows["test", "deepseek"].shortfall == 2 and sum(r.quota for r in rows.values()) == size
     assert {tuple(r) for r in stratified.found(c, t).collect()} == {(s, b, g) for s, b, g, *_ in TARGETS if rows[s, g].available < rows[s, g].needed}
     assert stratified.found(c.limit(0), t).count() == 3 and stratified.sample(c.limit(0), t).count() == 0 and stratified.sample(c, t.limit(0)).count() == 0
@@ -113,6 +114,7 @@ def test_reduction_keeps_the_optimum(case):
 @pytest.mark.parametrize("bucket", [50_000, 5])
 def test_packing_places_every_token_once(spark, monkeypatch, bucket):
     monkeypatch.setattr(packing, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(packing, "RUN", bucket)
     rng = random.Random(1)
     texts = [" ".join(["word"] * rng.randint(1, 60)) for _ in range(150)] + [None, "", " " * 3, "long text " * 20_000] + ["word word"] * 50
     docs = spark.createDataFrame([(i, t, 9, "clash") for i, t in enumerate(texts)], "doc_id long, text string, size long, bin string")
@@ -186,3 +188,43 @@ def test_large_documents_do_not_spoil_a_share(spark):
     for seed in (1, 2, 3):
         rep = {r.source: r for r in mixing.report(*mixing.mix(mixing.by_characters(docs), t, seed)).collect()}
         assert abs(rep["a"].got - rep["a"].wanted) <= 13 and rep["b"].got in (0, 30_000)
+
+
+def whole_source(sizes, wanted, seed):
+    sizes = sorted(sizes, reverse=True)
+    drawn, p = mixing.settle(list(enumerate(sizes)), sum(sizes), wanted / sum(sizes), seed)
+    return sum(s * x for s, x in zip(sizes, drawn)), p
+
+
+@pytest.mark.parametrize("wanted", [3, 15, 50, 79, 95])
+def test_a_document_of_most_of_a_source_misses_least(wanted):
+    """One document of 80 and twenty of 1: as near to the wanted size as whole documents come."""
+    possible = [80 * k + i for k in (0, 1) for i in range(21)]
+    for seed in range(20):
+        got, _ = whole_source([80] + [1] * 20, wanted, seed)
+        assert abs(got - wanted) <= min(abs(x - wanted) for x in possible) + 1
+
+
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=30), st.floats(0, 1), st.integers(0, 9))
+def test_settled_sources_miss_by_a_document_at_most(sizes, p, seed):
+    got, left = whole_source(sizes, p * sum(sizes), seed)
+    assert abs(got - p * sum(sizes)) <= max(sizes) / 2 + 1e-6 and left in (0.0, p)
+
+
+def test_settling_keeps_expectations():
+    hits = [0.0] * 6
+    for seed in range(4000):
+        drawn, p = mixing.settle([(0, 30), (1, 20), (2, 10)], 160, 0.4, seed * 7)
+        for i, x in enumerate([*drawn, p]):
+            hits[i] += x / 4000
+    assert all(abs(h - 0.4) < 0.03 for h in hits[:4])
+
+
+def test_a_lower_budget_keeps_all_shares(spark):
+    rows = [(i, "a" if i % 2 else "b", "x" * (5 + i % 4)) for i in range(2000)] + [(5000 + i, "c", "xyz") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    plain = {r.source: r for r in mixing.report(*mixing.mix(mixing.by_characters(docs), t)).collect()}
+    kept = {r.source: r for r in mixing.report(*mixing.mix(mixing.by_characters(docs), t, keep_shares=True)).collect()}
+    assert plain["c"].falls_short and plain["a"].actual_share > 0.52
+    assert all(abs(r.actual_share - r.target_share) < 0.01 for r in kept.values()) and not any(r.falls_short for r in kept.values() if r.source != "c")
