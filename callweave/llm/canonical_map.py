@@ -1,27 +1,35 @@
 """Free-entered type names mapped to a canonical list (problem 3). SQL only.
 
-Partition-based pigeonhole join. The reference list is the catalog written out: each entry in all
-its known writings. An input value is normalised (optional marks, defaults, quoting and spaces are
-not part of the type) and grouped, so each distinct value is looked up once. Two strings within k
-edits share at least one of k+1 consecutive segments of the reference string, at a shift that its
-number and the difference of lengths bound; so the join is an equality join on (reference length,
-segment number, segment), verified by the built-in levenshtein. One edit counts as a match (k = 1),
-and so does a swap of neighbours. Values without a match come out with type 0 by an anti-join.
+Partition-based pigeonhole join. The reference list is a table of writings (`ref`) and the entry that
+each means (`target`): `reference_table` makes it from the catalog, each entry written out by its
+structure, and any table of aliases can take its place. An input value is normalised (optional marks,
+defaults, quoting and spaces are not part of the type) and grouped, so each distinct value is looked up
+once. Two strings within k edits share at least one of k+1 consecutive segments of the reference string,
+at a shift that its number and the difference of lengths bound; so the join is an equality join on
+(reference length, segment number, segment), verified by the built-in levenshtein. Here one edit counts
+as a match (k = 1), and so does a swap of neighbours. Values without a match come out with type 0 by an
+anti-join. Nothing is collected: distinct values, writings and results are tables, and a value that very
+many rows have leaves the shuffle of the last join.
 
 Edge cases: null types are no input and give no row; a value that is exactly a canonical entry is
-not reported; an empty or blank value means no entry (0); values of one character only match
-exactly; ties go to the fewest edits, then to the lowest type_id. Very long values take part with
+not reported; an empty or blank value means no entry (0); values of k characters or fewer only match
+exactly; ties go to the fewest edits, then to the lowest type_id; a writing of two entries belongs to a
+simple one before a generic one, then to the lower type_id. Very long values take part with
 their whole text. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callweave.session import cut
+from callweave.session import cut, hot_join
 
 # --- fixed values: names of the simple types, singular and plural -------------------------------
 SIMPLE = {
@@ -128,7 +136,7 @@ def writings(canonical: str) -> set[str]:
 
 
 def reference_rows(canonicals: list[str]) -> list[tuple[str, str]]:
-    """(writing, canonical) of a catalog; a writing of two entries stays with the entry named first."""
+    """(writing, canonical) of a list of entries; a writing of two entries stays with the entry named first."""
     seen: dict[str, str] = {}
     for simple in (True, False):
         for c in canonicals:
@@ -138,6 +146,32 @@ def reference_rows(canonicals: list[str]) -> list[tuple[str, str]]:
     return sorted(seen.items())
 
 
+def _write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(w, c, t) for c, t in zip(*(x.to_pylist() for x in batch.columns)) for w in sorted(writings(c))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32()))], names=["ref", "canonical", "target"])
+
+
+def reference_table(catalog: DataFrame) -> DataFrame:
+    """ref, target: the writings of each catalog entry (canonical, type_id), one row a writing."""
+    entries = catalog.select(F.col("canonical").cast("string"), F.col("type_id").cast("int")).dropna()
+    rows = entries.mapInArrow(_write_out, "ref string, canonical string, target int")
+    return _sql(catalog.sparkSession, "SELECT ref, min(struct(instr(canonical, '[') > 0 AS generic, target)).target AS target FROM rows GROUP BY ref", rows=rows)
+
+
+def _sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
+    """SQL over DataFrames under names of this call only, so calls at the same time are apart."""
+    names = {name: f"cm_{name}_{uuid.uuid4().hex}" for name in views}
+    for name, df in views.items():
+        df.createOrReplaceTempView(names[name])
+        text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {names[name]}", text)
+    try:
+        return spark.sql(text)
+    finally:
+        for name in names.values():
+            spark.catalog.dropTempView(name)
+
+
 #: (pattern, replacement), applied in this order to the lower-cased value. RE2 and Java read them alike.
 STEPS = [
     (r"[\s\x{00a0}]+", " "),
@@ -193,21 +227,18 @@ def map_values(values: DataFrame, refs: DataFrame, k: int = 1) -> DataFrame:
     neighbours keeps the letters: it is found by equality of the sorted letters. The longest reference
     bounds what each value can probe, so very long values cost no more than short ones.
     """
-    spark = values.sparkSession
-    values.createOrReplaceTempView("cm_values")
-    refs.createOrReplaceTempView("cm_refs")
     low = f"greatest(s.pos + 1 - s.seg, s.pos + 1 + length(v.value) - s.ref_len - ({k} - s.seg))"
     high = f"least(s.pos + 1 + s.seg, s.pos + 1 + length(v.value) - s.ref_len + ({k} - s.seg))"
     letters = "array_join(array_sort(split({}, '')), '')"
-    return spark.sql(f"""
-      WITH v AS (SELECT DISTINCT value FROM cm_values),
-      seg AS ({_segments_sql(k, "cm_refs")}),
+    return _sql(values.sparkSession, f"""
+      WITH v AS (SELECT DISTINCT value FROM given),
+      seg AS ({_segments_sql(k, "refs")}),
       shape AS (SELECT ref_len, seg, pos, length(piece) AS piece_len FROM seg GROUP BY ALL),
       probe AS (
         SELECT value, ref_len, seg, substring(value, at, piece_len) AS piece FROM (
           SELECT v.value, s.ref_len, s.seg, s.piece_len, explode(CASE WHEN {low} <= {high} THEN sequence(greatest(1, {low}), greatest(1, {high})) END) AS at
           FROM (SELECT value, explode(sequence(length(value) - {k}, length(value) + {k})) AS want FROM v
-                WHERE length(value) BETWEEN 2 AND (SELECT max(length(ref)) + {k} FROM cm_refs)) v
+                WHERE length(value) BETWEEN {k + 1} AND (SELECT max(length(ref)) + {k} FROM refs)) v
           JOIN shape s ON s.ref_len = v.want)
         WHERE at + piece_len - 1 <= length(value)),
       cand AS (
@@ -216,41 +247,37 @@ def map_values(values: DataFrame, refs: DataFrame, k: int = 1) -> DataFrame:
       hit AS (
         SELECT c.value, c.ref, levenshtein(c.value, c.ref) AS edits FROM cand c WHERE levenshtein(c.value, c.ref) <= {k}
         UNION ALL
-        SELECT v.value, r.ref, 1 FROM (SELECT value, {letters.format("value")} AS letters FROM v WHERE length(value) >= 2) v
-        JOIN (SELECT ref, {letters.format("ref")} AS letters FROM cm_refs) r ON v.letters = r.letters WHERE levenshtein(v.value, r.ref) = 2
-        UNION ALL SELECT v.value, r.ref, 0 FROM v JOIN cm_refs r ON v.value = r.ref WHERE length(v.value) < 2),
-      best AS (SELECT h.value, min(struct(h.edits, r.target, h.ref)) AS b FROM hit h JOIN cm_refs r ON r.ref = h.ref GROUP BY h.value)
+        SELECT v.value, r.ref, 1 FROM (SELECT value, {letters.format("value")} AS letters FROM v WHERE length(value) > {k}) v
+        JOIN (SELECT ref, {letters.format("ref")} AS letters FROM refs) r ON v.letters = r.letters WHERE levenshtein(v.value, r.ref) = 2
+        UNION ALL SELECT v.value, r.ref, 0 FROM v JOIN refs r ON v.value = r.ref WHERE length(v.value) <= {k}),
+      best AS (SELECT h.value, min(struct(h.edits, r.target, h.ref)) AS b FROM hit h JOIN refs r ON r.ref = h.ref GROUP BY h.value)
       SELECT value, b.target AS target, b.ref AS ref, b.edits AS edits FROM best
       UNION ALL
-      SELECT v.value, CAST(0 AS INT), CAST(NULL AS STRING), CAST(NULL AS INT) FROM v LEFT ANTI JOIN best ON v.value = best.value""")
+      SELECT v.value, CAST(0 AS INT), CAST(NULL AS STRING), CAST(NULL AS INT) FROM v LEFT ANTI JOIN best ON v.value = best.value""", given=values, refs=refs)
 
 
-def mapped_types(spark: SparkSession, param_types: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Each distinct `type` that is not null: raw value, normalised value, type_id (0: none), matched writing, edits."""
-    ids = {r.canonical: r.type_id for r in catalog.select("canonical", "type_id").collect()}  # the reference list is fixed and small
-    rows = [(w, ids[c]) for w, c in reference_rows([c for c, _ in sorted(ids.items(), key=lambda x: x[1])])]
-    refs = spark.createDataFrame(rows, "ref string, target int")
-    param_types.select("type").createOrReplaceTempView("cm_input")
-    raw = cut(spark.sql(f"SELECT type, {normal_sql('type')} AS value FROM (SELECT type FROM cm_input WHERE type IS NOT NULL GROUP BY type)"))
-    raw.createOrReplaceTempView("cm_raw")
-    cut(map_values(raw.select("value"), refs)).createOrReplaceTempView("cm_mapped")
-    return spark.sql("SELECT r.type, r.value, m.target AS type_id, m.ref AS matched, m.edits FROM cm_raw r JOIN cm_mapped m ON r.value = m.value")
+def mapped_types(param_types: DataFrame, refs: DataFrame, k: int = 1) -> DataFrame:
+    """Each distinct `type` that is not null: raw value, its rows, normalised value, type_id (0: none), matched writing, edits."""
+    spark = param_types.sparkSession
+    refs = cut(refs)
+    raw = cut(_sql(spark, f"SELECT type, n, {normal_sql('type')} AS value FROM (SELECT type, count(*) AS n FROM input WHERE type IS NOT NULL GROUP BY type)", input=param_types.select("type")))
+    mapped = cut(map_values(raw.select("value"), refs, k))
+    per = _sql(spark, "SELECT value, count(*) AS types FROM raw GROUP BY value", raw=raw)
+    named = _sql(spark, "SELECT m.value, m.target AS type_id, m.ref AS matched, m.edits, p.types FROM mapped m JOIN per p ON m.value = p.value", mapped=mapped, per=per)
+    return hot_join(raw, cut(named), "value", "types").drop("types")
 
 
-def found(spark: SparkSession, param_types: DataFrame, catalog: DataFrame) -> DataFrame:
-    """p3_found: rows whose type is no canonical entry itself, with the entry that it means or 0."""
-    mapped_types(spark, param_types, catalog).createOrReplaceTempView("cm_types")
-    param_types.select("param_id", "type").createOrReplaceTempView("cm_rows")
-    catalog.select("canonical").createOrReplaceTempView("cm_catalog")
-    return spark.sql("""
-      SELECT p.param_id, t.type_id FROM cm_rows p
-      JOIN (SELECT type, type_id FROM cm_types LEFT ANTI JOIN cm_catalog ON type = canonical) t ON p.type = t.type""")
+def found(spark: SparkSession, param_types: DataFrame, catalog: DataFrame, refs: DataFrame | None = None, k: int = 1) -> DataFrame:
+    """p3_found: rows whose type is no canonical entry itself, with the entry that it means or 0.
+
+    `refs` (ref, target) is the table of aliases; that of the catalog if none is given.
+    """
+    types = mapped_types(param_types, reference_table(catalog) if refs is None else refs, k)
+    other = cut(_sql(spark, "SELECT type, n, type_id FROM types LEFT ANTI JOIN catalog ON type = canonical", types=types, catalog=catalog.select("canonical")))
+    return hot_join(_sql(spark, "SELECT param_id, type FROM input WHERE type IS NOT NULL", input=param_types.select("param_id", "type")), other, "type").select("param_id", "type_id")
 
 
-def unmatched(spark: SparkSession, param_types: DataFrame, catalog: DataFrame) -> DataFrame:
+def unmatched(spark: SparkSession, param_types: DataFrame, catalog: DataFrame, refs: DataFrame | None = None, k: int = 1) -> DataFrame:
     """The values that mean no entry, with the rows that hold them."""
-    mapped_types(spark, param_types, catalog).createOrReplaceTempView("cm_types")
-    param_types.select("type").createOrReplaceTempView("cm_rows")
-    return spark.sql("""
-      SELECT t.type, CAST(count(*) AS BIGINT) AS n_rows FROM cm_rows p
-      JOIN (SELECT type FROM cm_types WHERE type_id = 0) t ON p.type = t.type GROUP BY t.type""")
+    types = mapped_types(param_types, reference_table(catalog) if refs is None else refs, k)
+    return _sql(spark, "SELECT type, n AS n_rows FROM types WHERE type_id = 0", types=types)

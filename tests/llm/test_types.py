@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,21 +19,51 @@ def edits(a, b):
     return row[-1]
 
 
-def brute(value, refs):
+def brute(value, refs, k=1):
     close = []
     for ref, target in refs:
         d = edits(value, ref)
-        if d == 0 or (len(value) > 1 and (d == 1 or (d == 2 and len(value) == len(ref) and sorted(value) == sorted(ref)))):
-            close.append((min(d, 1), target))
+        swap = d == 2 and len(value) == len(ref) and sorted(value) == sorted(ref)
+        if d == 0 or (len(value) > k and (d <= k or swap)):
+            close.append((1 if swap else d, target))
     return min(close)[1] if close else 0
 
 
-@settings(max_examples=5, deadline=None)
-@given(st.lists(st.text("abi[]", max_size=7), min_size=1, max_size=40), st.lists(st.text("abi[]", min_size=1, max_size=6), min_size=1, max_size=25, unique=True))
-def test_join_equals_brute_force(spark, values, refs):
+@pytest.mark.parametrize("k", [1, 2, 3])
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.text("abi[]", max_size=9), min_size=1, max_size=40), st.lists(st.text("abi[]", min_size=1, max_size=8), min_size=1, max_size=25, unique=True))
+def test_join_equals_brute_force(spark, k, values, refs):
     refs = [(r, i + 1) for i, r in enumerate(refs)]
-    out = m.map_values(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(refs, "ref string, target int")).collect()
-    assert {r.value: r.target for r in out} == {v: brute(v, refs) for v in values} and len(out) == len(set(values))
+    out = m.map_values(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(refs, "ref string, target int"), k).collect()
+    assert {r.value: r.target for r in out} == {v: brute(v, refs, k) for v in values} and len(out) == len(set(values))
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_typing_errors_are_found_without_aliases(spark, k):
+    """Recall on k random edits of the catalog's own names alone; no alias takes part."""
+    rng = random.Random(k)
+    refs = [(c.lower().replace(" ", ""), i + 1) for i, c in enumerate(CATALOG) if len(c) > 5]
+    cases = {}
+    for _ in range(400):
+        ref, target = rng.choice(refs)
+        for _ in range(k):
+            i, c = rng.randrange(len(ref)), rng.choice("abcdefghij")
+            ref = rng.choice((ref[:i] + c + ref[i:], ref[:i] + ref[i + 1 :], ref[:i] + c + ref[i + 1 :]))
+        cases[ref] = target
+    out = {r.value: r for r in m.map_values(spark.createDataFrame([(v,) for v in cases], "value string"), spark.createDataFrame(refs, "ref string, target int"), k).collect()}
+    assert all(out[v].target > 0 and out[v].edits <= k for v in cases)
+    assert sum(out[v].target == t for v, t in cases.items()) >= 0.95 * len(cases)
+
+
+def test_alias_tables_take_the_place_of_the_catalog(spark, monkeypatch):
+    monkeypatch.setattr("callweave.session.HOT_ROWS", 5)
+    p = spark.createDataFrame([(i, "Grossstadt") for i in range(40)] + [(100, "vilage"), (101, "Berg"), (102, "town"), (103, None)], "param_id long, type string")
+    catalog = spark.createDataFrame([(1, "city"), (2, "village"), (3, "town")], "type_id int, canonical string")
+    refs = spark.createDataFrame([("grossstadt", 1), ("city", 1), ("village", 2), ("town", 3)], "ref string, target int")
+    got = {r.param_id: r.type_id for r in m.found(spark, p, catalog, refs).collect()}
+    assert got == {**{i: 1 for i in range(40)}, 100: 2, 101: 0}
+    assert [tuple(r) for r in m.unmatched(spark, p, catalog, refs).collect()] == [("Berg", 1)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("cm_")]
 
 
 @pytest.mark.parametrize(
@@ -64,3 +96,8 @@ def test_reference_list_is_consistent():
     of = dict(REFS)
     for c in CATALOG:
         assert of[c.lower().replace(" ", "")] == c
+
+
+def test_reference_table_equals_the_list(spark):
+    catalog = spark.createDataFrame([(i + 1, c) for i, c in enumerate(CATALOG)] + [(99, None)], "type_id int, canonical string")
+    assert {r.ref: CATALOG[r.target - 1] for r in m.reference_table(catalog).collect()} == dict(REFS)
