@@ -302,8 +302,8 @@ def train(documents: list[tuple[str, int]]) -> Model:
         threshold = EVEN if k == 0 else choose_threshold(_worst(doc, score, len(y)), y)
         positive = _best(doc, score, of) if k == 0 else (of == 1) & (score > threshold)
         wrong = (of == 0) & (score > 0.9) & (times < 3) & (k > 0)
-        if not positive.any():
-            return Model(np.zeros(1 << BITS, np.float32), -30.0, 1.0)
+        if not positive.any():  # too few labels to tell: the most likely segment of each flagged document
+            positive, threshold = _best(doc, score, of), EVEN
     weight, bias = fit_linear(rows, positive | ((of == 0) & ~wrong), positive.astype(float), times)
     return Model(weight, bias, threshold)
 

@@ -66,9 +66,8 @@ w AS (SELECT * FROM n WHERE len(words) > 0 AND len(names) > 0)"""
 _SIMILAR = f"""10 * len(a.words) >= 7 * len(b.words) AND 10 * len(b.words) >= 7 * len(a.words) AND list_has_any(a.names, b.names)
   AND 2 * len(list_intersect(a.names, b.names)) >= len(a.names) + len(b.names) - len(list_intersect(a.names, b.names)) AND {_SHARE}"""
 
-SQL: dict[str, str] = {
-    "p2_found": rf"""
-WITH m AS (
+_REQUESTS = r"""
+m AS (
   SELECT record_no, CASE WHEN lower(trim(metadata.split, ' ')) = 'train' THEN 't' WHEN lower(trim(metadata.split, ' ')) IN ('validation', 'test') THEN 'e' END AS side,
          list_distinct(regexp_extract_all(lower(list_filter(messages, lambda m: m.role = 'user')[1].content), '[a-z0-9]+')) AS words,
          flatten(list_transform(list_filter(messages, lambda m: m.role = 'assistant'), lambda m: coalesce(m.tool_calls, []))) AS calls
@@ -77,12 +76,23 @@ c AS (SELECT record_no, unnest(calls) AS c, generate_subscripts(calls, 1) AS pos
 k AS (
   SELECT record_no, pos, trim(any_value(c['function'].name)) || '(' || coalesce(string_agg(fullkey || '=' || value, ',' ORDER BY fullkey) FILTER (WHERE leaf), '') || ')' AS key
   FROM (SELECT c.*, j.fullkey, CASE WHEN j.type = 'DOUBLE' THEN (j.value::VARCHAR::DOUBLE)::VARCHAR ELSE j.value::VARCHAR END AS value,
-               j.type NOT IN ('OBJECT', 'ARRAY') OR (j.value::VARCHAR IN ('{{}}', '[]') AND j.fullkey <> '$') AS leaf
+               j.type NOT IN ('OBJECT', 'ARRAY') OR (j.value::VARCHAR IN ('{}', '[]') AND j.fullkey <> '$') AS leaf
         FROM c, LATERAL (SELECT fullkey, type, value FROM json_tree(c.c['function'].arguments::JSON)) j) GROUP BY ALL),
 s AS (SELECT record_no, list_sort(list(key)) AS keys FROM k GROUP BY record_no),
-w AS (SELECT m.record_no, side, words, coalesce(keys, []) AS keys FROM m LEFT JOIN s USING (record_no) WHERE side IS NOT NULL AND len(words) > 0)
+w AS (SELECT m.record_no, side, words, coalesce(keys, []) AS keys FROM m LEFT JOIN s USING (record_no) WHERE side IS NOT NULL AND len(words) > 0)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"""
+WITH {_REQUESTS}
 SELECT least(a.record_no, b.record_no) AS record_a, greatest(a.record_no, b.record_no) AS record_b
 FROM w a JOIN w b ON a.keys = b.keys AND a.side = 't' AND b.side = 'e' WHERE {_SHARE}""",
+    "p2_report": f"""
+WITH {_REQUESTS},
+x AS (SELECT record_no, lower(trim(metadata.split, ' ')) AS split, coalesce(metadata.source_dataset, 'unknown') AS source FROM canonical_records),
+p AS (
+  SELECT xb.split, xb.source AS eval_source, xa.source AS train_source, b.record_no, list_sort(a.words) = list_sort(b.words) AS same
+  FROM w a JOIN w b ON a.keys = b.keys AND a.side = 't' AND b.side = 'e' JOIN x xa ON xa.record_no = a.record_no JOIN x xb ON xb.record_no = b.record_no WHERE {_SHARE})
+SELECT split, eval_source, train_source, count(*) AS pairs, count(*) FILTER (WHERE same) AS exact_pairs, count(DISTINCT record_no) AS eval_records FROM p GROUP BY ALL""",
     "p3_found": f"""
 WITH {_mapped()}
 SELECT p.param_id, m.type_id FROM param_types p JOIN mapped m ON p.type = m.type WHERE p.type NOT IN (SELECT canonical FROM type_catalog)""",

@@ -18,7 +18,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap.report(table(spark, folder, "canonical_records"))
+    return overlap.report(table(spark, folder, "canonical_records")).drop("longest_span")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
