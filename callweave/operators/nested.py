@@ -14,6 +14,7 @@ than row_index, tools and answers are ignored, whatever their names. Repeated ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -245,7 +246,10 @@ _OWN = {
 
 
 def routed(nodes: DataFrame) -> DataFrame:
-    """The supertype table written once, each variant to its own part, for `variant_tables`."""
+    """The supertype table written once to the shared folder, each variant to its own part, for `variant_tables`.
+
+    A task writes one file for each variant that it meets, 24 at most.
+    """
     return shared_table(nodes, "kind", "variant")
 
 
@@ -269,9 +273,23 @@ def variant_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def nested_found(nodes: DataFrame) -> DataFrame:
-    """Parameters at any depth and argument leaves of the readable records."""
-    return nodes.where(F.col("kind").isin("param", "arg")).select("row_index", F.col("kind").alias("child"), "pos", "tool_pos", "path")
+def nested_found(tables: dict[str, DataFrame]) -> DataFrame:
+    """Parameters at any depth and argument leaves of the readable records: the union of their subtype tables."""
+    parts = [t.select("row_index", F.lit(kind).alias("child"), "pos", "tool_pos", "path") for kind in ("param", "arg") for name, t in tables.items() if name.startswith(f"{kind}_")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def parent_links(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each subtype table, and how many of them have their parent in one of the tables.
+
+    Links are counted per parent before the join, so a parent with very many children is one row of it.
+    """
+    link = lambda c: F.xxhash64("row_index", c)
+    parts = [t.select(F.lit(name).alias("subtype"), F.when(F.col("parent_id").isNotNull(), link("parent_id")).alias("parent")) for name, t in tables.items()]
+    rows = reduce(DataFrame.unionByName, parts).groupBy("subtype", "parent").agg(F.count("*").alias("n"))
+    ids = reduce(DataFrame.unionByName, (t.select(link("node_id").alias("parent")) for name, t in tables.items() if not name.startswith("arg_"))).distinct()
+    out = rows.join(ids.withColumn("there", F.lit(1)), "parent", "left").groupBy("subtype")
+    return out.agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("there") == 1, F.col("n")).otherwise(0)).alias("with_parent"))
 
 
 def variant_counts(nodes: DataFrame) -> DataFrame:

@@ -52,14 +52,13 @@ _SCORED = f"""
 SELECT record_no, lower(trim(metadata.split, ' ')) AS split, n, record_no % 3 <> 1 OR n = 1 AS whole, CASE WHEN record_no % 3 = 1 THEN least(n, 1) ELSE n END AS predicted
 FROM (SELECT record_no, len(calls) AS n FROM {_CALLS}) JOIN (SELECT record_no, metadata FROM canonical_records) USING (record_no)"""
 
-SQL: dict[str, str] = {
-    "p1_found": rf"""
+_NESTED = rf"""
 WITH r AS ({_READABLE}), b AS ({_BODIES}),
 p AS (
   SELECT row_index, pos, CASE WHEN json_type(body, '$.parameters.type') = 'VARCHAR' THEN body->'parameters'->'properties' ELSE body->'parameters' END AS params
   FROM b WHERE json_type(body, '$.parameters') = 'OBJECT'),
 declared AS (
-  SELECT row_index, pos, replace(substr(k.fullkey, 3), '"', '') AS key FROM p, LATERAL (SELECT fullkey FROM json_tree(p.params)) k
+  SELECT row_index, pos, json_extract(p.params, k.fullkey) AS decl, replace(substr(k.fullkey, 3), '"', '') AS key, k.fullkey FROM p, LATERAL (SELECT fullkey FROM json_tree(p.params)) k
   WHERE json_type(p.params) = 'OBJECT'
     AND regexp_full_match(k.fullkey, '\$\.[^.\[]+((\.items)*\.properties\.[^.\[]+)*')),
 first AS (SELECT row_index, trim(body->>'name') AS name, min(pos) AS pos FROM b WHERE json_type(body, '$.name') = 'VARCHAR' GROUP BY ALL),
@@ -68,12 +67,47 @@ c AS (
          CASE WHEN json_type(a.call, '$.arguments') = 'VARCHAR' THEN (a.call->>'arguments')::JSON ELSE a.call->'arguments' END AS args
   FROM r, LATERAL (SELECT unnest(json_extract(r.answers, '$[*]')) AS call, generate_subscripts(json_extract(r.answers, '$[*]'), 1) AS pos) a),
 leaf AS (
-  SELECT c.row_index, c.pos, c.name, replace(ltrim(substr(k.fullkey, 2), '.'), '"', '') AS path
+  SELECT c.row_index, c.pos, c.name, replace(ltrim(substr(k.fullkey, 2), '.'), '"', '') AS path, k.type, k.fullkey
   FROM c, LATERAL (SELECT fullkey, type, value FROM json_tree(c.args)) k
-  WHERE json_type(c.args) IN ('OBJECT', 'ARRAY') AND k.fullkey <> '$' AND (k.type NOT IN ('OBJECT', 'ARRAY') OR k.value::VARCHAR IN ('{{}}', '[]')))
+  WHERE json_type(c.args) IN ('OBJECT', 'ARRAY') AND k.fullkey <> '$' AND (k.type NOT IN ('OBJECT', 'ARRAY') OR k.value::VARCHAR IN ('{{}}', '[]')))"""
+# every node with its variant: what stands in a declaration, in the parameters of a tool, in the arguments of a call
+_NODES = rf"""{_NESTED},
+t AS (
+  SELECT row_index, json_type(t.tool) = 'OBJECT' AS is_object, json_type(t.tool, '$.function') = 'OBJECT' AS wrapped,
+         CASE WHEN json_type(t.tool, '$.function') = 'OBJECT' THEN t.tool->'function' ELSE t.tool END AS body
+  FROM r, LATERAL (SELECT unnest(json_extract(r.tools, '$[*]')) AS tool) t),
+a AS (SELECT row_index, a.call FROM r, LATERAL (SELECT unnest(json_extract(r.answers, '$[*]')) AS call) a),
+nodes AS (
+  SELECT row_index, 'record' AS kind, CASE WHEN row_index IN (SELECT row_index FROM r) THEN 'readable' ELSE 'unreadable' END AS variant, 0 AS depth FROM raw_rows
+  UNION ALL
+  SELECT row_index, 'tool', CASE WHEN NOT is_object THEN 'other' ELSE CASE WHEN wrapped THEN 'wrapped_' ELSE '' END || CASE
+           WHEN coalesce(json_type(body, '$.parameters') <> 'OBJECT' OR len(json_keys(body, '$.parameters')) = 0, true) THEN 'bare'
+           WHEN json_type(body, '$.parameters.type') = 'VARCHAR' THEN 'schema' ELSE 'flat' END END, 1 FROM t
+  UNION ALL
+  SELECT row_index, 'param', CASE
+           WHEN json_type(decl, '$.properties') = 'OBJECT' THEN 'object'
+           WHEN json_type(decl, '$.items.properties') = 'OBJECT' OR json_type(decl, '$.items.items.properties') = 'OBJECT' OR json_type(decl, '$.items.items.items.properties') = 'OBJECT' THEN 'array_of_objects'
+           WHEN json_type(decl, '$.items') IS NOT NULL THEN 'array'
+           WHEN json_type(decl, '$.type') = 'VARCHAR' THEN 'scalar' ELSE 'untyped' END, 2 + len(regexp_extract_all(fullkey, '\.properties\.')) FROM declared
+  UNION ALL
+  SELECT row_index, 'call', CASE
+           WHEN json_type(call) <> 'OBJECT' THEN 'other'
+           WHEN coalesce(json_type(call, '$.arguments'), 'NULL') = 'NULL' OR (call->'arguments')::VARCHAR = '{{}}' THEN 'empty'
+           WHEN json_type(call, '$.arguments') = 'OBJECT' THEN 'object'
+           WHEN json_type(call, '$.arguments') = 'VARCHAR' AND {strict_json("(call->>'arguments')")} THEN 'text' ELSE 'other' END, 1 FROM a
+  UNION ALL
+  SELECT row_index, 'arg', CASE WHEN type = 'VARCHAR' THEN 'string' WHEN type IN ('OBJECT', 'ARRAY') THEN 'empty_' || lower(type) WHEN type IN ('BOOLEAN', 'NULL') THEN lower(type) ELSE 'number' END,
+         1 + len(regexp_extract_all(fullkey, '\.("[^"]*"|[^.\[]+)|\[[0-9]+\]')) FROM leaf)"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"""{_NESTED}
 SELECT row_index, 'param' AS child, pos::INT AS pos, pos::INT AS tool_pos, replace(replace(key, '.items', '[]'), '.properties.', '.') AS path FROM declared
 UNION ALL
 SELECT l.row_index, 'arg', l.pos::INT, coalesce(f.pos, -1)::INT, l.path FROM leaf l LEFT JOIN first f ON f.row_index = l.row_index AND f.name = l.name""",
+    "p1_variants": f"""{_NODES}
+SELECT kind, variant, count(*) AS nodes, count(DISTINCT row_index) AS records, max(depth)::INT AS max_depth FROM nodes GROUP BY ALL""",
+    "p1_subtypes": f"""{_NODES}
+SELECT kind || '_' || variant AS subtype, count(*) AS n_rows, CASE WHEN kind = 'record' THEN 0 ELSE count(*) END AS with_parent FROM nodes GROUP BY kind, variant""",
     "p6_found": f"{_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p6_loaded": f"{_LINES} SELECT line_id, id::BIGINT AS id, query, tools, answers FROM judged WHERE reason IS NULL",
     "call_bucket_distribution": """

@@ -40,9 +40,14 @@ def _prepared(spark: SparkSession, folder: str) -> DataFrame:
 # --- nested records and bad rows -----------------------------------------------------------------
 
 
+def _subtypes(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The typed subtype tables of the raw rows."""
+    return nested.variant_tables(nested.routed(nested.shred(table(spark, folder, "raw_rows"))))
+
+
 @query
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.nested_found(nested.shred(table(spark, folder, "raw_rows")))
+    return nested.nested_found(_subtypes(spark, folder))
 
 
 @query
@@ -53,13 +58,7 @@ def p1_variants(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p1_subtypes(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each subtype table, and how many of them have their parent in the tables."""
-    nodes = nested.routed(nested.shred(table(spark, folder, "raw_rows")))
-    link = lambda c: F.xxhash64("row_index", c)
-    parts = [t.select(F.lit(name).alias("subtype"), F.when(F.col("parent_id").isNotNull(), link("parent_id")).alias("parent")) for name, t in nested.variant_tables(nodes).items()]
-    rows = reduce(DataFrame.unionByName, parts).groupBy("subtype", "parent").agg(F.count("*").alias("n"))
-    ids = nodes.where("kind <> 'arg'").select(link("node_id").alias("parent"), F.lit(1).alias("there"))
-    out = rows.join(ids, "parent", "left").groupBy("subtype")
-    return out.agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("there") == 1, F.col("n")).otherwise(0)).alias("with_parent"))
+    return nested.parent_links(_subtypes(spark, folder))
 
 
 @query

@@ -25,7 +25,7 @@ def frame(spark, rows):
 def test_paths_and_links(spark):
     rows = [(1, json.dumps(TOOLS), json.dumps(CALLS), 9, "clash", "clash"), (2, "[", "[]", None, None, None), (3, None, None, None, None, None), (4, "{}", "5", None, None, None)]
     nodes = nested.shred(frame(spark, rows)).cache()
-    got = {(r.child, r.pos, r.tool_pos, r.path) for r in nested.nested_found(nodes.where("row_index = 1")).collect()}
+    got = {(r.child, r.pos, r.tool_pos, r.path) for r in nested.nested_found(nested.variant_tables(nodes.where("row_index = 1"))).collect()}
     assert got == {
         ("param", 0, 0, "x"), ("param", 0, 0, "y"), ("param", 0, 0, "y[].z"), ("param", 0, 0, "y[].w"), ("param", 0, 0, "y[].w[][].v"),
         ("param", 1, 1, "q"), ("param", 1, 1, "q.r"),
@@ -35,7 +35,13 @@ def test_paths_and_links(spark):
     assert [r.kind for r in nodes.where("row_index = 4").collect()] == ["record"]
     ids = {(r.row_index, r.node_id) for r in nodes.collect()}
     assert all(r.parent_id is None or (r.row_index, r.parent_id) in ids for r in nodes.collect())
-    tables = nested.variant_tables(nodes)
+    tables = nested.variant_tables(nested.routed(nodes))
+    assert {r.child for r in nested.nested_found(tables).collect()} == {"param", "arg"}
+    links = {r.subtype: (r.n_rows, r.with_parent) for r in nested.parent_links(tables).collect()}
+    assert all(n == k for name, (n, k) in links.items() if not name.startswith("record")) and links["record_unreadable"] == (2, 0)
+    routes = {k: t for k, t in tables.items() if k != "param_scalar"}
+    rows = lambda t: {(r.child, r.path) for r in nested.nested_found(t).collect()}
+    assert rows(tables) - rows(routes) == {("param", "x"), ("param", "y[].z"), ("param", "q.r")}
     assert sum(t.count() for t in tables.values()) == nodes.count()
     assert tables["arg_number"].first()["value"] == 1.0 and tables["call_text"].count() == 1 and tables["tool_wrapped_schema"].count() == 1
     assert tables["param_array_of_objects"].count() == 2 and dict(tables["arg_boolean"].dtypes)["value"] == "boolean"
@@ -48,7 +54,7 @@ def test_empty_table_deep_and_long_values(spark):
     rows = [(1, deep, "[]", 0, "", ""), (2, "[]", text, 0, "", ""), (2, "[]", text, 0, "", "")]
     nodes = nested.shred(frame(spark, rows)).cache()
     assert nodes.where("row_index = 1").first()["variant"] == "unreadable"
-    found = nested.nested_found(nodes)
+    found = nested.nested_found(nested.variant_tables(nodes))
     assert found.where("path = 't'").count() == 2 and found.where(F.col("tool_pos") != -1).count() == 0
 
 
