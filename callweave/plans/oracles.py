@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from callweave.plans import chat_oracles
+
 _CLEAN = "lower(trim({}, ' '))"
 _CAND = f"(SELECT * REPLACE ({_CLEAN.format('split')} AS split, {_CLEAN.format('generator')} AS generator, regexp_replace({_CLEAN.format('call_bucket')}, '[ -]', '_', 'g') AS call_bucket) FROM candidates)"
 _ELIGIBLE = f"SELECT DISTINCT ON (id) * FROM {_CAND} WHERE id IS NOT NULL AND generator IS NOT NULL AND call_bucket IS NOT NULL AND fingerprint IS NOT NULL ORDER BY id, row_index"
@@ -198,3 +200,4 @@ SELECT split, count(*) AS n, avg((n > 0)::INT) AS valid_structure, avg((n > 0 AN
        avg((n > 0 AND whole)::INT) AS correct_argument_values, avg((n > 0 AND whole)::INT) AS complete_call_match FROM ({_SCORED}) WHERE split IS NOT NULL GROUP BY split""",
     "same_call_sets": f"SELECT record_no, true AS same FROM {_CALLS} WHERE len(calls) > 0",
 }
+SQL |= chat_oracles.SQL

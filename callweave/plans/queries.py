@@ -243,7 +243,9 @@ def representative_pick(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def render_chatml(spark: SparkSession, folder: str) -> DataFrame:
-    return rendering.template_checks(table(spark, folder, "canonical_records"))
+    """Rendered text of each record, its tokens and how many of the checks fail."""
+    t = rendering.template_checks(table(spark, folder, "canonical_records"))
+    return t.select("record_no", "rendered_text", "token_count", F.size("failures").alias("failures"))
 
 
 @query
