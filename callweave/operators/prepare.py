@@ -1,6 +1,8 @@
 """Raw tool-calling rows to canonical records: decode, profile, gate, normalize and validate in one Arrow stage.
 
-Each row crosses to Python once; what follows (gates, counts, joins) is relational. Edge cases: any
+Each row crosses to Python once; what follows (gates, counts, joins) is relational. `depth` says how far a row
+is worked on (PROFILE, RECORD, CHECKED), so that a fingerprint does not pay for records and checks; what lies
+deeper is null. Columns named in `keep` pass through, so that nothing has to be joined back. Edge cases: any
 failure of a row becomes its category and message, never an exception; null fields and ids that are
 no whole number are 'invalid_source_id' or 'invalid_record'; input columns beyond row_index, id, query,
 tools, answers (and the split column, if named) are ignored; repeated rows each get their own result.
@@ -9,6 +11,7 @@ tools, answers (and the split column, if named) are ignored; repeated rows each
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -20,13 +23,16 @@ from callweave.functions.annotations import AnnotationError, annotated_default,
 from callweave.functions.checks import CONTEXT_LIMIT, failure_issue, record_issues
 from callweave.functions.records import GENERATOR_BOUNDARY, canonical_record, lists_of
 from callweave.jsonx import canonical
-from callweave.session import shared_table, spread
+from callweave.session import cut, hot_join, shared_table, spread
 
 # --- fixed values: call buckets and terms of complex types ---------------------------------------
 BUCKETS = ("single_call", "two_calls", "three_or_more_calls")
 COMPLEX = ("array", "dict", "dictionary", "list", "object")
 # --- end of fixed values -------------------------------------------------------------------------
 
+#: How far a row is worked on.
+PROFILE, RECORD, CHECKED = 1, 2, 3
+
 SCHEMA = (
     "row_index long, id long, split string, gate string, error string, generator string, call_bucket string, available_tool_count int, "
     "expected_call_count int, distinct_expected_tool_count int, repeated_same_tool boolean, multiple_distinct_tools boolean, "
@@ -100,8 +106,8 @@ def rejection_column(message: Column) -> Column:
     return out
 
 
-def prepare_row(row: dict[str, Any], split: str | None, limit: int, boundary: int, source: str) -> dict[str, Any]:
-    """All results for one row; `gate` is null for an eligible row (duplicates of an id aside)."""
+def prepare_row(row: dict[str, Any], split: str | None, limit: int, boundary: int, source: str, depth: int = CHECKED) -> dict[str, Any]:
+    """All results for one row down to `depth`; `gate` is null for an eligible row (duplicates of an id aside)."""
     try:
         int(row["id"])
     except (TypeError, ValueError):
@@ -112,13 +118,18 @@ def prepare_row(row: dict[str, Any], split: str | None, limit: int, boundary: in
         category, message = failure_issue(str(e))
         return {"id": int(row["id"]), "gate": "invalid_record", "error": str(e), "issues": [{"category": category, "message": message}]}
     out = profile(*parts, boundary)
+    if depth < RECORD:
+        return out
     try:
         record = canonical_record(row, split or "selection", source, boundary=boundary)
     except AnnotationError as e:
         category, message = failure_issue(str(e))
         return {**out, "gate": rejection(str(e)), "error": str(e), "issues": [{"category": category, "message": message}]}
+    out["record"] = canonical(record)
+    if depth < CHECKED:
+        return out
     issues, tokens = record_issues(record, limit)
-    return {**out, "record": canonical(record), "issues": [{"category": c, "message": m} for c, m in issues], "estimated_tokens": tokens}
+    return {**out, "issues": [{"category": c, "message": m} for c, m in issues], "estimated_tokens": tokens}
 
 
 def _plain(value: Any) -> Any:
@@ -130,24 +141,78 @@ def _plain(value: Any) -> Any:
     return {k: _plain(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-def _stage(limit: int, boundary: int, source: str):  # noqa: ANN202
+def _stage(limit: int, boundary: int, source: str, depth: int, keep: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                own = {k: row[k] for k in ("id", "query", "tools", "answers")}
-                out.append(_plain({"row_index": row["row_index"], "split": row["split"], **prepare_row(own, row["split"], limit, boundary, source)}))
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+            columns = [c.to_pylist() for c in batch.columns[:6]]
+            for row_index, id_, query, tools, answers, split in zip(*columns):
+                own = {"id": id_, "query": query, "tools": tools, "answers": answers}
+                out.append(_plain({"row_index": row_index, "split": split, **prepare_row(own, split, limit, boundary, source, depth)}))
+            done = pa.RecordBatch.from_pylist(out, schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([*done.columns, *batch.columns[6:]], names=[*done.schema.names, *batch.schema.names[6:]]) if keep else done
 
     return run
 
 
-def prepare(rows: DataFrame, split: str | None = None, limit: int = CONTEXT_LIMIT, boundary: int = GENERATOR_BOUNDARY, source: str = "fc") -> DataFrame:
+def prepare(
+    rows: DataFrame, split: str | None = None, limit: int = CONTEXT_LIMIT, boundary: int = GENERATOR_BOUNDARY, source: str = "fc", depth: int = CHECKED, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The stage over raw rows. `split` names a column with the split of each row (else 'selection')."""
+    if clash := {n for n, _ in FIELDS} & set(keep):
+        raise ValueError(f"columns of the stage cannot be kept: {sorted(clash)}")
     text = [F.col(c).cast("string").alias(c) for c in ("query", "tools", "answers")]
     mark = F.col(split).cast("string") if split else F.lit(None).cast("string")
-    slim = rows.select(F.col("row_index").cast("long").alias("row_index"), F.col("id").cast("long").alias("id"), *text, mark.alias("split"))
-    return spread(slim).mapInArrow(_stage(limit, boundary, source), SCHEMA)
+    slim = rows.select(F.col("row_index").cast("long").alias("row_index"), F.col("id").cast("long").alias("id"), *text, mark.alias("split"), *keep)
+    schema = ", ".join([SCHEMA, *(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[6:])])
+    return spread(slim).mapInArrow(_stage(limit, boundary, source, depth, len(keep)), schema)
+
+
+def inspect_row(query: Any, tools: Any, answers: Any) -> dict[str, Any]:
+    """What an inspection counts of a row: its first fault, or its counts, tool namespaces and parameter types."""
+    if not isinstance(query, str):
+        return {"fault": "query_not_string"}
+    if not query.strip():
+        return {"fault": "query_empty"}
+    lists = {}
+    for field, value in (("tools", tools), ("answers", answers)):
+        try:
+            lists[field] = json.loads(value) if isinstance(value, str) else value
+        except (ValueError, RecursionError):
+            return {"fault": f"{field}_invalid_json"}
+    for field, value in lists.items():
+        if not isinstance(value, list):
+            return {"fault": f"{field}_not_list"}
+    objects = [t for t in lists["tools"] if isinstance(t, dict)]
+    names = [t["name"] for t in objects if isinstance(t.get("name"), str) and t["name"]]
+    specs = [s for t in objects if isinstance(t.get("parameters", {}), dict) for s in t.get("parameters", {}).values() if isinstance(s, dict)]
+    return {
+        "tool_count": len(lists["tools"]), "call_count": len(lists["answers"]), "tool_not_object": len(lists["tools"]) - len(objects),
+        "namespaces": [n.split(".", 1)[0] for n in names], "types": [str(s.get("type", "<missing>")) for s in specs],
+    }
+
+
+_INSPECTED = {"fault": pa.string(), "tool_count": pa.int32(), "call_count": pa.int32(), "tool_not_object": pa.int32(), "namespaces": _STRINGS, "types": _STRINGS}
+
+
+def inspection_profile(rows: DataFrame) -> DataFrame:
+    """(measure, value, n) over raw rows: rows by fault or parsed, tools that are no objects, distributions of counts, namespaces and types.
+
+    Types are counted as often as they stand, and only of rows that parse.
+    """
+    schema = pa.schema(list(_INSPECTED.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([_plain(inspect_row(*r)) for r in zip(*(c.to_pylist() for c in batch.columns))], schema=schema)
+
+    text = [F.col(c).cast("string").alias(c) for c in ("query", "tools", "answers")]
+    seen = spread(rows.select(*text)).mapInArrow(run, "fault string, tool_count int, call_count int, tool_not_object int, namespaces array<string>, types array<string>")
+    one = lambda measure, value: F.array(F.struct(F.lit(measure).alias("measure"), value.cast("string").alias("value"), F.lit(1).cast("long").alias("n")))
+    many = lambda measure, column: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.struct(F.lit(measure).alias("measure"), x.alias("value"), F.lit(1).cast("long").alias("n")))
+    odd = F.array(F.struct(F.lit("fault").alias("measure"), F.lit("tool_not_object").alias("value"), F.col("tool_not_object").cast("long").alias("n")))
+    parts = F.concat(one("fault", F.coalesce("fault", F.lit("none"))), odd, one("tools", F.col("tool_count")), one("calls", F.col("call_count")), many("namespace", F.col("namespaces")), many("parameter_type", F.col("types")))
+    return seen.select(F.inline(parts)).where("value is not null and n > 0").groupBy("measure", "value").agg(F.sum("n").alias("n"))
 
 
 def gated(prepared: DataFrame) -> DataFrame:
@@ -158,9 +223,10 @@ def gated(prepared: DataFrame) -> DataFrame:
     select the columns they want before.
     """
     prepared = shared_table(prepared)
-    first = prepared.where("gate is null").groupBy("id").agg(F.min("row_index").alias("first"))
+    keys = prepared.groupBy("id").agg(F.min(F.when(F.col("gate").isNull(), F.col("row_index"))).alias("first"), F.count("*").alias("rows_of_id"))
     late = F.col("id").isNotNull() & (F.col("row_index") > F.col("first")) & ~F.coalesce(F.col("gate").isin("invalid_source_id", "invalid_record"), F.lit(False))
-    return prepared.join(first, "id", "left").withColumn("gate", F.when(late, "duplicate_id").otherwise(F.col("gate"))).drop("first")
+    marked = hot_join(prepared, cut(keys.where("first is not null")), "id", "rows_of_id", "left")
+    return marked.withColumn("gate", F.when(late, "duplicate_id").otherwise(F.col("gate"))).drop("first", "rows_of_id")
 
 
 CANDIDATE = [

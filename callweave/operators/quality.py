@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from callweave.functions.records import complex_parameters
 from callweave.jsonx import try_loads
+from callweave.session import cut, hot_join
 
 SPLIT_RANK = {"train": 0, "validation": 1, "test": 2}
 
@@ -48,8 +49,9 @@ def cross_split_duplicates(records: DataFrame) -> DataFrame:
     The owner of a fingerprint is an aggregate, so a fingerprint that very many records share is no hot task.
     """
     ranked = records.where("split is not null and fingerprint is not null").select("id", "split", "fingerprint", split_rank().alias("rank"))
-    owner = ranked.groupBy("fingerprint").agg(F.min(F.struct("rank", "split")).alias("o")).select("fingerprint", F.col("o.rank").alias("first"), F.col("o.split").alias("owner"))
-    return ranked.join(owner, "fingerprint").where(F.col("rank") > F.col("first")).select("id", "split", "owner", "fingerprint")
+    owner = ranked.groupBy("fingerprint").agg(F.min(F.struct("rank", "split")).alias("o"), F.max("rank").alias("last"), F.count("*").alias("n"))
+    owner = cut(owner.where("last > o.rank").select("fingerprint", F.col("o.rank").alias("first"), F.col("o.split").alias("owner"), "n"))
+    return hot_join(ranked, owner, "fingerprint").where(F.col("rank") > F.col("first")).select("id", "split", "owner", "fingerprint")
 
 
 def duplicate_groups(rows: DataFrame, key: str) -> DataFrame:
@@ -59,10 +61,10 @@ def duplicate_groups(rows: DataFrame, key: str) -> DataFrame:
 
 def split_report(records: DataFrame) -> DataFrame:
     """Per split: rows, distinct ids, and ids that stand in another split too."""
-    known = records.where("split is not null")
-    shared = known.where("id is not null").groupBy("id").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select("id")
-    marked = known.join(shared.withColumn("shared", F.lit(True)), "id", "left")
-    return marked.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct(F.when(F.col("shared"), F.col("id"))).alias("shared_ids"))
+    per = records.where("split is not null").groupBy("id", "split").agg(F.count("*").alias("n"))  # rows of one id are one row from here on
+    marked = per.groupBy("id").agg(F.collect_list(F.struct("split", "n")).alias("splits")).select("id", (F.size("splits") > 1).alias("shared"), F.inline("splits"))
+    known = F.col("id").isNotNull()
+    return marked.groupBy("split").agg(F.sum("n").alias("n"), F.count_if(known).alias("ids"), F.count_if(known & F.col("shared")).alias("shared_ids"))
 
 
 def verify_splits(records: DataFrame, expected: dict[str, int]) -> None:

@@ -17,13 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from callweave.functions.records import GENERATOR_BOUNDARY
 from callweave.operators.prepare import BUCKETS
+from callweave.operators.quality import split_rank
 
 SPLITS = ("train", "validation", "test")
 GENERATORS = ("deepseek", "mixtral")
 #: Default quotas per split and bucket.
 QUOTAS = {"train": (72, 30, 18), "validation": (24, 10, 6), "test": (24, 10, 6)}
 SEED = 42
+#: Rows of one range of row_index, about, that are numbered together.
+RANGE_ROWS = 50_000
 
 
 def hash_order(seed: int = SEED) -> Column:
@@ -35,30 +39,52 @@ def pool_sizes(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("generator", "call_bucket").agg(F.count("*").alias("n"))
 
 
-def pool_heads(candidates: DataFrame, need: int, key: Column | None = None) -> DataFrame:
-    """Per (generator, bucket) the first `need` rows of distinct fingerprints, in the order of the key.
+def pool_order(candidates: DataFrame, key: Column | None = None, ok: Column | None = None) -> DataFrame:
+    """The first row of each fingerprint in each pool (generator, bucket), with its order key; `ok` marks rows that may be taken."""
+    keyed = candidates.select(
+        "row_index", "id", "generator", "call_bucket", "fingerprint", (key if key is not None else hash_order()).alias("key"), (ok if ok is not None else F.lit(True)).alias("ok")
+    )
+    best = keyed.groupBy("generator", "call_bucket", "fingerprint").agg(F.min(F.struct("key", "row_index", "id", "ok")).alias("b"))
+    return best.select("generator", "call_bucket", "fingerprint", "b.*")
+
+
+def pool_heads(candidates: DataFrame, need: int, key: Column | None = None, ok: Column | None = None) -> DataFrame:
+    """Per (generator, bucket) the first `need` rows of distinct fingerprints that are `ok`, in the order of the key.
 
-    Two limited steps per pool keep the ranking small: the best row of each fingerprint by aggregation,
-    then a rank that is cut at `need`, which Spark limits within each partition before the shuffle.
+    A fingerprint is judged by its first row. Two limited steps per pool keep the ranking small: the best row
+    of each fingerprint by aggregation, then a rank that is cut at `need`, which Spark limits within each
+    partition before the shuffle.
     """
-    keyed = candidates.select("row_index", "id", "generator", "call_bucket", "fingerprint", (key if key is not None else hash_order()).alias("key"))
-    best = keyed.groupBy("generator", "call_bucket", "fingerprint").agg(F.min(F.struct("key", "row_index", "id")).alias("b")).select("generator", "call_bucket", "fingerprint", "b.*")
     rank = F.row_number().over(W.partitionBy("generator", "call_bucket").orderBy("key", "row_index"))
-    return best.withColumn("pool_pos", rank).where(F.col("pool_pos") <= need)
+    return pool_order(candidates, key, ok).where("ok").drop("ok").withColumn("pool_pos", rank).where(F.col("pool_pos") <= need)
+
+
+def shuffled(pool: list[int], rng: random.Random) -> list[int]:
+    """A pool in the order of one step of a shuffle that all pools share (see `shuffled_heads`)."""
+    order = list(pool)
+    rng.shuffle(order)
+    return order
 
 
-def shuffled_heads(candidates: DataFrame, seed: int = SEED) -> DataFrame:
-    """Pools in the order of one shared shuffle, which depends on the pool sizes only (for small candidate sets)."""
+def shuffled_heads(candidates: DataFrame, need: int, seed: int = SEED) -> DataFrame:
+    """`pool_heads` in the order of one shared seeded shuffle of the pools, which depends on their sizes only.
+
+    The shuffle runs on the driver over positions, not rows: it needs the six pool sizes and keeps `need`
+    positions of each; rows are numbered in ranges of row_index, so no pool is ranked in one task.
+    """
     sizes = {(r.generator, r.call_bucket): r.n for r in pool_sizes(candidates).collect()}
-    rng, rows = random.Random(seed), []
+    rng, wanted = random.Random(seed), []
     for g in GENERATORS:
         for b in BUCKETS:
-            order = list(range(sizes.get((g, b), 0)))
-            rng.shuffle(order)
-            rows += [(g, b, old, new) for new, old in enumerate(order)]
-    spots = candidates.sparkSession.createDataFrame(rows, "generator string, call_bucket string, pos int, pool_pos int")
-    pos = F.row_number().over(W.partitionBy("generator", "call_bucket").orderBy("row_index")) - 1
-    return candidates.withColumn("pos", pos).join(spots, ["generator", "call_bucket", "pos"]).drop("pos")
+            wanted += [(g, b, old, new) for new, old in enumerate(shuffled(range(sizes.get((g, b), 0)), rng)[:need])]
+    spots = candidates.sparkSession.createDataFrame(wanted, "generator string, call_bucket string, pos long, pool_pos int")
+    pool = ["generator", "call_bucket"]
+    ranged = candidates.withColumn("range", F.expr(f"row_index div {RANGE_ROWS}"))
+    counts = ranged.groupBy(*pool, "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*pool).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*pool, "range", before.alias("before"))  # a row for each RANGE_ROWS rows
+    pos = F.row_number().over(W.partitionBy(*pool, "range").orderBy("row_index")) - 1 + F.col("before")
+    return ranged.join(starts, [*pool, "range"]).withColumn("pos", pos).join(F.broadcast(spots), [*pool, "pos"]).drop("pos", "range", "before")
 
 
 def pick(heads: Iterable[tuple[str, str, int, str, int]], quotas: dict[str, tuple[int, ...]] | None = None, seed: int = SEED, short: list[tuple[str, str, str, int]] | None = None) -> list[tuple[str, int, int]]:
@@ -131,10 +157,11 @@ def replace(selected: DataFrame, candidates: DataFrame, valid: DataFrame, seed:
     """
     ok = valid.select("id").distinct().withColumn("ok", F.lit(True))
     info = candidates.select("id", "generator", "call_bucket", "fingerprint")
-    rows = selected.join(info, "id", "left").join(ok, "id", "left").orderBy("split", "pos").collect()  # the selection: fixed size
+    rows = selected.join(info, "id", "left").join(ok, "id", "left").orderBy(split_rank(), "split", "pos").collect()  # the selection: fixed size
     bad = sum(1 for r in rows if not r.ok)
     ids, prints = {r.id for r in rows}, {r.fingerprint for r in rows}
-    heads = pool_heads(candidates.join(ok, "id", "left_semi"), len(rows) + bad, hash_order(seed)).collect() if bad else []
+    marked = candidates.join(ok, "id", "left")
+    heads = pool_heads(marked, len(rows) + bad, hash_order(seed), F.coalesce("ok", F.lit(False))).collect() if bad else []
     out = []
     for r in rows:
         if r.ok or r.id is None:
@@ -170,15 +197,20 @@ def summary(selected: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.concat(F.array(*pairs), types)).alias("x")).groupBy("x.measure", "x.value").agg(F.count("*").alias("n"))
 
 
-def inspection_sample(rows: DataFrame, boundary: int, each: int = 50, seed: int = SEED) -> DataFrame:
-    """`each` rows by row_index on either side of the boundary, drawn like the standard library's sample."""
+def inspection_sample(rows: DataFrame, boundary: int = GENERATOR_BOUNDARY, each: int = 50, seed: int = SEED, report: bool = False) -> DataFrame:
+    """`each` rows by row_index on either side of the boundary, drawn like the standard library's sample.
+
+    Data that do not reach beyond the boundary raise ValueError; with `report` the side that has no rows is
+    left out and the rows carry `side`.
+    """
     last = rows.agg(F.max("row_index")).first()[0]
     size = 0 if last is None else last + 1
-    if size <= boundary:
+    if size <= boundary and not report:
         raise ValueError(f"The data has only {size} rows; more than {boundary} are needed.")
     rng = random.Random(seed)
-    picked = [rng.sample(part, min(each, len(part))) for part in (range(boundary), range(boundary, size))]
-    return rows.where(F.col("row_index").isin(sorted(x for p in picked for x in p)))
+    picked = [rng.sample(part, min(each, len(part))) for part in (range(min(boundary, size)), range(boundary, size))]
+    out = rows.where(F.col("row_index").isin(sorted(x for p in picked for x in p)))
+    return out.withColumn("side", F.when(F.col("row_index") < boundary, "below").otherwise("from")) if report else out
 
 
 def category_examples(prepared: DataFrame, seed: int = SEED) -> DataFrame:

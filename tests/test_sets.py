@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.operators import prepare, quality, rendering, scoring, selection
+from callweave.operators import evaluation, prepare, quality, rendering, scoring, selection
 from callweave.plans import queries
 from callweave.sources import files
 from callweave.streaming import rowlocal
@@ -39,7 +39,7 @@ def test_selection_fills_quotas_once_and_again_alike(spark):
         selection.select(c, {"train": (3, 2, 2)})
 
 
-def test_truncated_pools_pick_as_whole_pools_would(spark):
+def test_truncated_pools_pick_as_whole_pools_would(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, i, rng.choice(selection.GENERATORS), rng.choice(prepare.BUCKETS), f"f{rng.randint(0, 60)}") for i in range(400)]
     c = spark.createDataFrame(rows, "row_index long, id long, generator string, call_bucket string, fingerprint string")
@@ -48,8 +48,18 @@ def test_truncated_pools_pick_as_whole_pools_would(spark):
     cut = selection.pool_heads(c, 14).collect()
     shape = lambda heads: selection.pick([(r.generator, r.call_bucket, r.pool_pos, r.fingerprint, r.id) for r in heads], quotas)
     assert shape(whole) == shape(cut)
-    order = selection.shuffled_heads(c).orderBy("generator", "call_bucket", "pool_pos").collect()
+    monkeypatch.setattr(selection, "RANGE_ROWS", 30)
+    order = selection.shuffled_heads(c, 400).orderBy("generator", "call_bucket", "pool_pos").collect()
     assert sorted(r.id for r in order) == list(range(400))
+    rng, want = random.Random(selection.SEED), {}
+    for g in selection.GENERATORS:  # one generator shuffles all pools, each in the order of its rows
+        for b in prepare.BUCKETS:
+            want[g, b] = [r[0] for r in rows if r[2:4] == (g, b)]
+            rng.shuffle(want[g, b])
+    for pool, ids in want.items():
+        assert [r.id for r in order if (r.generator, r.call_bucket) == pool] == ids
+    few = selection.shuffled_heads(c, 5).collect()
+    assert all(want[r.generator, r.call_bucket][r.pool_pos] == r.id for r in few) and len(few) == 30
 
 
 def test_replacement_stays_in_place_and_pool(spark):
@@ -97,6 +107,82 @@ def test_replacement_goes_by_the_validation_stage(spark, tmp_path):
     assert len({r.id for r in out}) == 200 and not {r.id for r in out} & set(faulty) and any(r.id % 10 == 7 for r in out)
 
 
+def repairable(spark, faults):
+    """Candidates and raw rows: pools of six, ids in `faults` have a call to an unknown tool, a null argument type or both."""
+    c = pools(spark, (6, 6, 6))
+    tool = json.dumps([{"name": "t", "description": "d", "parameters": {"a": {"type": "str", "description": "d"}}}])
+    call = json.dumps([{"name": "t", "arguments": {"a": "x"}}])
+    answers = F.lit(call)
+    for i, text in faults.items():
+        answers = F.when(F.col("id") == i, text).otherwise(answers)
+    return c, c.select("row_index", "id", F.lit("q").alias("query"), F.lit(tool).alias("tools"), answers.alias("answers"))
+
+
+def test_selection_is_evaluated_repaired_and_evaluated_again(spark):
+    quotas = {"train": (2, 2, 2), "validation": (2, 2, 2), "test": (2, 2, 2)}
+    c, raw = repairable(spark, {})
+    chosen = selection.select(c, quotas).orderBy("split", "pos").collect()
+    ids = [r.id for r in chosen]
+    twin = {r.id: r.fingerprint for r in c.collect()}
+    train, test = next(r.id for r in chosen if r.split == "train"), next(r.id for r in chosen if r.split == "test")
+    wrong = next(r.id for r in chosen if r.split == "validation")
+    pool = c.where(f"id = {wrong}").first()
+    spare = c.where((F.col("generator") == pool.generator) & (F.col("call_bucket") == pool.call_bucket) & ~F.col("id").isin(ids)).orderBy(selection.hash_order()).collect()
+    c, raw = repairable(spark, {wrong: '[{"name": "u"}]', spare[0].id: '[{"name": "t", "arguments": {"a": 5}}]'})
+    c = c.withColumn("fingerprint", F.when(F.col("id") == test, twin[train]).otherwise(F.col("fingerprint")))
+    selected = spark.createDataFrame([(r.split, r.pos, r.id) for r in chosen], "split string, pos int, id long")
+    entries = {r.id: r for r in evaluation.evaluate(selected, c, raw).collect()}
+    assert {i: [x.category for x in r.issues] for i, r in entries.items() if r.issues} == {test: ["duplicate_cross_split"], wrong: ["unavailable_expected_tool"]}
+    assert entries[test].issues[0].message == f"Example fingerprint for source id {test} appears in both train and test."
+    done = evaluation.repair(selected, c, raw)
+    final = {(r.split, r.pos): r for r in done.final.collect()}
+    assert len(final) == 18 and {r.replaced for r in final.values()} == {None, test, wrong}
+    new = next(r for r in final.values() if r.replaced == wrong)
+    assert new.id == spare[1].id and new.split == "validation"
+    report = done.report
+    assert (report["examples_selected"], report["rejected_examples"], report["valid_examples"], report["final_total_examples"]) == (18, 2, 16, 18)
+    assert report["selected_rejection_category_counts"] == {"duplicate_cross_split": 1, "unavailable_expected_tool": 1}
+    assert report["replacement_candidate_rejection_counts"] == {"incompatible_argument_type": 1}
+    assert [x["replacement_source_id"] for x in report["replacements"] if x["rejected_source_id"] == wrong] == [spare[1].id]
+    assert report["final_split_sizes"] == {"train": 6, "validation": 6, "test": 6}
+    clean = evaluation.repair(done.final, c, raw)
+    assert clean.report["rejected_examples"] == 0 and clean.report["replacements"] == []
+    with pytest.raises(KeyError):
+        evaluation.evaluate(spark.createDataFrame([("train", 0, 10_000)], "split string, pos int, id long"), c, raw)
+
+
+def test_inspection_counts_faults(spark):
+    rows = [(None, "[]", "[]"), (" ", "[]", "[]"), ("q", "[", "[]"), ("q", "[]", "x"), ("q", None, "[]"), ("q", "[]", "{}"), ("q", '[{"name": "a.b", "parameters": {"x": {"type": "int"}, "y": {}}}, 5]', "[1, 2]")]
+    out = {(r.measure, r.value): r.n for r in prepare.inspection_profile(spark.createDataFrame(rows, "query string, tools string, answers string")).collect()}
+    assert out == {
+        ("fault", "query_not_string"): 1, ("fault", "query_empty"): 1, ("fault", "tools_invalid_json"): 1, ("fault", "answers_invalid_json"): 1, ("fault", "tools_not_list"): 1, ("fault", "answers_not_list"): 1,
+        ("fault", "none"): 1, ("fault", "tool_not_object"): 1, ("tools", "2"): 1, ("calls", "2"): 1, ("namespace", "a"): 1, ("parameter_type", "int"): 1, ("parameter_type", "<missing>"): 1,
+    }
+
+
+def test_preparation_goes_as_deep_as_asked(spark):
+    tool, call = json.dumps([{"name": "t", "parameters": {"a": {"type": "str"}}}]), json.dumps([{"name": "t", "arguments": {"a": 1}}])
+    df = spark.createDataFrame([(0, 1, "q", tool, call, "s"), (1, 2, "q", tool.replace("str", "Foo"), call, None)], "row_index long, id long, query string, tools string, answers string, source string")
+    a, b, c = ({r.row_index: r for r in prepare.prepare(df, depth=d, keep=("source",)).collect()} for d in (prepare.PROFILE, prepare.RECORD, prepare.CHECKED))
+    assert a[0].fingerprint == b[0].fingerprint == c[0].fingerprint and [x[0].source for x in (a, b, c)] == ["s"] * 3
+    assert a[0].record is None and a[1].gate is None and b[0].record == c[0].record and b[1].gate == c[1].gate == "normalization_unsupported_parameter_types"
+    assert b[0].issues is None and [i.category for i in c[0].issues] == ["incompatible_argument_type"]
+    with pytest.raises(ValueError, match="cannot be kept"):
+        prepare.prepare(df.withColumn("gate", F.lit(1)), keep=("gate",))
+
+
+def test_hot_keys_leave_the_shuffle(spark, monkeypatch):
+    from callweave import session
+
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (None, 2)) for i in range(n)], "k long, i long")
+    keys = spark.createDataFrame([(1, 50, "a"), (2, 3, "b"), (3, 9, "c")], "k long, n long, v string")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(keys, "k", how).collect()), key=repr)
+        for hot in (5, 1000):
+            monkeypatch.setattr(session, "HOT_ROWS", hot)
+            assert sorted(map(tuple, session.hot_join(rows, keys, "k", how=how).collect()), key=repr) == want
+
+
 def test_representatives_pass_over_copies_of_a_picked_id(spark):
     three = ("a", "train", 1, 3, 5, False, True, True)
     rows = [three] * 12 + [("b", "train", 2, 4, 1, False, True, False), ("c", "test", 3, 1, 6, False, False, True), ("d", "test", 4, 2, 1, False, False, False), ("e", "test", 5, 2, 1, False, False, False)]
