@@ -44,7 +44,7 @@ DEFAULT_MARK = re.compile(r",\s*default\s+(?P<value>.+?)\s*$", re.I)
 
 def union(parts: list[Schema]) -> Schema:
     """One schema for several: equal ones once, integer within number, a single one as itself."""
-    distinct = list({canonical(p): p for p in reversed(parts)}.values())[::-1]
+    distinct = list({canonical(p): p for p in parts}.values())  # in the order of their first mention
     if _REAL in distinct:
         distinct = [p for p in distinct if p != _WHOLE]
     return distinct[0] if len(distinct) == 1 else {"anyOf": distinct}

@@ -276,7 +276,10 @@ def token_labels(record: dict[str, Any], tokenizer: Any, enable_thinking: bool =
     for token, start, end in tokenizer.encode(text):
         while first < len(spans) and spans[first][1] <= start:  # spans and tokens both go rightwards
             first += 1
-        region = region_of(spans[first : first + 4], start, end) if start < end else region_of(spans, start, end)
+        near = first
+        while near < len(spans) and spans[near][0] <= start and spans[near][1] < end:  # those that begin before the token but end inside it
+            near += 1
+        region = region_of(spans[near : near + 1] if start < end else spans, start, end)
         out.append((len(out), token, text[start:end], token if region == TRAINED else IGNORE, region, start, end))
     if pad_to is not None and len(out) < pad_to:
         pad = next((p for p in (tokenizer.pad_token_id, tokenizer.eos_token_id) if p is not None), None)

@@ -8,14 +8,39 @@ one by one, so the first failure is the one that is reported. Null arguments mea
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
 from callweave.functions.annotations import AnnotationError, annotated_default, compile_type
 
+# --- fixed values: version, generator boundary, keywords that a parameter may set itself, and messages -----
 SCHEMA_VERSION = "1.0"
 GENERATOR_BOUNDARY = 33_659
-#: Schema keywords that a raw parameter may set itself.
 KEYWORDS = ("enum", "default", "format", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "minItems", "maxItems", "pattern")
+MESSAGES = {
+    "missing": "Missing required fields: {0}.",
+    "id": "invalid id: {0}",
+    "field_type": "Row {row}: {0} must be a JSON string, list, or dictionary; received {1}.",
+    "field_json": "Row {row}: {0} contains invalid JSON. Preview: {1!r}",
+    "field_list": "Row {row}: {0} must be a non-empty list.",
+    "query": "Row {row}: query must be a non-empty string.",
+    "parameter_object": "Parameter {0!r} must be an object; received {1}.",
+    "parameter_type": "Parameter {0!r} does not define a type.",
+    "parameters": "Function parameters must be a dictionary.",
+    "tool_object": "Row {row}: tool must be an object.",
+    "tool_name": "Row {row}: tool has no valid name.",
+    "tool_twice": "Row {row}: duplicate tool names are present.",
+    "call_object": "Row {row}: answer {0} must be an object.",
+    "call_name": "Row {row}: answer {0} has no valid tool name.",
+    "call_unknown": "Row {row}: answer {0} references unavailable tool {1!r}.",
+    "arguments_json": "Row {row}: arguments for call {0} contain invalid JSON.",
+    "arguments_object": "Row {row}: arguments for call {0} must be an object; received {1}.",
+}
+# --- end of fixed values -----------------------------------------------------------------------------------
+
+
+def fault(name: str, *about: Any, row: Any = None) -> AnnotationError:
+    return AnnotationError(MESSAGES[name].format(*about, row=row))
 
 
 def kind(value: Any) -> str:
@@ -24,124 +49,144 @@ def kind(value: Any) -> str:
 
 def decode_field(value: Any, field: str, row_id: Any) -> Any:
     """A JSON text decoded; a list or object passes."""
-    if isinstance(value, (list, dict)):
-        return value
-    if not isinstance(value, str):
-        raise AnnotationError(f"Row {row_id}: {field} must be a JSON string, list, or dictionary; received {kind(value)}.")
-    try:
-        return json.loads(value)
-    except (ValueError, RecursionError) as e:
-        raise AnnotationError(f"Row {row_id}: {field} contains invalid JSON. Preview: {value[:200]!r}") from e
+    match value:
+        case list() | dict():
+            return value
+        case str():
+            try:
+                return json.loads(value)
+            except (ValueError, RecursionError) as e:
+                raise fault("field_json", field, value[:200], row=row_id) from e
+    raise fault("field_type", field, kind(value), row=row_id)
 
 
-def _required(children: dict[Any, Any], listed: Any = None) -> list[str]:
-    own = {str(k) for k, v in children.items() if isinstance(v, dict) and v.get("required") is True}
-    return sorted(own | ({str(x) for x in listed} if isinstance(listed, list) else set()))
+# A schema is put together from what its rules yield: (keyword, value) pairs, later ones over earlier ones.
+Parts = Iterator[tuple[str, Any]]
 
 
-def parameter_schema(raw: Any, name: str) -> dict[str, Any]:
-    """JSON Schema of one declared parameter."""
-    if not isinstance(raw, dict):
-        raise AnnotationError(f"Parameter {name!r} must be an object; received {kind(raw)}.")
-    if raw.get("type") is None:
-        raise AnnotationError(f"Parameter {name!r} does not define a type.")
-    out, _ = compile_type(raw["type"])
+def _annotated(raw: dict, name: str, out: dict) -> Parts:
     given, value = annotated_default(raw["type"])
-    if given and "default" not in raw:
-        out["default"] = value
+    if given:
+        yield "default", value
     if isinstance(raw.get("description"), str) and raw["description"].strip():
-        out["description"] = raw["description"].strip()
-    out.update((k, raw[k]) for k in KEYWORDS if k in raw)
-    if out.get("type") == "array":
-        _array_parts(raw, name, out)
-    elif out.get("type") == "object":
-        _object_parts(raw, name, out)
-    return out
+        yield "description", raw["description"].strip()
+    yield from ((k, raw[k]) for k in KEYWORDS if k in raw)
 
 
-def _array_parts(raw: dict, name: str, out: dict) -> None:
+def _members(raw: dict, name: str, out: dict) -> Parts:
     match raw.get("items"):
-        case dict() as items:
-            out["items"] = parameter_schema(items, f"{name}[]")
-        case str() as items:
-            out["items"] = compile_type(items)[0]
+        case dict() as declared:
+            yield "items", parameter_schema(declared, f"{name}[]")
+        case str() as annotation:
+            yield "items", compile_type(annotation)[0]
         case _:
-            out.setdefault("items", {})
+            yield "items", out.get("items", {})
+
+
+def _uniqueness(raw: dict, name: str, out: dict) -> Parts:
     if "uniqueItems" in raw:
-        out["uniqueItems"] = bool(raw["uniqueItems"])
+        yield "uniqueItems", bool(raw["uniqueItems"])
 
 
-def _object_parts(raw: dict, name: str, out: dict) -> None:
+def _children(raw: dict, name: str, out: dict) -> Parts:
     children = raw.get("properties")
     if isinstance(children, dict):
-        out["properties"] = {str(k): parameter_schema(v, f"{name}.{k}") for k, v in children.items()}
-        if required := _required(children, raw.get("required")):
-            out["required"] = required
+        yield from object_parts(children, f"{name}.", raw.get("required"))
+
+
+def _others(raw: dict, name: str, out: dict) -> Parts:
     if "additionalProperties" in raw:
         more = raw["additionalProperties"]
-        out["additionalProperties"] = parameter_schema(more, f"{name}.*") if isinstance(more, dict) else more
+        yield "additionalProperties", parameter_schema(more, f"{name}.*") if isinstance(more, dict) else more
 
 
-def parameters_schema(raw: Any) -> dict[str, Any]:
-    """JSON Schema of a tool's parameters: a flat map of declarations, or already an object schema."""
-    raw = {} if raw is None else raw
+#: The rules of a declaration by the JSON type of its annotation.
+RULES = {"array": (_annotated, _members, _uniqueness), "object": (_annotated, _children, _others)}
+
+
+def object_parts(children: dict, prefix: str, listed: Any = None) -> Parts:
+    """The properties of an object, and which it requires: those that say so themselves and those that are listed."""
+    yield "properties", {str(k): parameter_schema(v, f"{prefix}{k}") for k, v in children.items()}
+    required = {str(k) for k, v in children.items() if isinstance(v, dict) and v.get("required") is True} | set(map(str, listed if isinstance(listed, list) else ()))
+    if required:
+        yield "required", sorted(required)
+
+
+def parameter_schema(raw: Any, name: str) -> dict[str, Any]:
+    """JSON Schema of one declared parameter: its annotation, then the rules for what that says it is."""
     if not isinstance(raw, dict):
-        raise AnnotationError("Function parameters must be a dictionary.")
-    if raw.get("type") == "object" and isinstance(raw.get("properties"), dict):
-        return parameter_schema(raw, "<parameters>")
-    out: dict[str, Any] = {"type": "object", "properties": {str(k): parameter_schema(v, str(k)) for k, v in raw.items()}}
-    if required := _required(raw):
-        out["required"] = required
+        raise fault("parameter_object", name, kind(raw))
+    if raw.get("type") is None:
+        raise fault("parameter_type", name)
+    out = compile_type(raw["type"])[0]
+    for rule in RULES.get(str(out.get("type")), (_annotated,)):
+        out.update(rule(raw, name, out))
     return out
 
 
+def parameters_schema(raw: Any) -> dict[str, Any]:
+    """JSON Schema of a tool's parameters: a flat map of declarations, or already an object schema."""
+    match raw:
+        case None:
+            return parameters_schema({})
+        case {"type": "object", "properties": dict()}:
+            return parameter_schema(raw, "<parameters>")
+        case dict():
+            return {"type": "object", **dict(object_parts(raw, ""))}
+    raise fault("parameters")
+
+
+def _name(body: Any) -> str:
+    name = body.get("name") if isinstance(body, dict) else None
+    return name.strip() if isinstance(name, str) else ""
+
+
 def canonical_tool(raw: Any, row_id: Any) -> dict[str, Any]:
     if not isinstance(raw, dict):
-        raise AnnotationError(f"Row {row_id}: tool must be an object.")
+        raise fault("tool_object", row=row_id)
     body = raw["function"] if isinstance(raw.get("function"), dict) else raw
-    name = body.get("name")
-    if not isinstance(name, str) or not name.strip():
-        raise AnnotationError(f"Row {row_id}: tool has no valid name.")
+    if not (name := _name(body)):
+        raise fault("tool_name", row=row_id)
     about = body.get("description")
-    return {"type": "function", "function": {"name": name.strip(), "description": "" if about is None else str(about), "parameters": parameters_schema(body.get("parameters"))}}
+    return {"type": "function", "function": {"name": name, "description": "" if about is None else str(about), "parameters": parameters_schema(body.get("parameters"))}}
 
 
-def canonical_call(raw: Any, row_id: Any, number: int, known: set[str]) -> dict[str, Any]:
-    if not isinstance(raw, dict):
-        raise AnnotationError(f"Row {row_id}: answer {number} must be an object.")
-    name = raw.get("name")
-    if not isinstance(name, str) or not name.strip():
-        raise AnnotationError(f"Row {row_id}: answer {number} has no valid tool name.")
-    if name.strip() not in known:
-        raise AnnotationError(f"Row {row_id}: answer {number} references unavailable tool {name.strip()!r}.")
-    args = raw.get("arguments")
+def call_arguments(args: Any, row_id: Any, number: int) -> dict[str, Any]:
+    """The arguments of a call: an object, its JSON text, or nothing."""
     if isinstance(args, str):
         try:
             args = json.loads(args)
         except (ValueError, RecursionError) as e:
-            raise AnnotationError(f"Row {row_id}: arguments for call {number} contain invalid JSON.") from e
-    args = {} if args is None else args
-    if not isinstance(args, dict):
-        raise AnnotationError(f"Row {row_id}: arguments for call {number} must be an object; received {kind(args)}.")
-    return {"id": f"call_{number}", "type": "function", "function": {"name": name.strip(), "arguments": args}}
+            raise fault("arguments_json", number, row=row_id) from e
+    if args is not None and not isinstance(args, dict):
+        raise fault("arguments_object", number, kind(args), row=row_id)
+    return args or {}
+
+
+def canonical_call(raw: Any, row_id: Any, number: int, known: set[str]) -> dict[str, Any]:
+    name = _name(raw)
+    checks = (("call_object", isinstance(raw, dict)), ("call_name", bool(name)), ("call_unknown", name in known))
+    if failed := next((check for check, holds in checks if not holds), None):
+        raise fault(failed, number, name, row=row_id)
+    return {"id": f"call_{number}", "type": "function", "function": {"name": name, "arguments": call_arguments(raw.get("arguments"), row_id, number)}}
 
 
 def lists_of(row: dict[str, Any]) -> tuple[int, str, list, list]:
     """Checked id, query, tools and answers of a raw row."""
     if missing := sorted({"id", "query", "tools", "answers"} - set(row)):
-        raise AnnotationError(f"Missing required fields: {missing}.")
+        raise fault("missing", missing)
     try:
         row_id = int(row["id"])
     except (TypeError, ValueError) as e:
-        raise AnnotationError(f"invalid id: {e}") from e
+        raise fault("id", e) from e
     query = row["query"]
     if not isinstance(query, str) or not query.strip():
-        raise AnnotationError(f"Row {row_id}: query must be a non-empty string.")
-    fields = [decode_field(row[f], f, row_id) for f in ("tools", "answers")]
-    for f, value in zip(("tools", "answers"), fields):
+        raise fault("query", row=row_id)
+    lists = {f: decode_field(row[f], f, row_id) for f in ("tools", "answers")}
+    for f, value in lists.items():
         if not isinstance(value, list) or not value:
-            raise AnnotationError(f"Row {row_id}: {f} must be a non-empty list.")
-    return row_id, query, *fields
+            raise fault("field_list", f, row=row_id)
+    return row_id, query, lists["tools"], lists["answers"]
 
 
 def canonical_record(row: dict[str, Any], split: str, source_dataset: str = "fc", prefix: str = "fc", boundary: int = GENERATOR_BOUNDARY) -> dict[str, Any]:
@@ -150,7 +195,7 @@ def canonical_record(row: dict[str, Any], split: str, source_dataset: str = "fc"
     tools = [canonical_tool(t, row_id) for t in raw_tools]
     known = {t["function"]["name"] for t in tools}
     if len(known) < len(tools):
-        raise AnnotationError(f"Row {row_id}: duplicate tool names are present.")
+        raise fault("tool_twice", row=row_id)
     calls = [canonical_call(a, row_id, i, known) for i, a in enumerate(raw_answers, 1)]
     return {
         "schema_version": SCHEMA_VERSION,

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import chat
+from callweave.functions.checks import estimated_tokens
 from callweave.jsonx import BAD, canonical, try_loads
 from callweave.session import spread
 
@@ -125,6 +126,12 @@ def mask_diagnostics(records: DataFrame, tokenizer: Factory = chat.ChatMarkup) -
     return _per_record(records, DIAGNOSTIC, _diagnostic, tokenizer)
 
 
+def estimated_lengths(records: DataFrame) -> DataFrame:
+    """record_no and estimated tokens of the rendered record: a quarter of the length of its canonical JSON, 1 at least."""
+    work = lambda record_no, record, _: iter([{"record_no": record_no, "tokens": estimated_tokens(record)}])
+    return _per_record(records, "record_no long, tokens int, error string", work, lambda: None)
+
+
 def mask_counts(labels: DataFrame) -> DataFrame:
     """Tokens in and out of the loss per record."""
     return labels.where("error is null").groupBy("record_no").agg(F.count_if(F.col("label") != chat.IGNORE).alias("included"), F.count_if(F.col("label") == chat.IGNORE).alias("ignored"))

@@ -213,23 +213,25 @@ def inspection_sample(rows: DataFrame, boundary: int = GENERATOR_BOUNDARY, each:
     return out.withColumn("side", F.when(F.col("row_index") < boundary, "below").otherwise("from")) if report else out
 
 
-def category_examples(prepared: DataFrame, seed: int = SEED) -> DataFrame:
-    """One readable row for each category, none twice: the first in hash order that is not taken yet."""
+def category_examples(candidates: DataFrame, seed: int = SEED) -> DataFrame:
+    """One candidate for each category, none twice: the first in hash order that is not taken yet."""
     kinds = {
         "single_call": F.col("expected_call_count") == 1, "exactly_two_calls": F.col("expected_call_count") == 2, "three_or_more_calls": F.col("expected_call_count") >= 3,
         "many_available_tools": F.col("available_tool_count") >= 5, "complex_parameter_type": F.col("has_complex_parameters"),
     }
-    ready = prepared.where("fingerprint is not null").withColumn("key", F.md5(F.concat(F.lit(f"{seed}-"), F.col("row_index").cast("string"))))
-    slim = ready.select("row_index", "key", *(v.alias(k) for k, v in kinds.items()))
+    key = F.md5(F.concat(F.lit(f"{seed}-"), F.col("row_index").cast("string")))
+    of = F.array_compact(F.array(*(F.when(rule, name) for name, rule in kinds.items())))
+    rank = F.row_number().over(W.partitionBy("category").orderBy("key", "row_index"))
+    each = candidates.select("row_index", key.alias("key"), F.explode(of).alias("category")).withColumn("rank", rank).where(F.col("rank") <= len(kinds))
+    offers = sorted((r.category, r.rank, r.row_index) for r in each.collect())  # as many rows a category as there are categories
     taken: set[int] = set()
     out = []
     for name in kinds:
-        first = slim.where(F.col(name)).orderBy("key").select("row_index").limit(len(kinds)).collect()
-        row = next((r.row_index for r in first if r.row_index not in taken), None)
+        row = next((i for c, _, i in offers if c == name and i not in taken), None)
         if row is not None:
             taken.add(row)
             out.append((name, row))
-    return prepared.sparkSession.createDataFrame(out, "category string, row_index long")
+    return candidates.sparkSession.createDataFrame(out, "category string, row_index long")
 
 
 def representatives(records: DataFrame, count: int = 5) -> DataFrame:

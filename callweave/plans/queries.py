@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions.checks import CONTEXT_LIMIT
-from callweave.operators import badrows, nested, prepare, quality, rendering, scoring, selection
+from callweave.operators import badrows, evaluation, nested, prepare, quality, rendering, scoring, selection
 from callweave.plans.oracles import SQL  # noqa: F401  (part of this module's interface)
-from callweave.session import cut, spread, table
+from callweave.session import cut, hot_join, spread, table
 from callweave.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,9 +31,14 @@ def _candidates(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "candidates").withColumns({"split": _clean("split"), "generator": _clean("generator"), "call_bucket": F.regexp_replace(_clean("call_bucket"), "[ -]", "_")})
 
 
-def _prepared(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw rows through the preparation stage, with the row's own generator column where selection needs it."""
-    return prepare.prepare(table(spark, folder, "raw_rows"))
+def _prepared(spark: SparkSession, folder: str, depth: int = prepare.CHECKED) -> DataFrame:
+    """Raw rows through the preparation stage."""
+    return prepare.prepare(table(spark, folder, "raw_rows"), depth=depth)
+
+
+def _profiled(spark: SparkSession, folder: str) -> DataFrame:
+    """The readable raw rows with their profile."""
+    return _prepared(spark, folder, prepare.PROFILE).where("fingerprint is not null")
 
 
 # --- nested records and bad rows -----------------------------------------------------------------
@@ -127,23 +131,29 @@ def namespace_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def raw_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, readable and eligible ones per source file."""
-    p = _prepared(spark, folder).select("row_index", "gate", "fingerprint")
-    files_ = table(spark, folder, "raw_rows").select("row_index", "source_dataset")
-    rows = files_.join(p, "row_index")
-    return rows.groupBy("source_dataset").agg(F.count("*").alias("n"), F.count("fingerprint").alias("readable"), F.count_if(F.col("gate").isNull()).alias("eligible"))
+    """Rows, readable ones and distinct fingerprints per source."""
+    p = prepare.prepare(table(spark, folder, "raw_rows"), depth=prepare.PROFILE, keep=("source_dataset",))
+    return p.groupBy("source_dataset").agg(F.count("*").alias("n"), F.count("fingerprint").alias("readable"), F.countDistinct("fingerprint").alias("fingerprints"))
+
+
+@query
+def inspection_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return prepare.inspection_profile(table(spark, folder, "raw_rows"))
 
 
 @query
 def raw_parameter_types(spark: SparkSession, folder: str) -> DataFrame:
-    return _prepared(spark, folder).select(F.explode("type_occurrences").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return _profiled(spark, folder).select(F.explode("type_occurrences").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query
 def derived_analysis(spark: SparkSession, folder: str) -> DataFrame:
-    p = _prepared(spark, folder).where("fingerprint is not null")
+    p = _profiled(spark, folder)
     keys = F.to_json("argument_keys")
-    return p.select("row_index", "available_tool_count", "expected_call_count", "available_tool_names", "expected_tool_names", "unknown_answer_tools", "parameter_types", keys.alias("argument_keys"), (F.col("expected_call_count") > 1).alias("needs_review"))
+    return p.select(
+        "row_index", "available_tool_count", "expected_call_count", "available_tool_names", "expected_tool_names", "unknown_answer_tools", "parameter_types", "call_bucket",
+        "distinct_expected_tool_count", "repeated_same_tool", "multiple_distinct_tools", "has_complex_parameters", keys.alias("argument_keys"), (F.col("expected_call_count") > 1).alias("needs_review"),
+    )
 
 
 # --- fingerprints, lengths, duplicates -----------------------------------------------------------
@@ -162,7 +172,10 @@ def duplicate_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def record_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return _prepared(spark, folder).where("fingerprint is not null").select("row_index", "id", "fingerprint")
+    """The first row with the fingerprint of each readable row."""
+    p = _profiled(spark, folder).select("row_index", "fingerprint")
+    first = p.groupBy("fingerprint").agg(F.min("row_index").alias("first_row"), F.count("*").alias("n"))
+    return hot_join(p, cut(first), "fingerprint").select("row_index", "first_row", "n")
 
 
 @query
@@ -218,9 +231,8 @@ def call_membership(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def unknown_tools(spark: SparkSession, folder: str) -> DataFrame:
-    r = table(spark, folder, "canonical_records")
-    known = F.transform("tools", lambda t: t["function"]["name"])
-    return r.select("record_no", F.explode(F.array_except(quality.call_names(), known)).alias("tool"))
+    """Tools that the readable raw rows call but do not list."""
+    return _profiled(spark, folder).select("row_index", F.explode("unknown_answer_tools").alias("tool"))
 
 
 @query
@@ -296,8 +308,15 @@ def delimiters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def thinking_check(spark: SparkSession, folder: str) -> DataFrame:
-    s = rendering.sections(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"), "text")
-    return s.where("has_thinking").select("doc_id")
+    """Documents with and without thinking content."""
+    s = rendering.sections(table(spark, folder, "documents").where("text is not null").select("text"), "text")
+    return s.groupBy("has_thinking").agg(F.count("*").alias("n"))
+
+
+@query
+def record_token_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimated rendered length of each canonical record."""
+    return rendering.estimated_lengths(table(spark, folder, "canonical_records"))
 
 
 @query
@@ -330,17 +349,17 @@ def json_type_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def normalize_records(spark: SparkSession, folder: str) -> DataFrame:
-    return _prepared(spark, folder).select("row_index", "id", "record", "error")
+    return _prepared(spark, folder, prepare.RECORD).select("row_index", "id", "record", "error")
 
 
 @query
 def candidate_gate(spark: SparkSession, folder: str) -> DataFrame:
-    return prepare.gated(_prepared(spark, folder).select("row_index", "id", "gate")).select("row_index", F.coalesce("gate", F.lit("eligible")).alias("gate"))
+    return prepare.gated(_prepared(spark, folder, prepare.RECORD).select("row_index", "id", "gate")).select("row_index", F.coalesce("gate", F.lit("eligible")).alias("gate"))
 
 
 @query
 def rejection_taxonomy(spark: SparkSession, folder: str) -> DataFrame:
-    return prepare.rejections(_prepared(spark, folder))
+    return prepare.rejections(_prepared(spark, folder, prepare.RECORD))
 
 
 @query
@@ -384,6 +403,13 @@ def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
     return selection.select_reported(_eligible(spark, folder))
 
 
+@query
+def selected_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of the selection with their pool; the order within a split is a seeded shuffle and left out."""
+    e = _eligible(spark, folder)
+    return e.select("id", "generator", "call_bucket").join(F.broadcast(selection.select_reported(e).where("id is not null").select("split", "id")), "id")
+
+
 @query
 def selection_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of the selection; measure 'short' counts the open places by split and pool.
@@ -394,7 +420,7 @@ def selection_summary(spark: SparkSession, folder: str) -> DataFrame:
     chosen = selection.select_reported(e)
     members = e.join(F.broadcast(chosen.select("id")), "id", "left_semi")
     raw = table(spark, folder, "raw_rows").join(F.broadcast(members.select("row_index")), "row_index", "left_semi")
-    e = members.join(prepare.prepare(raw).select("row_index", "unknown_answer_tools"), "row_index", "left")
+    e = members.join(prepare.prepare(raw, depth=prepare.PROFILE).select("row_index", "unknown_answer_tools"), "row_index", "left")
     gaps = chosen.where("id is null").groupBy(F.lit("short").alias("measure"), F.concat_ws("/", "split", "short").alias("value")).agg(F.count("*").alias("n"))
     return selection.summary(chosen.where("id is not null"), e).unionByName(gaps)
 
@@ -408,30 +434,52 @@ def replacement(spark: SparkSession, folder: str) -> DataFrame:
     return selection.replace(selection.select_reported(e), e, valid, report=True)
 
 
+@query
+def selection_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """The evaluation of the selection: each record with its estimated length and issue categories."""
+    e = _eligible(spark, folder)
+    rows = evaluation.evaluate(selection.select_reported(e), e, table(spark, folder, "raw_rows"))
+    return rows.select("split", "id", "estimated_tokens", F.transform("issues", lambda i: i["category"]).alias("categories"))
+
+
 @query
 def inspection_sample(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "raw_rows")
-    middle = (rows.agg(F.max("row_index")).first()[0] or 0) // 2
-    return selection.inspection_sample(rows, middle).select("row_index", "id", "query")
+    """50 rows on either side of the boundary; a table that ends before it has those below only."""
+    return selection.inspection_sample(table(spark, folder, "raw_rows"), report=True).select("side", "row_index", "id", "query")
 
 
 @query
 def category_examples(spark: SparkSession, folder: str) -> DataFrame:
-    return selection.category_examples(cut(_prepared(spark, folder)))
+    return selection.category_examples(table(spark, folder, "candidates"))
 
 
 # --- model output --------------------------------------------------------------------------------
 
 
 def _outputs(spark: SparkSession, folder: str) -> DataFrame:
-    """Each record's calls as expected, and its neighbour's or its own in reverse as predicted."""
+    """Each record's calls as expected, and as predicted after an edit that record_no modulo 8 names.
+
+    0 none, 1 in reverse and within prose, 2 first call renamed, 3 its arguments replaced, 4 its values
+    replaced, 5 its arguments left out, 6 last call left out, 7 prose only.
+    """
     r = table(spark, folder, "canonical_records")
     calls = F.flatten(F.transform(F.filter("messages", lambda m: m["tool_calls"].isNotNull()), lambda m: m["tool_calls"]))
     body = F.transform(calls, lambda c: c["function"])
-    prose = F.concat(F.lit("Sure. "), F.to_json(F.reverse(body)), F.lit(" Done."))
-    one = F.to_json(F.slice(body, 1, 1))
-    predicted = F.when(F.col("record_no") % 3 == 0, prose).when(F.col("record_no") % 3 == 1, one).otherwise(F.to_json(body))
-    return r.select("record_no", F.lower(F.trim("metadata.split")).alias("split"), F.to_json(body).alias("expected"), predicted.alias("predicted"))
+    r = r.select("record_no", F.lower(F.trim("metadata.split")).alias("split"), (F.col("record_no") % 8).alias("edit"), body.alias("body"))
+    first, rest = F.slice("body", 1, 1), F.slice("body", 2, 1_000_000)
+    call = lambda name, arguments: F.struct(name.alias("name"), arguments.alias("arguments"))
+    values = lambda c: F.to_json(F.transform_values(F.from_json(c["arguments"], "map<string,string>"), lambda k, v: F.lit("zz")))
+    edits = {
+        1: F.reverse("body"), 2: F.concat(F.transform(first, lambda c: call(F.concat(F.lit("zz_"), c["name"]), c["arguments"])), rest),
+        3: F.concat(F.transform(first, lambda c: call(c["name"], F.lit('{"zz":1}'))), rest), 4: F.concat(F.transform(first, lambda c: call(c["name"], values(c))), rest),
+        5: F.concat(F.transform(first, lambda c: call(c["name"], F.lit(None).cast("string"))), rest), 6: F.slice("body", 1, F.greatest(F.size("body") - 1, F.lit(0))),
+    }
+    edited = F.col("body")
+    for k, calls_ in edits.items():
+        edited = F.when(F.col("edit") == k, calls_).otherwise(edited)
+    r = r.withColumn("edited", edited)
+    text = F.when(F.col("edit") == 7, "I cannot do that.").when(F.col("edit") == 1, F.concat(F.lit("Sure. "), F.to_json("edited"), F.lit(" Done."))).otherwise(F.to_json("edited"))
+    return r.select("record_no", "split", "edit", "body", "edited", F.to_json("body").alias("expected"), text.alias("predicted"))
 
 
 @query
@@ -464,11 +512,10 @@ def score_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def same_call_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """Complete matches without Python: calls of a record against those of the same record in reverse."""
-    names = quality.expected_calls(table(spark, folder, "canonical_records"))
-    text = F.concat_ws("\u0001", "name", "arguments")
-    per = names.groupBy("record_no").agg(F.collect_list(text).alias("calls"))
-    return per.select("record_no", scoring.same_calls(F.reverse("calls"), F.col("calls")).alias("same"))
+    """Complete matches without Python: the sorted texts of the predicted calls against those of the expected ones."""
+    texts = lambda column: F.transform(column, lambda c: F.concat(c["name"], F.lit("\u0001"), c["arguments"]))
+    same = scoring.same_calls(texts("edited"), texts("body")) & (F.col("edit") != 7)
+    return _outputs(spark, folder).select("record_no", F.coalesce(same, F.lit(False)).alias("same"))
 
 
 # --- files ---------------------------------------------------------------------------------------
@@ -476,6 +523,6 @@ def same_call_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """Checksums of the small fixed tables' files."""
-    c = files.file_checksums(spark, [f"{folder}/{t}.parquet" for t in ("mix_targets", "pack_capacities")])
+    """Checksums of all tables' files."""
+    c = files.file_checksums(spark, [f"{folder}/*.parquet"])
     return c.select(F.regexp_extract("path", "([^/]+)(?:/part[^/]*)?$", 1).alias("name"), "bytes", "line_count", "sha256")

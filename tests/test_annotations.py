@@ -27,7 +27,7 @@ STR, INT, NUM = {"type": "string"}, {"type": "integer"}, {"type": "number"}
         ("Optional[str]", {"anyOf": [STR, {"type": "null"}]}),
         ("Dict[str, int]", {"type": "object", "additionalProperties": INT}),
         ("Dict[str]", {"type": "object", "additionalProperties": {}}),
-        ("str, optional, default 'London'", STR),
+        ("str, optional, default 'Graz'", STR),
         (["int", "str, optional"], {"anyOf": [INT, STR]}),
     ],
 )
@@ -57,7 +57,7 @@ def test_errors(text, message):
 
 def test_marks_defaults_and_labels():
     assert compile_type("int, optional")[1] and not compile_type("int")[1]
-    assert annotated_default("str, optional, default 'London'") == (True, "London")
+    assert annotated_default("str, optional, default 'Graz'") == (True, "Graz")
     assert annotated_default("str") == (False, None)
     assert annotated_default(["str"]) == (False, None)
     with pytest.raises(AnnotationError):

@@ -49,7 +49,7 @@ def test_assignment_is_the_first_best_one(weights):
 
 def conversation():
     r = canonical_record(row(), "train")
-    r["messages"] += [{"role": "tool", "content": "sunny"}, {"role": "assistant", "content": " It is sunny. "}]
+    r["messages"] += [{"role": "tool", "content": "confirmed"}, {"role": "assistant", "content": " Your table is confirmed. "}]
     return r
 
 
@@ -61,7 +61,7 @@ def test_rendered_record_passes_its_checks():
 def test_python_style_and_thinking_are_noticed():
     class Odd(chat.ChatMarkup):
         def apply_chat_template(self, messages, tools=None, tokenize=False, **kwargs):
-            text = "user: x <|think_start|> {'name': 'weather'}"
+            text = "user: x <|think_start|> {'name': 'book_table'}"
             return [i for i, _, _ in self.encode(text)] if tokenize else text
 
     out = chat.render_checked(canonical_record(row(), "train"), Odd())
@@ -73,7 +73,7 @@ def test_python_style_and_thinking_are_noticed():
 def test_only_call_tokens_are_trained_on():
     tokens = chat.token_labels(conversation(), chat.ChatMarkup(), pad_to=2000)
     trained = "".join(t[2] for t in tokens if t[3] != chat.IGNORE)
-    assert trained.startswith("<tool_call>") and trained.endswith("</tool_call>") and "sunny" not in trained
+    assert trained.startswith("<tool_call>") and trained.endswith("</tool_call>") and "confirmed" not in trained
     assert len(tokens) == 2000 and tokens[-1][4] == "padding"
     assert {t[4] for t in tokens} >= {"system_prompt", "tool_definitions", "user_request", "assistant_scaffolding", "tool_execution_result", "assistant_final_answer"}
     assert chat.diagnostic(tokens, 3, True, 1).splitlines()[1].startswith("...")
