@@ -13,10 +13,11 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions.annotations import AnnotationError, annotated_default, compile_type
@@ -24,6 +25,7 @@ from callweave.functions.checks import CONTEXT_LIMIT, failure_issue, record_issu
 from callweave.functions.records import GENERATOR_BOUNDARY, canonical_record, lists_of
 from callweave.jsonx import canonical
 from callweave.session import cut, hot_join, shared_table, spread
+from callweave.sources import files
 
 # --- fixed values: call buckets and terms of complex types ---------------------------------------
 BUCKETS = ("single_call", "two_calls", "three_or_more_calls")
@@ -251,6 +253,29 @@ def issue_counts(prepared: DataFrame) -> DataFrame:
     return each.groupBy("category").agg(F.count("*").alias("n"))
 
 
+def load_records(spark: SparkSession, normalized: str, raw: str, splits: tuple[str, ...] = ("train", "validation", "test")) -> tuple[str, DataFrame]:
+    """("normalized" or "raw", records) of a selection in files: the normalized split files if all are there, else the raw ones normalized on the way.
+
+    Records come as (split, source_id, id, record) in the order of split, source_id and id; a raw row that
+    cannot be normalized raises ValueError; without either set of files FileNotFoundError is raised.
+    """
+    there = {name: all(files.exists(spark, f"{folder}/{s}.jsonl") for s in splits) for name, folder in (("normalized", normalized), ("raw", raw))}
+    if there["normalized"]:
+        source, parts = "normalized", [spark.read.text(f"{normalized}/{s}.jsonl").where(F.trim("value") != "").select(F.lit(s).alias("split"), F.col("value").alias("record")) for s in splits]
+        rows = reduce(DataFrame.unionByName, parts)
+    elif there["raw"]:
+        source, read = "raw", files.read_splits(spark, raw, files.RAW, splits)
+        done = cut(prepare(read.withColumn("row_index", F.monotonically_increasing_id()), split="split", depth=RECORD).select("split", "record", "error"))
+        if failed := done.where("error is not null or record is null").select("error").limit(5).collect():
+            raise ValueError(f"rows that cannot be normalized: {[r.error for r in failed]}")
+        rows = done.select("split", "record")
+    else:
+        raise FileNotFoundError(f"neither {normalized} nor {raw} has all of {splits}")
+    rank = F.array_position(F.array(*map(F.lit, splits)), F.col("split"))
+    rows = rows.select("split", F.get_json_object("record", "$.metadata.source_id").cast("long").alias("source_id"), F.get_json_object("record", "$.id").alias("id"), "record")
+    return source, rows.orderBy(rank, "source_id", "id")
+
+
 _TYPE_SCHEMA = "type string, schema string, json_type string, optional boolean, default_value string, error string"
 
 

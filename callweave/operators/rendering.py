@@ -8,6 +8,7 @@ empty; arguments that are JSON text are decoded, others stay text. Extra columns
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Any
 
 import pyarrow as pa
@@ -54,8 +55,8 @@ def plain_record(messages: list | None, tools: list | None) -> dict[str, Any]:
     return {"messages": out, "tools": [body(t, "parameters") for t in tools or [] if t]}
 
 
-def _rendered(record_no: int, record: dict, tokenizer: Any) -> Iterator[dict]:
-    x = chat.render_checked(record, tokenizer)
+def _rendered(record_no: int, record: dict, tokenizer: Any, enable_thinking: bool = False) -> Iterator[dict]:
+    x = chat.render_checked(record, tokenizer, enable_thinking)
     yield {
         "record_no": record_no, "token_count": x["token_count"], "rendered_text": x["rendered_text"], "tool_call_delimiters": x["tool_call_delimiters"],
         "expected_calls": canonical(x["expected_calls"]), "rendered_calls": canonical(x["rendered_calls"]), "failures": x["failures"], **x["checks"],
@@ -74,8 +75,8 @@ def _blocks(record_no: int, record: dict, tokenizer: Any) -> Iterator[dict]:
         yield {"record_no": record_no, "block_pos": i, "role": b.role, "start": b.start, "content_start": b.content, "content_end": b.content_end, "end": b.end}
 
 
-def _labels(record_no: int, record: dict, tokenizer: Any) -> Iterator[dict]:
-    for i, token, text, label, region, a, b in chat.token_labels(record, tokenizer):
+def _labels(record_no: int, record: dict, tokenizer: Any, enable_thinking: bool = False, pad_to: int | None = None) -> Iterator[dict]:
+    for i, token, text, label, region, a, b in chat.token_labels(record, tokenizer, enable_thinking, pad_to):
         yield {"record_no": record_no, "token_pos": i, "token_id": token, "token": text, "label": label, "region": region, "start": a, "end": b}
 
 
@@ -103,9 +104,9 @@ def _per_record(records: DataFrame, ddl: str, work: Callable[[int, dict, Any], I
     return spread(records.select("record_no", "messages", "tools")).mapInArrow(run, ddl)
 
 
-def template_checks(records: DataFrame, tokenizer: Factory = chat.ChatMarkup) -> DataFrame:
+def template_checks(records: DataFrame, tokenizer: Factory = chat.ChatMarkup, enable_thinking: bool = False) -> DataFrame:
     """Rendered text, round-tripped calls and the nine checks of each record."""
-    return _per_record(records, RENDERED, _rendered, tokenizer)
+    return _per_record(records, RENDERED, partial(_rendered, enable_thinking=enable_thinking), tokenizer)
 
 
 def chat_blocks(records: DataFrame, tokenizer: Factory = chat.ChatMarkup) -> DataFrame:
@@ -116,9 +117,9 @@ def loss_spans(records: DataFrame, tokenizer: Factory = chat.ChatMarkup) -> Data
     return _per_record(records, SPANS, _spans, tokenizer)
 
 
-def token_labels(records: DataFrame, tokenizer: Factory = chat.ChatMarkup) -> DataFrame:
+def token_labels(records: DataFrame, tokenizer: Factory = chat.ChatMarkup, enable_thinking: bool = False, pad_to: int | None = None) -> DataFrame:
     """The token table of each record; ids of the default tokenizer are local to a worker."""
-    return _per_record(records, LABELS, _labels, tokenizer)
+    return _per_record(records, LABELS, partial(_labels, enable_thinking=enable_thinking, pad_to=pad_to), tokenizer)
 
 
 def mask_diagnostics(records: DataFrame, tokenizer: Factory = chat.ChatMarkup) -> DataFrame:

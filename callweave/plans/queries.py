@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from callweave.functions.checks import CONTEXT_LIMIT
 from callweave.operators import badrows, evaluation, nested, prepare, quality, rendering, scoring, selection
-from callweave.plans.oracles import SQL  # noqa: F401  (part of this module's interface)
+from callweave.plans import cases
+from callweave.plans.oracles import SQL as _TABLE_SQL
 from callweave.session import cut, hot_join, spread, table
 from callweave.sources import files
 
@@ -526,3 +527,7 @@ def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
     """Checksums of all tables' files."""
     c = files.file_checksums(spark, [f"{folder}/*.parquet"])
     return c.select(F.regexp_extract("path", "([^/]+)(?:/part[^/]*)?$", 1).alias("name"), "bytes", "line_count", "sha256")
+
+
+QUERIES |= cases.CASES
+SQL: dict[str, str] = {**_TABLE_SQL, **cases.SQL}

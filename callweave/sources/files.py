@@ -8,12 +8,14 @@ write one file a call of `one_file`, as many as there are partitions otherwise.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 RAW = T.StructType([T.StructField("id", T.LongType()), T.StructField("query", T.StringType()), T.StructField("tools", T.StringType()), T.StructField("answers", T.StringType())])
 
@@ -33,9 +35,15 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str)
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_splits(spark: SparkSession, folder: str, schema: T.StructType | str, splits: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
     """The split files of a folder as one table with `split`; all of them must be there."""
-    missing = [s for s in splits if not Path(folder, f"{s}.jsonl").exists()]
+    missing = [s for s in splits if not exists(spark, f"{folder}/{s}.jsonl")]
     if missing:
         raise ValueError(f"missing split files: {missing}")
     out = None
@@ -45,15 +53,30 @@ def read_splits(spark: SparkSession, folder: str, schema: T.StructType | str, sp
     return out
 
 
+def as_lines(rows: DataFrame, order: str = "row_index") -> DataFrame:
+    """(row_index, line): each row but its order column as JSON, with the keys in the order of the columns; nulls are written."""
+    return rows.select(F.col(order).alias("row_index"), F.to_json(F.struct(*(c for c in rows.columns if c != order)), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def write_json_lines(df: DataFrame, path: str, column: str, order: str | None = None, one_file: bool = False) -> None:
-    """A column of JSON texts as lines; in the order of a column if named."""
+    """A column of JSON texts as lines; in the order of a column if named. One file is written by one task, made by all."""
     if one_file:
-        df = df.coalesce(1).sortWithinPartitions(order) if order else df.coalesce(1)
+        df = df.repartition(1)
+        df = df.sortWithinPartitions(order) if order else df
     elif order:
         df = df.orderBy(order)
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_raw_array(rows: DataFrame, path: str) -> None:
+    """Raw rows (row_index, id, query, tools, answers) as one JSON array in the order of row_index, in one file."""
+    lines = as_lines(rows.select("row_index", "id", "query", "tools", "answers"))
+    comma = F.when(F.lag("row_index").over(W.orderBy("row_index")).isNull(), "[").otherwise(",")
+    text = lines.select(F.col("row_index").alias("at"), F.concat(comma, "line").alias("value"))
+    end = rows.sparkSession.createDataFrame([(None, "]" if rows.limit(1).count() else "[]")], "at long, value string")
+    text.unionByName(end).repartition(1).sortWithinPartitions(F.col("at").asc_nulls_last()).select("value").write.mode("overwrite").text(path)
+
+
 def write_records(prepared: DataFrame, path: str) -> int:
     """Canonical records as lines, all or nothing: with any failed row nothing is written and the count is returned."""
     failed = prepared.where("record is null").count()
@@ -63,11 +86,18 @@ def write_records(prepared: DataFrame, path: str) -> int:
 
 
 def write_report(report: dict[str, Any], path: str) -> None:
-    """A small report as indented JSON with sorted keys."""
+    """A small report as indented JSON with sorted keys, on the driver's machine."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False, sort_keys=True) + "\n", encoding="utf-8")
 
 
+def source_metadata(path: str, build: Callable[[], dict[str, Any]]) -> dict[str, Any]:
+    """The metadata kept in a file; on first use they are built and written there."""
+    if not Path(path).is_file():
+        write_report(build(), path)
+    return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
 def as_report(rows: DataFrame) -> dict[str, Any]:
     """(measure, value, n) rows of a summary as a nested dict; a summary is small."""
     out: dict[str, Any] = {}
@@ -77,7 +107,7 @@ def as_report(rows: DataFrame) -> dict[str, Any]:
 
 
 def file_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, bytes, non-blank lines and SHA-256 of files."""
+    """path, bytes, non-blank lines and SHA-256 of files; each file is one task's."""
     files = spark.read.format("binaryFile").load(paths)
     lines = F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x) != "")
     return files.select("path", F.col("length").alias("bytes"), F.size(lines).alias("line_count"), F.sha2("content", 256).alias("sha256"))
@@ -86,17 +116,23 @@ def file_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
 def group_checksums(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
     """Checksums with the group that each file belongs to; a missing file raises."""
     names = [(g, p) for g, ps in groups.items() for p in ps]
-    absent = [p for _, p in names if not Path(p).exists()]
+    absent = [p for _, p in names if not exists(spark, p)]
     if absent:
         raise FileNotFoundError(f"missing artifacts: {absent}")
-    of = spark.createDataFrame([(g, Path(p).resolve().as_uri().replace("file:///", "file:/")) for g, p in names], "group string, path string")
+    full = lambda p: _qualified(spark, p)
+    of = spark.createDataFrame([(g, full(p)) for g, p in names], "group string, path string")
     return of.join(file_checksums(spark, sorted({p for _, p in names})), "path")
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def write_preview(rows: DataFrame, path: str, columns: list[str]) -> None:
     """Rows as readable text, one block each under a rule of 100 characters; for samples."""
     lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns]
-    rows.select(F.concat_ws("\n", F.lit("=" * 100), *lines).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    rows.select(F.concat_ws("\n", F.lit("=" * 100), *lines).alias("value")).repartition(1).write.mode("overwrite").text(path)
 
 
 def provenance(paths: list[str], revision: str | None = None, **about: str) -> dict[str, Any]:

@@ -7,8 +7,7 @@ import os
 import duckdb
 import pytest
 
-from callweave.plans.oracles import SQL
-from callweave.plans.queries import QUERIES
+from callweave.plans.queries import QUERIES, SQL
 
 
 def connect(folder):

@@ -273,6 +273,7 @@ def test_files(spark, tmp_path):
     assert [(r.id, r.split) for r in got] == [(s, s) for s in ("train", "validation", "test")]
     with pytest.raises(ValueError, match="missing split files"):
         files.read_splits(spark, str(tmp_path / "none"), "id string")
+    assert files.source_metadata(str(tmp_path / "about.json"), lambda: {"revision": "r1"}) == files.source_metadata(str(tmp_path / "about.json"), lambda: {"revision": "r2"}) == {"revision": "r1"}
     report = files.group_checksums(spark, {"raw": [str(tmp_path / "train.jsonl")]}).first()
     import hashlib
 
