@@ -8,17 +8,20 @@ split; a null fingerprint is no duplicate; candidates whose raw row is missing c
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from callweave.functions.checks import CONTEXT_LIMIT, CROSS_SPLIT, UNREADABLE
 from callweave.operators import selection
 from callweave.operators.prepare import prepare
 from callweave.operators.quality import split_rank
 from callweave.session import cut
+from callweave.sources import files
 
 _ISSUES = "array<struct<category: string, message: string>>"
 
@@ -78,6 +81,36 @@ def repair(selected: DataFrame, candidates: DataFrame, raw_rows: DataFrame, limi
     return Repair(entries, final, _report(rows, bad, new, passed, limit))
 
 
+def load_selected(spark: SparkSession, folder: str, manifest: str, candidates: DataFrame, quotas: dict[str, tuple[int, ...]] | None = None, seed: int = selection.SEED) -> DataFrame:
+    """(split, pos, id) of a selection: from its raw split files, else from its manifest, else selected anew."""
+    if all(files.exists(spark, f"{folder}/{s}.jsonl") for s in selection.SPLITS):
+        lines = files.read_splits(spark, folder, files.RAW, selection.SPLITS).withColumn("line", F.monotonically_increasing_id())
+        pos = F.row_number().over(W.partitionBy("split").orderBy("line")) - 1  # the size of the selection
+        return lines.select("split", pos.alias("pos"), "id")
+    if files.exists(spark, manifest):
+        text = "\n".join(r.value for r in spark.read.text(manifest).collect())  # one small document
+        places: dict[str, list[int]] = {s: [] for s in selection.SPLITS}
+        for record in json.loads(text).get("records", []):
+            if record["split"] not in places:
+                raise ValueError(f"Unexpected split {record['split']!r} in selection manifest.")
+            places[record["split"]].append(int(record["id"]))
+        return spark.createDataFrame([(s, i, n) for s, ids in places.items() for i, n in enumerate(ids)], "split string, pos int, id long")
+    return selection.select(candidates, quotas, seed)
+
+
+def write_selection(selected: DataFrame, candidates: DataFrame, raw_rows: DataFrame, folder: str, rejected: dict[str, int] | None = None) -> None:
+    """A selection's raw split files in their order, its manifest and its summary; all of the selection's size."""
+    known = cut(candidates.join(F.broadcast(selected.select("id")), "id", "left_semi"))
+    rows = raw_rows.select("row_index", "query", "tools", "answers").join(F.broadcast(known.select("row_index", "id")), "row_index").join(F.broadcast(selected.select("split", "pos", "id")), "id")
+    rows = cut(rows.select("split", "pos", "id", "query", "tools", "answers"))
+    for split in selection.SPLITS:
+        lines = files.as_lines(rows.where(F.col("split") == split).drop("split"), "pos")
+        files.write_json_lines(lines, f"{folder}/{split}.jsonl", "line", "row_index", one_file=True)
+    records = [r.asDict() for r in selection.manifest(selected, known).orderBy(split_rank(), "pos").collect()]
+    files.write_report({"records": records, "rejected_candidate_counts": rejected or {}}, f"{folder}/manifest.json")
+    files.write_report(files.as_report(selection.summary(selected, known)), f"{folder}/summary.json")
+
+
 def _passed_over(checked: DataFrame, entries: DataFrame, final: DataFrame, seed: int) -> dict[str, int]:
     """Issue categories of the invalid candidates that stood before the replacements taken, each candidate once a category."""
     order = selection.pool_order(checked, selection.hash_order(seed), F.col("ok"))

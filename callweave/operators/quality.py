@@ -80,6 +80,19 @@ def verify_splits(records: DataFrame, expected: dict[str, int]) -> None:
             raise ValueError(f"{split}: {row.shared_ids} ids stand in other splits too.")
 
 
+def verification_report(raw: DataFrame, normalized: DataFrame, expected: dict[str, int]) -> dict[str, object]:
+    """The report of two split directories (split, id) that hold what is expected and the same ids; else ValueError."""
+    for rows in (raw, normalized):
+        verify_splits(rows, expected)
+    if off := id_mismatches(raw, normalized).limit(5).collect():
+        raise ValueError(f"Raw and normalized ids differ: {[(r.split, r.id) for r in off]}.")
+    about = {"total_records": sum(expected.values()), "split_counts": dict(expected)}
+    return {
+        "verification_schema_version": "1.0", "expected_split_sizes": dict(expected), "raw": about, "normalized": about,
+        "raw_and_normalized_ids_match": True, "total_examples": about["total_records"],
+    }
+
+
 def id_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(split, id) pairs that only one side has, or more often: n_left and n_right."""
     n = lambda c, side: c.select("split", "id", F.lit(side).alias("side"))

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from callweave.functions import chat
 from callweave.functions.checks import estimated_tokens
 from callweave.jsonx import BAD, canonical, try_loads
+from callweave.operators import quality
 from callweave.session import spread
 
 Factory = Callable[[], Any]
 CHECKS = [*chat.FAILURES, "decoded_matches_rendered"]
 
-RENDERED = "record_no long, token_count int, rendered_text string, tool_call_delimiters array<string>, expected_calls string, rendered_calls string, " + ", ".join(f"{c} boolean" for c in CHECKS) + ", failures array<string>, error string"
+RENDERED = "record_no long, token_count int, rendered_text string, decoded_text string, tool_section_tags array<string>, tool_call_delimiters array<string>, thinking_mode_requested boolean, thinking_mode_supported boolean, expected_calls string, rendered_calls string, " + ", ".join(f"{c} boolean" for c in CHECKS) + ", failures array<string>, error string"
 SPANS = "record_no long, span_pos int, start int, end int, region string, in_loss boolean, error string"
 LABELS = "record_no long, token_pos int, token_id int, token string, label int, region string, start int, end int, error string"
 DIAGNOSTIC = "record_no long, lines string, error string"
@@ -58,7 +59,7 @@ def plain_record(messages: list | None, tools: list | None) -> dict[str, Any]:
 def _rendered(record_no: int, record: dict, tokenizer: Any, enable_thinking: bool = False) -> Iterator[dict]:
     x = chat.render_checked(record, tokenizer, enable_thinking)
     yield {
-        "record_no": record_no, "token_count": x["token_count"], "rendered_text": x["rendered_text"], "tool_call_delimiters": x["tool_call_delimiters"],
+        **{k: x[k] for k in ("token_count", "rendered_text", "decoded_text", "tool_call_delimiters", "thinking_mode_requested", "thinking_mode_supported", "tool_section_tags")}, "record_no": record_no,
         "expected_calls": canonical(x["expected_calls"]), "rendered_calls": canonical(x["rendered_calls"]), "failures": x["failures"], **x["checks"],
     }
 
@@ -109,6 +110,17 @@ def template_checks(records: DataFrame, tokenizer: Factory = chat.ChatMarkup, en
     return _per_record(records, RENDERED, partial(_rendered, enable_thinking=enable_thinking), tokenizer)
 
 
+def rendered_reports(records: DataFrame, tokenizer: Factory = chat.ChatMarkup, enable_thinking: bool = False) -> DataFrame:
+    """record_no and `report`: what was rendered of each record, its features and checks as one JSON document."""
+    flags = quality.feature_flags(records)
+    about = flags.select("record_no", "id", "split", "source_id", "available_tool_count", "expected_call_count").join(quality.feature_tags(flags).withColumnRenamed("tags", "feature_tags"), "record_no")
+    x = template_checks(records, tokenizer, enable_thinking).join(about, "record_no")
+    calls = {c: F.from_json(c, "array<struct<name: string, arguments: string>>").alias(c) for c in ("expected_calls", "rendered_calls")}
+    top = ["id", "split", "source_id", "feature_tags", "available_tool_count", "expected_call_count", "token_count", "thinking_mode_requested", "thinking_mode_supported", "tool_section_tags", "tool_call_delimiters"]
+    report = F.struct(*top, *calls.values(), F.struct(*CHECKS, "failures").alias("checks"), "rendered_text", "decoded_text")
+    return x.select("record_no", F.to_json(report, {"ignoreNullFields": "false"}).alias("report"), "error", F.size("failures").alias("failed"))
+
+
 def chat_blocks(records: DataFrame, tokenizer: Factory = chat.ChatMarkup) -> DataFrame:
     return _per_record(records, BLOCKS, _blocks, tokenizer)
 
