@@ -49,9 +49,10 @@ def some_rows(n=160, seed=3):
 ODD = [(None, tools("a")), ("q w", None), ("q w", "["), ("q w", "{}"), ("q w", "[1, null]"), ("", tools("a")), ("ß !", tools("a")), ("x " * 300_000 + "y", tools("a")), ("y X", tools("a")), ("q", tools("a", "b")), ("Q", tools("b", "a")), ("q", tools("c"))]
 
 
-@pytest.mark.parametrize("hot", [500, 2])
-def test_pairs_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "base"), [(500, 1_000_000), (2, 2)])
+def test_pairs_equal_brute_force(spark, monkeypatch, hot, base):
     monkeypatch.setattr(m, "HOT", hot)
+    monkeypatch.setattr(m, "BASE_ROWS", base)  # so small a base makes bands of nine minima
     monkeypatch.setattr("callweave.session.HOT_ROWS", hot)
     monkeypatch.setattr("callweave.llm.expand.BLOCK_ROWS", hot)
     rows = some_rows() + ODD + some_rows(20)[:5] * 3
@@ -74,6 +75,14 @@ def m_pairs(spark, rows):
     return [(r.row_a, r.row_b) for r in m.found(table(spark, rows)).collect()]
 
 
+def test_bands_grow_with_the_collection_and_miss_no_more():
+    schemes = [m.scheme_for(10**k) for k in range(0, 13)]
+    assert (schemes[0].rows, schemes[0].bands, schemes[0].n) == (6, 48, 288) and m.scheme_for(4_000_000).rows == 7
+    assert all(a.rows <= b.rows for a, b in zip(schemes, schemes[1:])) and schemes[-1].rows == 15
+    for s in schemes:
+        assert s.missed(0.7) <= m.MISS and s.missed(0.75) < 1e-4 and s.missed(0.8) < 1e-6 and s.n % 8 == 0 and s.n >= s.rows * s.bands
+
+
 def test_empty_table(spark):
     assert m.found(table(spark, [("a", "b")]).limit(0)).count() == 0 and m.groups(table(spark, [("a", "b")]).limit(0)).count() == 0
 
@@ -84,9 +93,9 @@ def test_estimate_follows_similarity(spark):
     rows = []
     for k in (0, 150, 300, 450, 600):
         a, b = words[:600], np.concatenate((words[:k], words[300 : 900 - k]))
-        rows.append((k, [int(x) for x in m.signature(a)], [int(x) for x in m.signature(rng.permutation(b))], len(set(a) & set(b)) / len(set(a) | set(b))))
+        rows.append((k, [int(x) for x in m.signature(a, 288)], [int(x) for x in m.signature(rng.permutation(b), 288)], len(set(a) & set(b)) / len(set(a) | set(b))))
     out = spark.createDataFrame(rows, "k int, a array<long>, b array<long>, s double").withColumn("e", m.estimate(*map(lambda c: m.F.col(c), "ab"))).collect()
-    assert all(abs(r.e - r.s) < 4.5 * 0.5 / m.N**0.5 for r in out)
+    assert all(abs(r.e - r.s) < 4.5 * 0.5 / 288**0.5 for r in out)
     assert out[-1].e == 1.0
 
 
