@@ -48,12 +48,38 @@ clean AS (
 usable AS (
   SELECT DISTINCT ON (id) id, split, call_bucket, generator FROM clean
   WHERE id IS NOT NULL AND split IS NOT NULL AND call_bucket IS NOT NULL AND generator IS NOT NULL ORDER BY id, row_index),
+usable_rows AS (SELECT id, min(row_index) AS row_index FROM clean WHERE id IS NOT NULL AND split IS NOT NULL AND call_bucket IS NOT NULL AND generator IS NOT NULL GROUP BY id),
 total AS (SELECT floor(count(*) / 4) AS size FROM usable),
 cells AS (
   SELECT t.split, t.call_bucket, t.generator, greatest(t.min_rows, ceil(t.target_share * total.size)) AS needed,
          (SELECT count(*) FROM usable u WHERE u.split = t.split AND u.call_bucket = t.call_bucket AND u.generator = t.generator) AS available
   FROM sample_targets t, total)"""
 
+_STEPS = 18
+
+
+def _quotas() -> str:
+    """Quotas step by step: cells whose floor or cap binds are fixed there, then largest remainders for the rest; as many steps as there are cells."""
+    out = [
+        """a0 AS (
+  SELECT split, call_bucket, generator, target_share AS share, min_rows, needed, available AS cap, least(min_rows, available) AS low, (SELECT size FROM total) AS size,
+         CASE WHEN available <= least(min_rows, available) OR target_share <= 0 THEN least(min_rows, available) END AS quota, row_number() OVER (ORDER BY split, call_bucket, generator) AS pos
+  FROM cells JOIN sample_targets USING (split, call_bucket, generator))"""
+    ]
+    for i in range(_STEPS):
+        out.append(f"""b{i} AS (
+  SELECT *, CASE WHEN quota IS NULL THEN greatest(0, (size - sum(coalesce(quota, 0)) OVER ()) * share / sum(CASE WHEN quota IS NULL THEN share END) OVER ()) END AS ideal FROM a{i}),
+c{i} AS (SELECT *, ideal >= cap AS over, ideal <= low AS under, coalesce(sum(CASE WHEN ideal >= cap THEN ideal - cap END) OVER (), 0) - coalesce(sum(CASE WHEN ideal <= low THEN low - ideal END) OVER (), 0) AS excess,
+         coalesce(bool_or(ideal >= cap) OVER (), false) AS some_over, coalesce(bool_or(ideal <= low) OVER (), false) AS some_under FROM b{i}),
+a{i + 1} AS (
+  SELECT split, call_bucket, generator, share, min_rows, needed, cap, low, size, CASE WHEN quota IS NOT NULL THEN quota WHEN over AND some_over AND (excess >= 0 OR NOT some_under) THEN cap WHEN under AND some_under AND (excess < 0 OR NOT some_over) THEN low END AS quota, pos FROM c{i})""")
+    out.append(f"""z AS (
+  SELECT *, CASE WHEN quota IS NULL THEN greatest(0, (size - sum(coalesce(quota, 0)) OVER ()) * share / sum(CASE WHEN quota IS NULL THEN share END) OVER ()) END AS ideal, size - sum(coalesce(quota, 0)) OVER () AS rest FROM a{_STEPS}),
+y AS (SELECT *, rest - sum(floor(ideal)) OVER () AS extra, row_number() OVER (ORDER BY ideal IS NULL, floor(ideal) - ideal, pos) AS place FROM z),
+quotas AS (SELECT split, call_bucket, generator, share, min_rows, needed, cap, size, coalesce(quota, least(cap, floor(ideal) + (place <= extra)::INT))::BIGINT AS quota FROM y)""")
+    return ",\n".join(out)
+
+
 _SHARE = "10 * len(list_intersect(a.words, b.words)) >= 7 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)))"
 
 _SETS = rf"""
@@ -100,6 +126,11 @@ SELECT p.param_id, m.type_id FROM param_types p JOIN mapped m ON p.type = m.type
 WITH {_mapped()}
 SELECT p.type, count(*) AS n_rows FROM param_types p JOIN mapped m ON p.type = m.type WHERE m.type_id = 0 GROUP BY 1""",
     "p4_found": f"WITH {_CELLS} SELECT split, call_bucket, generator FROM cells WHERE available < needed",
+    "p4_report": f"""WITH {_CELLS}, {_quotas()}
+SELECT split, call_bucket, generator, share AS target_share, min_rows, needed::BIGINT AS needed, cap AS available, quota, quota AS drawn, quota / greatest(size, 1)::DOUBLE AS actual_share, greatest(0, needed - cap)::BIGINT AS shortfall FROM quotas""",
+    "p4_sample": f"""WITH {_CELLS}, {_quotas()},
+ranked AS (SELECT u.*, row_number() OVER (PARTITION BY split, call_bucket, generator ORDER BY md5('42-' || id), id) AS place FROM usable u)
+SELECT r.id, k.row_index, r.split, r.call_bucket, r.generator FROM ranked r JOIN quotas USING (split, call_bucket, generator) JOIN usable_rows k USING (id) WHERE place <= quota""",
     "p5_found": f"WITH {_SETS} SELECT a.row_index AS row_a, b.row_index AS row_b FROM w a JOIN w b ON a.row_index < b.row_index AND {_SIMILAR}",
     "p5_groups": f"""
 WITH RECURSIVE {_SETS},
@@ -114,4 +145,9 @@ SELECT c.row_index, c.class_id, g.group_id, coalesce(d.links, 0) AS links FROM c
 WITH d AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1),
 t AS (SELECT sum(size) AS total FROM d)
 SELECT m.source FROM mix_targets m LEFT JOIN d USING (source), t WHERE m.max_repeats * coalesce(d.size, 0) < m.target_share * t.total""",
+    "p8_needs": """
+WITH d AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents WHERE source IS NOT NULL GROUP BY 1),
+t AS (SELECT sum(size) AS total FROM d)
+SELECT m.source, m.target_share, m.max_repeats, coalesce(d.size, 0)::BIGINT AS size, t.total::DOUBLE AS total, m.target_share * t.total::DOUBLE AS wanted, CASE WHEN d.size > 0 THEN least(m.max_repeats::DOUBLE, m.target_share * t.total::DOUBLE / d.size) ELSE 0 END AS copies
+FROM mix_targets m LEFT JOIN d USING (source), t""",
 }

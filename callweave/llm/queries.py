@@ -61,6 +61,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.found(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p8_needs(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, budget, wanted size and copies per document of each source, in characters."""
+    return mixing.needs(mixing.by_characters(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(mixing.by_tokens(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))[0]
 
@@ -83,5 +88,5 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_report, p3_found, p3_unmatched, p4_found, p4_sample, p4_report, p5_found, p5_groups, p7_pack, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_scores, p9_rates)
+    for f in (p2_found, p2_report, p3_found, p3_unmatched, p4_found, p4_sample, p4_report, p5_found, p5_groups, p7_pack, p7_report, p8_found, p8_needs, p8_mix, p8_report, p9_found, p9_scores, p9_rates)
 }
