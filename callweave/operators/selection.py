@@ -28,6 +28,8 @@ QUOTAS = {"train": (72, 30, 18), "validation": (24, 10, 6), "test": (24, 10, 6)}
 SEED = 42
 #: Rows of one range of row_index, about, that are numbered together.
 RANGE_ROWS = 50_000
+#: Positions that a seeded shuffle may hold on the driver.
+MOST_SHUFFLED = 5_000_000
 
 
 def hash_order(seed: int = SEED) -> Column:
@@ -70,9 +72,12 @@ def shuffled_heads(candidates: DataFrame, need: int, seed: int = SEED) -> DataFr
     """`pool_heads` in the order of one shared seeded shuffle of the pools, which depends on their sizes only.
 
     The shuffle runs on the driver over positions, not rows: it needs the six pool sizes and keeps `need`
-    positions of each; rows are numbered in ranges of row_index, so no pool is ranked in one task.
+    positions of each; rows are numbered in ranges of row_index, so no pool is ranked in one task. A pool of
+    more than MOST_SHUFFLED rows raises ValueError: the hash order of `pool_heads` has no such bound.
     """
     sizes = {(r.generator, r.call_bucket): r.n for r in pool_sizes(candidates).collect()}
+    if max(sizes.values(), default=0) > MOST_SHUFFLED:
+        raise ValueError(f"A pool has more than {MOST_SHUFFLED} rows; take the hash order.")
     rng, wanted = random.Random(seed), []
     for g in GENERATORS:
         for b in BUCKETS:

@@ -67,7 +67,7 @@ SQL: dict[str, str] = {
     "chat_blocks": f"WITH {CHAT} SELECT record_no, block_pos::INT AS block_pos, role, start::INT AS start, content_start::INT AS content_start, content_end::INT AS content_end, stop::INT AS \"end\", NULL::VARCHAR AS error FROM blocks",
     "loss_spans": f"""WITH {CHAT}
 SELECT record_no, (row_number() OVER (PARTITION BY record_no ORDER BY start, stop) - 1)::INT AS span_pos, start::INT AS start, stop::INT AS "end", region, region = 'assistant_tool_call' AS in_loss, NULL::VARCHAR AS error FROM spans WHERE start < stop""",
-    "mask_counts": f"WITH {CHAT} SELECT record_no, included, len(regexp_extract_all(text, '{_TOKENS}')) - included AS ignored FROM rendered",
+    "mask_counts": f"WITH {CHAT} SELECT record_no, included::BIGINT AS included, (len(regexp_extract_all(text, '{_TOKENS}')) - included)::BIGINT AS ignored FROM rendered",
     "token_labels": f"""WITH {CHAT}
 SELECT p.record_no, p.token_pos::INT AS token_pos, p.token, (coalesce(s.region, '') = 'assistant_tool_call')::INT AS label, coalesce(s.region, 'unclassified') AS region,
        p.start::INT AS start, (p.start + length(p.token))::INT AS "end", NULL::VARCHAR AS error

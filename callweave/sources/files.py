@@ -17,16 +17,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from callweave.session import cut
+
 RAW = T.StructType([T.StructField("id", T.LongType()), T.StructField("query", T.StringType()), T.StructField("tools", T.StringType()), T.StructField("answers", T.StringType())])
 
 
 def read_raw_array(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array of raw rows, with row_index by position. The array is one value, as the file is one document."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.from_json("value", T.ArrayType(RAW), {"mode": "FAILFAST"}).alias("rows"), F.ltrim("value").startswith("[").alias("is_list"))
-    if not rows.select(F.coalesce(F.every("is_list"), F.lit(False))).first()[0]:
+    """Raw rows out of JSON arrays, with row_index by position; of several files in the order of their names.
+
+    An array is one value, as its file is one document, so a file is read by one task; a large source is
+    given as a folder of files, which are read side by side.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    counts = cut(text.select("file", F.json_array_length("value").alias("n")))  # one row a file
+    if not counts.limit(1).count() or counts.where("n is null").limit(1).count():
         raise ValueError(f"{path} holds no JSON array")
-    return rows.select(F.posexplode("rows").alias("row_index", "r")).select(F.col("row_index").cast("long"), "r.*")
+    first = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = text.select("file", F.posexplode(F.from_json("value", T.ArrayType(RAW), {"mode": "FAILFAST"})).alias("pos", "r"))
+    return rows.join(counts.select("file", first.alias("first")), "file").select((F.col("first") + F.col("pos")).alias("row_index"), "r.*")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -71,8 +79,8 @@ def write_json_lines(df: DataFrame, path: str, column: str, order: str | None =
 def write_raw_array(rows: DataFrame, path: str) -> None:
     """Raw rows (row_index, id, query, tools, answers) as one JSON array in the order of row_index, in one file."""
     lines = as_lines(rows.select("row_index", "id", "query", "tools", "answers"))
-    comma = F.when(F.lag("row_index").over(W.orderBy("row_index")).isNull(), "[").otherwise(",")
-    text = lines.select(F.col("row_index").alias("at"), F.concat(comma, "line").alias("value"))
+    first = rows.agg(F.min("row_index")).scalar()
+    text = lines.select(F.col("row_index").alias("at"), F.concat(F.when(F.col("row_index") == first, "[").otherwise(","), "line").alias("value"))
     end = rows.sparkSession.createDataFrame([(None, "]" if rows.limit(1).count() else "[]")], "at long, value string")
     text.unionByName(end).repartition(1).sortWithinPartitions(F.col("at").asc_nulls_last()).select("value").write.mode("overwrite").text(path)
 
@@ -150,6 +158,18 @@ def provenance(paths: list[str], revision: str | None = None, **about: str) -> d
     return {"files": [one(p) for p in paths], "revision": revision, "recorded_at": datetime.now(UTC).isoformat(), **about}
 
 
+def fetch_source(fetch: Callable[[str | None], str], resolve: Callable[[], dict[str, Any]], manifest: str) -> dict[str, Any]:
+    """Fetch a source file at its resolved revision and write its manifest: size, SHA-256, revision, licence, time.
+
+    `resolve` asks the source for what it is (revision, licence and so on), `fetch` brings the file of that
+    revision and returns its path; the network and its credentials are theirs.
+    """
+    about = dict(resolve())
+    report = provenance([fetch(about.get("revision"))], about.pop("revision", None), **about)
+    write_report(report, manifest)
+    return report
+
+
 def find_revision(cache: str) -> str | None:
     """The revision of a download cache: its metadata file's first line, refs/main, or the only snapshot."""
     root = Path(cache)

@@ -58,6 +58,10 @@ def test_truncated_pools_pick_as_whole_pools_would(spark, monkeypatch):
             rng.shuffle(want[g, b])
     for pool, ids in want.items():
         assert [r.id for r in order if (r.generator, r.call_bucket) == pool] == ids
+    monkeypatch.setattr(selection, "MOST_SHUFFLED", 10)
+    with pytest.raises(ValueError, match="hash order"):
+        selection.shuffled_heads(c, 5)
+    monkeypatch.undo()
     few = selection.shuffled_heads(c, 5).collect()
     assert all(want[r.generator, r.call_bucket][r.pool_pos] == r.id for r in few) and len(few) == 30
 
@@ -147,6 +151,12 @@ def test_selection_is_evaluated_repaired_and_evaluated_again(spark):
     assert report["final_split_sizes"] == {"train": 6, "validation": 6, "test": 6}
     clean = evaluation.repair(done.final, c, raw)
     assert clean.report["rejected_examples"] == 0 and clean.report["replacements"] == []
+    open_place = spark.createDataFrame([("train", 0, None), ("test", 0, ids[0])], "split string, pos int, id long")
+    clash = c.withColumns({"split": F.lit("x"), "pos": F.lit(1), "issues": F.lit(2), "owner": F.lit(3)})
+    assert [(r.split, r.id) for r in evaluation.evaluate(open_place, clash, raw.withColumn("gate", F.lit("x"))).collect()] == [("test", ids[0])]
+    assert evaluation.evaluate(open_place.limit(0), c, raw).count() == 0
+    gone = evaluation.evaluate(open_place, c.withColumn("fingerprint", F.lit(None).cast("string")), raw.limit(0)).first()
+    assert [i.category for i in gone.issues] == ["unparseable_expected_calls"]
     with pytest.raises(KeyError):
         evaluation.evaluate(spark.createDataFrame([("train", 0, 10_000)], "split string, pos int, id long"), c, raw)
 
@@ -160,6 +170,14 @@ def test_inspection_counts_faults(spark):
     }
 
 
+def test_inspection_of_no_rows(spark):
+    assert prepare.inspection_profile(spark.createDataFrame([], "query string, tools string, answers string, fault string")).count() == 0
+    with pytest.raises(ValueError, match="has only 3 rows"):
+        selection.inspection_sample(spark.range(3).toDF("row_index"))
+    assert [(r.side, r.row_index) for r in selection.inspection_sample(spark.range(3).toDF("row_index"), 2, each=1, report=True).orderBy("row_index").collect()][-1] == ("from", 2)
+    assert selection.inspection_sample(spark.range(0).toDF("row_index"), report=True).count() == 0
+
+
 def test_preparation_goes_as_deep_as_asked(spark):
     tool, call = json.dumps([{"name": "t", "parameters": {"a": {"type": "str"}}}]), json.dumps([{"name": "t", "arguments": {"a": 1}}])
     df = spark.createDataFrame([(0, 1, "q", tool, call, "s"), (1, 2, "q", tool.replace("str", "Foo"), call, None)], "row_index long, id long, query string, tools string, answers string, source string")
@@ -267,6 +285,10 @@ def test_files(spark, tmp_path):
     raw.write_text("{}")
     with pytest.raises(ValueError, match="no JSON array"):
         files.read_raw_array(spark, str(raw))
+    (tmp_path / "many").mkdir()
+    for name, ids in (("b", [7, 8]), ("a", [5, 6, 9]), ("c", [])):
+        (tmp_path / "many" / f"{name}.json").write_text(json.dumps([{"id": i} for i in ids]))
+    assert sorted((r.row_index, r.id) for r in files.read_raw_array(spark, str(tmp_path / "many")).collect()) == [(0, 5), (1, 6), (2, 9), (3, 7), (4, 8)]
     for s in ("train", "validation", "test"):
         (tmp_path / f"{s}.jsonl").write_text(f'{{"id": "{s}"}}\n\n  \n')
     got = files.read_splits(spark, str(tmp_path), "id string").collect()
@@ -284,6 +306,8 @@ def test_files(spark, tmp_path):
     files.write_preview(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "p"), ["a", "b"])
     assert [r.value for r in spark.read.text(str(tmp_path / "p")).collect()] == ["=" * 100, "a: 1", "b: null"]
     assert files.provenance([str(tmp_path / "train.jsonl")], "r1", licence="x")["files"][0]["sha256"] == report.sha256
+    made = files.fetch_source(lambda revision: str(tmp_path / "train.jsonl"), lambda: {"revision": "r9", "license": "cc"}, str(tmp_path / "source.json"))
+    assert made["revision"] == "r9" and made["license"] == "cc" and json.loads((tmp_path / "source.json").read_text()) == made
     (tmp_path / "cache" / "snapshots" / "abc").mkdir(parents=True)
     assert files.find_revision(str(tmp_path / "cache")) == "abc"
     (tmp_path / "cache" / "refs").mkdir()
