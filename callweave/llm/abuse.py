@@ -41,7 +41,7 @@ from callweave.session import cut, spread
 #: Labelled documents that training takes at most: the one bound of this module.
 MAX_TRAIN_DOCS = 8_000
 #: The models of the last round and the last model take as many steps, so that their scores compare.
-FOLDS, ROUNDS, STEPS = 4, 2, 24
+FOLDS, ROUNDS, STEPS = 3, 2, 24
 ORDERS, BITS = (3, 4, 5), 19
 #: Segments with fewer n-grams weigh as little as if they had so many: a name or a code is no sentence.
 SHORT = 40
@@ -49,6 +49,8 @@ SHORT = 40
 SEEN = 2
 #: Characters that scoring turns into n-grams at a time: bounds the memory of a task.
 BLOCK_CHARS = 1_000_000
+#: Characters of the texts that are scored together, about.
+GROUP_CHARS = 8_000_000
 #: The threshold of a model whose held-out scores cannot tell (too few labels), and the least threshold.
 EVEN, LEAST = 0.5, 0.3
 
@@ -59,6 +61,7 @@ TAGS = "a|b|blockquote|body|br|code|div|em|h[1-6]|head|hr|html|i|img|li|ol|p|pre
 # --- end of fixed values ----------------------------------------------------------------------------
 
 _ALIKE = str.maketrans(ALIKE | {k.upper(): v.upper() for k, v in ALIKE.items() if k.upper() != k and len(k.upper()) == 1})
+_LOOKALIKES = frozenset(map(chr, _ALIKE))
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿︀-️]")
 _MOJIBAKE = re.compile("[ÃÂâ][\u0080-¿Œ-™]+")
 _COMBINING = re.compile("[\u0300-\u036f]")
@@ -71,7 +74,6 @@ _TAG = re.compile(rf"</?(?:{TAGS})\s*/?>", re.I)
 _SPLIT = re.compile(r'[<>\n\r\t]+|(?<=[.!?])["\')\]]*\s+|": "|", "|(?<=["0-9a-z])[}\]]+(?=\W|$)')
 _DIGITS = re.compile(r"[0-9]+")
 _ROLE = re.compile(r"^\W*(?:user|assistant|system|tool)\s*:\s*")
-_BLANK = re.compile(r"\s+")
 
 
 def _repair(m: re.Match) -> str:
@@ -92,7 +94,8 @@ def comparable(text: str) -> str:
     """Lower-case text with disguises undone. The cheap looks first spare most texts the costly patterns."""
     if not text.isascii():
         text = _MOJIBAKE.sub(_repair, text)
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).translate(_ALIKE)
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+        text = text if _LOOKALIKES.isdisjoint(text) else text.translate(_ALIKE)
         text = _COMBINING.sub("", unicodedata.normalize("NFD", text)).replace("ß", "ss")
     text = text.lower()
     if _MAYBE_SPACED.search(f" {text} "):
@@ -112,7 +115,7 @@ def segments(text: str | None) -> list[str]:
         return []
     out: list[str] = []
     for p in _SPLIT.split(_DIGITS.sub("0", comparable(_TAG.sub("\n", text) if "<" in text else text))):
-        p = _BLANK.sub(" ", _ROLE.sub("", p)).strip(" \"'{}[]()")
+        p = " ".join((_ROLE.sub("", p) if ":" in p else p).split()).strip(" \"'{}[]()")
         if out and " " not in p:
             if p:
                 out[-1] += f" {p}"
@@ -364,10 +367,12 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                worst = own.worst(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(worst, pa.float64())], names=["doc_id", "source", "score"])
+            texts = batch.column(2).to_pylist()
+            group = np.cumsum([len(t or "") for t in texts]) // GROUP_CHARS  # segments that recur in a group are looked at once
+            for g in np.unique(group):
+                at, end = np.searchsorted(group, g), np.searchsorted(group, g, side="right")
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own.worst(texts[at:end]), pa.float64())], names=["doc_id", "source", "score"])
 
     slim = spread(documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text"))
     return slim.mapInArrow(run, "doc_id long, source string, score double")
