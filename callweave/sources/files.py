@@ -7,6 +7,7 @@ write one file a call of `one_file`, as many as there are partitions otherwise.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from pathlib import Path
@@ -114,11 +115,54 @@ def as_report(rows: DataFrame) -> dict[str, Any]:
     return out
 
 
+_CHECKSUM = "path string, bytes long, line_count int, sha256 string"
+#: Files up to this size are read as one value by a task; larger ones in blocks by the driver.
+WHOLE_BYTES = 1 << 30
+
+
+def _status(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(qualified path, bytes) of the files that a path or pattern names, those in folders too."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, todo = [], list(fs.globStatus(root) or [])
+    while todo:
+        x = todo.pop()
+        if x.isDirectory():
+            todo += [y for y in fs.listStatus(x.getPath()) if not y.getPath().getName().startswith(("_", "."))]
+        else:
+            out.append((x.getPath().toString(), x.getLen()))
+    return out
+
+
+def _in_blocks(spark: SparkSession, path: str) -> tuple[str, int, int, str]:
+    """Size, non-blank lines and SHA-256 of one file, a block of 1 MiB at a time."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    digest, size, lines, filled = hashlib.sha256(), 0, 0, False
+    try:
+        while block := bytes(stream.readNBytes(1 << 20)):
+            digest.update(block)
+            size += len(block)
+            first, *rest = block.split(b"\n")
+            filled = filled or bool(first.strip())
+            for part in rest:
+                lines += filled
+                filled = bool(part.strip())
+    finally:
+        stream.close()
+    return path, size, lines + filled, digest.hexdigest()
+
+
 def file_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, bytes, non-blank lines and SHA-256 of files; each file is one task's."""
-    files = spark.read.format("binaryFile").load(paths)
+    """path, bytes, non-blank lines and SHA-256 of files; a file is one task's, very large ones are the driver's."""
+    found = sorted({x for p in paths for x in _status(spark, p)})
+    large = [p for p, n in found if n > WHOLE_BYTES]
     lines = F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x) != "")
-    return files.select("path", F.col("length").alias("bytes"), F.size(lines).alias("line_count"), F.sha2("content", 256).alias("sha256"))
+    columns = ["path", F.col("length").alias("bytes"), F.size(lines).alias("line_count"), F.sha2("content", 256).alias("sha256")]
+    done = spark.createDataFrame([_in_blocks(spark, p) for p in large], _CHECKSUM)
+    small = [p for p, n in found if n <= WHOLE_BYTES]
+    return spark.read.format("binaryFile").load(small).select(*columns).unionByName(done) if small else done
 
 
 def group_checksums(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
@@ -145,7 +189,6 @@ def write_preview(rows: DataFrame, path: str, columns: list[str]) -> None:
 
 def provenance(paths: list[str], revision: str | None = None, **about: str) -> dict[str, Any]:
     """Where files came from: size, SHA-256, revision and time of recording."""
-    import hashlib
     from datetime import UTC, datetime
 
     def one(path: str) -> dict[str, Any]:

@@ -278,7 +278,7 @@ def test_rendering_reports_faulty_records(spark, data):
         assert native[c.record_no].tool_section == chat.tagged_section(c.rendered_text)[0] and native[c.record_no].delimiters == chat.delimiters(c.rendered_text)
 
 
-def test_files(spark, tmp_path):
+def test_files(spark, tmp_path, monkeypatch):
     raw = tmp_path / "raw.json"
     raw.write_text(json.dumps([{"id": 5, "query": "a", "tools": "[]", "answers": "[]"}, {"id": 6, "query": None}]))
     assert [(r.row_index, r.id, r.query) for r in files.read_raw_array(spark, str(raw)).collect()] == [(0, 5, "a"), (1, 6, None)]
@@ -301,6 +301,10 @@ def test_files(spark, tmp_path):
 
     text = (tmp_path / "train.jsonl").read_bytes()
     assert (report.group, report.bytes, report.line_count, report.sha256) == ("raw", len(text), 1, hashlib.sha256(text).hexdigest())
+    (tmp_path / "big.txt").write_text("\n  \n" + "x" * 3_000_000 + "\nb\n \nlast")
+    whole = [tuple(r) for r in files.file_checksums(spark, [str(tmp_path / "*.txt"), str(tmp_path / "many")]).orderBy("path").collect()]
+    monkeypatch.setattr(files, "WHOLE_BYTES", 10)
+    assert [tuple(r) for r in files.file_checksums(spark, [str(tmp_path / "*.txt"), str(tmp_path / "many")]).orderBy("path").collect()] == whole and len(whole) == 4 and whole[0][2] == 3
     with pytest.raises(FileNotFoundError):
         files.group_checksums(spark, {"raw": ["/nowhere"]})
     files.write_preview(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "p"), ["a", "b"])
