@@ -11,28 +11,28 @@ from callweave.session import BROADCAST_IDS, cut
 BLOCK_ROWS = 5_000
 
 
-def _blocks(members: DataFrame, cls: str, block: str) -> DataFrame:
-    """(cls, block count) of the classes of more than one block: at most one for each BLOCK_ROWS rows."""
-    sizes = members.groupBy(cls).agg(F.count("*").alias(block)).where(F.col(block) > BLOCK_ROWS)
-    return cut(sizes.select(cls, F.ceil(F.col(block) / BLOCK_ROWS).cast("int").alias(block)))
+def class_sizes(members: DataFrame, cls: str) -> DataFrame:
+    """(cls, n) of a table of members, written once."""
+    return cut(members.groupBy(cls).agg(F.count("*").alias("n")))
 
 
 def _with(df: DataFrame, blocks: DataFrame, n: int, cls: str) -> DataFrame:
     return df.join(F.broadcast(blocks) if n <= BROADCAST_IDS else blocks, cls, "left")
 
 
-def row_pairs(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def row_pairs(links: DataFrame, left: DataFrame, right: DataFrame, left_sizes: DataFrame, right_sizes: DataFrame) -> DataFrame:
     """(row_x, row_y) for each link (a, b) of classes, from left (a, row_x) and right (b, row_y).
 
-    A class of very many rows is cut into blocks by the hash of the row, and its links are repeated for
-    each block, so the pairs of one link are made by as many tasks as it has pairs of blocks.
+    The sizes are materialised tables (class, n) under the same names. A class of very many rows is cut into
+    blocks by the hash of the row, and its links are repeated for each block, so the pairs of one link are made
+    by as many tasks as it has pairs of blocks.
     """
-    for rows, row, cls, block in ((left, "row_x", "a", "i"), (right, "row_y", "b", "j")):
-        blocks = _blocks(rows, cls, "blocks")
-        n = blocks.count()
+    for rows, sizes, row, cls, block in ((left, left_sizes, "row_x", "a", "i"), (right, right_sizes, "row_y", "b", "j")):
+        large = sizes.where(F.col("n") > BLOCK_ROWS).select(cls, F.ceil(F.col("n") / BLOCK_ROWS).cast("long").alias("blocks"))  # at most one for each BLOCK_ROWS rows
+        n = large.count()
         if n:
-            rows = _with(rows, blocks, n, cls).withColumn(block, F.pmod(F.xxhash64(row), F.coalesce("blocks", F.lit(1)))).drop("blocks")
-            links = _with(links, blocks, n, cls).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)).cast("long") - 1))).drop("blocks")
+            rows = _with(rows, large, n, cls).withColumn(block, F.pmod(F.xxhash64(row), F.coalesce("blocks", F.lit(1)))).drop("blocks")
+            links = _with(links, large, n, cls).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
             links = links.join(rows, [cls, block]).drop(block)
         else:
             links = links.join(rows, cls)

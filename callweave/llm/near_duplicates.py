@@ -165,13 +165,14 @@ def shares_at_least(a: Column, b: Column, share: tuple[int, int]) -> Column:
     return common * share[1] >= (F.size(a) + F.size(b) - common) * share[0]
 
 
-def classes(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row_index, rep) membership, and (rep, sig, names) of the representatives."""
+def classes(feats: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row_index, rep) membership, (rep, sig, names) of the representatives, and (rep, n) of all classes."""
     keyed = feats.select("row_index", "cls")
     reps = cut(keyed.groupBy("cls").agg(F.min("row_index").alias("rep"), F.count("*").alias("n")))
     members = cut(hot_join(keyed, reps, "cls").select("row_index", "rep"))
     copies = members.where("row_index <> rep").select("row_index")
-    return members, keep_ids(feats.select("row_index", "sig", "names"), copies, "row_index", "left_anti").withColumnRenamed("row_index", "rep")
+    own = keep_ids(feats.select("row_index", "sig", "names"), copies, "row_index", "left_anti").withColumnRenamed("row_index", "rep")
+    return members, own, reps.select("rep", "n")
 
 
 def band_keys(reps: DataFrame, scheme: Scheme) -> DataFrame:
@@ -238,18 +239,19 @@ def similar_classes(reps: DataFrame, rows: DataFrame, scheme: Scheme) -> DataFra
 def found(rows: DataFrame) -> DataFrame:
     """p5_found: all similar pairs of rows, copies included."""
     scheme = scheme_for(rows.count())
-    members, reps = classes(cut(features(rows, BRIEF, scheme.n)))
+    members, reps, sizes = classes(cut(features(rows, BRIEF, scheme.n)))
     links = cut(similar_classes(reps, rows, scheme).select("a", "b"))
-    own = members.where("row_index <> rep").select(F.col("rep").alias("a")).distinct().select("a", F.col("a").alias("b"))
+    own = sizes.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     x, y = members.select(F.col("rep").alias("a"), F.col("row_index").alias("row_x")), members.select(F.col("rep").alias("b"), F.col("row_index").alias("row_y"))
-    both = row_pairs(links, x, y).union(row_pairs(own, x, y).where("row_x < row_y"))
+    of_a, of_b = (sizes.withColumnRenamed("rep", c) for c in "ab")
+    both = row_pairs(links, x, y, of_a, of_b).union(row_pairs(own, x, y, of_a, of_b).where("row_x < row_y"))
     return both.select(F.least("row_x", "row_y").alias("row_a"), F.greatest("row_x", "row_y").alias("row_b"))
 
 
 def groups(rows: DataFrame) -> DataFrame:
     """Each row that takes part with its class, its group and its links to other texts; copies are not paired."""
     scheme = scheme_for(rows.count())
-    members, reps = classes(cut(features(rows, BRIEF, scheme.n)))
+    members, reps, sizes = classes(cut(features(rows, BRIEF, scheme.n)))
     links = cut(similar_classes(reps, rows, scheme).select("a", "b"))
     comp = components(links)
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.jsonx import BAD, canonical, fold_numbers, try_loads
-from callweave.llm.expand import row_pairs
+from callweave.llm.expand import class_sizes, row_pairs
 from callweave.llm.fulltext import Index
 from callweave.llm.words import distinct_words, word_hash
 from callweave.session import cut, spread
@@ -250,7 +250,8 @@ def found(records: DataFrame) -> DataFrame:
     members, pairs = class_pairs(records)
     side = lambda name, cls, row: members.where(F.col("side") == name).select(F.col("cls").alias(cls), F.col("record_no").alias(row))
     links = pairs.select(F.col("train_cls").alias("a"), F.col("eval_cls").alias("b"))
-    both = row_pairs(links, side("train", "a", "row_x"), side("eval", "b", "row_y"))
+    left, right = side("train", "a", "row_x"), side("eval", "b", "row_y")
+    both = row_pairs(links, left, right, class_sizes(left, "a"), class_sizes(right, "b"))
     return both.select(F.least("row_x", "row_y").alias("record_a"), F.greatest("row_x", "row_y").alias("record_b"))
 
 

@@ -133,5 +133,5 @@ def test_rows_of_large_classes_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(expand, "BLOCK_ROWS", 4)
     rows = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 100), (3, 101)], "a long, row_x long")
     links = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "a long, b long")
-    got = sorted(map(tuple, expand.row_pairs(links, rows, rows.toDF("b", "row_y")).collect()))
+    got = sorted(map(tuple, expand.row_pairs(links, rows, rows.toDF("b", "row_y"), expand.class_sizes(rows, "a"), expand.class_sizes(rows.toDF("b", "row_y"), "b")).collect()))
     assert got == sorted([(i, j) for i in range(30) for j in range(30)] + [(i, 100) for i in range(30)] + [(101, 101)])
