@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,8 +117,8 @@ def as_report(rows: DataFrame) -> dict[str, Any]:
 
 
 _CHECKSUM = "path string, bytes long, line_count int, sha256 string"
-#: Files up to this size are read as one value by a task; larger ones in blocks by the driver.
-WHOLE_BYTES = 1 << 30
+#: On file systems that Python can't open, files up to this size are read as one value by a task; larger ones in blocks by the driver.
+WHOLE_BYTES = 1 << 24
 
 
 def _status(spark: SparkSession, path: str) -> list[tuple[str, int]]:
@@ -135,34 +136,61 @@ def _status(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return out
 
 
+def _summary(blocks: Iterator[bytes]) -> tuple[int, int, str]:
+    """Size, non-blank lines and SHA-256 of the bytes that come in blocks, of which one is held at a time."""
+    digest, size, lines, filled = hashlib.sha256(), 0, 0, False
+    for block in blocks:
+        digest.update(block)
+        size += len(block)
+        first, *rest = block.split(b"\n")
+        filled = filled or bool(first.strip())
+        for part in rest:
+            lines += filled
+            filled = bool(part.strip())
+    return size, lines + filled, digest.hexdigest()
+
+
 def _in_blocks(spark: SparkSession, path: str) -> tuple[str, int, int, str]:
-    """Size, non-blank lines and SHA-256 of one file, a block of 1 MiB at a time."""
+    """Path, size, non-blank lines and SHA-256 of one file of any file system, read by the driver."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
-    digest, size, lines, filled = hashlib.sha256(), 0, 0, False
     try:
-        while block := bytes(stream.readNBytes(1 << 20)):
-            digest.update(block)
-            size += len(block)
-            first, *rest = block.split(b"\n")
-            filled = filled or bool(first.strip())
-            for part in rest:
-                lines += filled
-                filled = bool(part.strip())
+        return path, *_summary(iter(lambda: bytes(stream.readNBytes(1 << 20)), b""))
     finally:
         stream.close()
-    return path, size, lines + filled, digest.hexdigest()
+
+
+def _local(path: str) -> bool:
+    """Whether Python can open a qualified path by its name: on a disk or a folder that is mounted."""
+    return path.startswith("file:")
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of checksums for each path of a local file, read a block of 1 MiB at a time."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with open(path.removeprefix("file:"), "rb") as f:
+                size, lines, digest = _summary(iter(lambda f=f: f.read(1 << 20), b""))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([lines], pa.int32()), pa.array([digest])], names=["path", "bytes", "line_count", "sha256"])
 
 
 def file_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, bytes, non-blank lines and SHA-256 of files; a file is one task's, very large ones are the driver's."""
+    """path, bytes, non-blank lines and SHA-256 of files; a line of white space only is blank.
+
+    A file is one task's, which holds a block of it at a time whatever its size. What Python can't open by
+    name (another file system) is read as one value if it is small, and by the driver in blocks if not.
+    """
     found = sorted({x for p in paths for x in _status(spark, p)})
-    large = [p for p, n in found if n > WHOLE_BYTES]
-    lines = F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x) != "")
-    columns = ["path", F.col("length").alias("bytes"), F.size(lines).alias("line_count"), F.sha2("content", 256).alias("sha256")]
-    done = spark.createDataFrame([_in_blocks(spark, p) for p in large], _CHECKSUM)
-    small = [p for p, n in found if n <= WHOLE_BYTES]
-    return spark.read.format("binaryFile").load(small).select(*columns).unionByName(done) if small else done
+    empty = [(p, *_summary(iter(()))) for p, n in found if not n]  # a scan leaves them out
+    near, far = [p for p, n in found if n and _local(p)], [(p, n) for p, n in found if n and not _local(p)]
+    done = spark.createDataFrame([*empty, *(_in_blocks(spark, p) for p, n in far if n > WHOLE_BYTES)], _CHECKSUM)
+    if near:
+        done = spark.read.format("binaryFile").load(near).select("path").mapInArrow(_summaries, _CHECKSUM).unionByName(done)
+    if small := [p for p, n in far if n <= WHOLE_BYTES]:
+        lines = F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")) != "")
+        columns = ["path", F.col("length").alias("bytes"), F.size(lines).alias("line_count"), F.sha2("content", 256).alias("sha256")]
+        done = spark.read.format("binaryFile").load(small).select(*columns).unionByName(done)
+    return done
 
 
 def group_checksums(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
