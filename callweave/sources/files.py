@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from callweave.session import cut
+from callweave.sources.arrays import array_elements
 
 RAW = T.StructType([T.StructField("id", T.LongType()), T.StructField("query", T.StringType()), T.StructField("tools", T.StringType()), T.StructField("answers", T.StringType())])
 
@@ -27,16 +26,11 @@ RAW = T.StructType([T.StructField("id", T.LongType()), T.StructField("query", T.
 def read_raw_array(spark: SparkSession, path: str) -> DataFrame:
     """Raw rows out of JSON arrays, with row_index by position; of several files in the order of their names.
 
-    An array is one value, as its file is one document, so a file is read by one task; a large source is
-    given as a folder of files, which are read side by side.
+    A file is read in splits, whatever its size and layout, and no task holds more than its splits. Elements
+    are read from the file again by each action; a changed file raises.
     """
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    counts = cut(text.select("file", F.json_array_length("value").alias("n")))  # one row a file
-    if not counts.limit(1).count() or counts.where("n is null").limit(1).count():
-        raise ValueError(f"{path} holds no JSON array")
-    first = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = text.select("file", F.posexplode(F.from_json("value", T.ArrayType(RAW), {"mode": "FAILFAST"})).alias("pos", "r"))
-    return rows.join(counts.select("file", first.alias("first")), "file").select((F.col("first") + F.col("pos")).alias("row_index"), "r.*")
+    value = F.from_json(F.concat(F.lit("["), "text", F.lit("]")), T.ArrayType(RAW), {"mode": "FAILFAST"})[0]
+    return array_elements(spark, path).select("row_index", value.alias("r")).select("row_index", "r.*")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -79,12 +73,39 @@ def write_json_lines(df: DataFrame, path: str, column: str, order: str | None =
 
 
 def write_raw_array(rows: DataFrame, path: str) -> None:
-    """Raw rows (row_index, id, query, tools, answers) as one JSON array in the order of row_index, in one file."""
-    lines = as_lines(rows.select("row_index", "id", "query", "tools", "answers"))
-    first = rows.agg(F.min("row_index")).scalar()
-    text = lines.select(F.col("row_index").alias("at"), F.concat(F.when(F.col("row_index") == first, "[").otherwise(","), "line").alias("value"))
-    end = rows.sparkSession.createDataFrame([(None, "]" if rows.limit(1).count() else "[]")], "at long, value string")
-    text.unionByName(end).repartition(1).sortWithinPartitions(F.col("at").asc_nulls_last()).select("value").write.mode("overwrite").text(path)
+    """Raw rows (row_index, id, query, tools, answers) as one JSON array in the order of row_index, in one file.
+
+    All tasks make compressed parts in order, of which the driver's JVM strings the bytes together, one part
+    after the other. On disk there is never more than the shuffle and the parts, or the parts and the file.
+    """
+    spark, name = rows.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    jvm, conf, kept = spark._jvm, spark._jsc.hadoopConfiguration(), spark.conf.get(name, None)
+    at = lambda *names: jvm.org.apache.hadoop.fs.Path("/".join((path, *names)))
+    fs = at().getFileSystem(conf)
+    fs.delete(at(), True)
+    spark.conf.set(name, "true")  # the shuffle's files go when the parts are written
+    try:
+        lines = as_lines(rows.select("row_index", "id", "query", "tools", "answers").orderBy("row_index"))
+        lines.select(F.concat(F.lit(","), "line").alias("value")).write.option("compression", "gzip").text(f"{path}/_parts")
+    finally:
+        spark.conf.set(name, kept) if kept is not None else spark.conf.unset(name)
+    out, opening = fs.create(at("_array")), ord("[")
+    try:
+        for part in sorted(x.getPath().getName() for x in fs.listStatus(at("_parts")) if x.getPath().getName().startswith("part-")):
+            text = jvm.java.util.zip.GZIPInputStream(fs.open(at("_parts", part)), 1 << 16)
+            try:
+                if (byte := text.read()) >= 0:
+                    out.write(opening or byte)
+                    opening = 0
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(text, out, 1 << 16, False)
+            finally:
+                text.close()
+            fs.delete(at("_parts", part), False)
+        out.write(bytearray(b"[]\n" if opening else b"]\n"))
+    finally:
+        out.close()
+    fs.delete(at("_parts"), True)
+    fs.rename(at("_array"), at("part-00000.txt"))
 
 
 def write_records(prepared: DataFrame, path: str) -> int:
